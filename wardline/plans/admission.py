@@ -174,7 +174,7 @@ def _used_before(decided: DataFrame, key: str, units: str) -> DataFrame:
     )
     return (
         decided.withColumn("_in", F.coalesce(F.sum(taken).over(in_slice), F.lit(0)))
-        .join(offsets, [key, "_part"])
-        .withColumn("used_before", F.col("_before") + F.col("_in"))
+        .join(offsets, [key, "_part"], "left")
+        .withColumn("used_before", F.coalesce("_before", F.lit(0)) + F.col("_in"))
         .drop("_part", "_pos", "_before", "_in")
     )
