@@ -27,11 +27,15 @@ def first_failure(*checks: tuple[Column, str | Column]) -> Column:
     return reason
 
 
-def decisions(outcome: Outcome, row_id: str = "request_id") -> DataFrame:
-    """One row per request: accepted or not, and why not."""
-    yes = outcome.accepted.select(row_id, F.lit(True).alias("accepted"), F.lit(None).cast("string").alias(REASON))
-    no = outcome.rejected.select(row_id, F.lit(False).alias("accepted"), REASON)
-    return yes.unionByName(no)
+def decisions(outcome: Outcome, row_id: str = "request_id", new_id: str | None = None) -> DataFrame:
+    """One row per request: accepted or not, why not, and the id an accepted one resolved to."""
+    made = F.lit(None).cast("long") if new_id is None else F.col(new_id).cast("long")
+    yes = outcome.accepted.select(
+        row_id, F.lit(True).alias("accepted"), F.lit(None).cast("string").alias(REASON), made.alias("new_id")
+    )
+    no = outcome.rejected.select(row_id, F.lit(False).alias("accepted"), REASON, F.lit(None).cast("long").alias("new_id"))
+    both = yes.unionByName(no)
+    return both if new_id is not None else both.drop("new_id")
 
 
 def known(df: DataFrame, table: DataFrame, key: str, flag: str, table_key: str | None = None) -> DataFrame:

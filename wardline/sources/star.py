@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.sources import fixed
+from wardline.sources.requests import REQUESTS
 from wardline.sources.staging import staged
 from wardline.sources.tables import Hospital
 
@@ -102,7 +103,7 @@ VIEWS: dict[str, str] = {
     "users": """
         select cast(n_nationkey as bigint) as user_id, concat('staff_', cast(n_nationkey as string)) as username,
                cast(case n_nationkey % 5 when 0 then 1 else 2 + n_nationkey % 5 end as bigint) as role_id,
-               cast(null as bigint) as staff_ref_id, true as is_active, 0 as failed_attempts
+               cast(null as bigint) as staff_ref_id, true as is_active, 0 as failed_attempts, date '1998-06-01' as last_login
         from {nation}
         union all
         select 1000 + s_suppkey as user_id,
@@ -110,7 +111,8 @@ VIEWS: dict[str, str] = {
                     else concat('Dr_', lower(s_name)) end as username,
                cast(2 as bigint) as role_id,
                case s_suppkey % 3 when 0 then s_suppkey when 1 then null else s_suppkey + 9000000000 end as staff_ref_id,
-               s_suppkey % 9 <> 0 as is_active, cast(s_suppkey % 6 as int) as failed_attempts
+               s_suppkey % 9 <> 0 as is_active, cast(s_suppkey % 6 as int) as failed_attempts,
+               date '1998-06-01' + cast(s_suppkey % 14 as int) as last_login
         from {supplier}""",
     "bill_requests": """
         select appt_id as request_id, appt_id, 100 + appt_id % 5 as generated_by,
@@ -167,9 +169,9 @@ def _build(spark: SparkSession, sf_dir: str) -> Hospital:
     def name_of(table: str) -> str:
         return f"{table}-{digest}"
 
-    def view(name: str) -> Callable[[], DataFrame]:
+    def view(name: str, sql: str) -> Callable[[], DataFrame]:
         def build() -> DataFrame:
-            return spark.sql(VIEWS[name], **{r: h.table(r) for r in references(VIEWS[name])})
+            return spark.sql(sql, **{r: h.table(r) for r in references(sql)})
 
         if name in _STAGED_VIEWS:
             return lambda: staged(spark, name_of(name), build)
@@ -195,7 +197,7 @@ def _build(spark: SparkSession, sf_dir: str) -> Hospital:
         return lambda: staged(spark, name_of(name), lambda: getattr(job(), part))
 
     tables: dict[str, Callable[[], DataFrame]] = {t: (lambda t=t: star(spark, sf_dir, t)) for t in STAR_TABLES}
-    tables.update({name: view(name) for name in VIEWS})
+    tables.update({name: view(name, sql) for name, sql in {**VIEWS, **REQUESTS}.items()})
     tables["roles"] = lambda: fixed.roles(spark)
     tables["lab_tests"] = lambda: fixed.lab_tests(spark)
     tables["grants"] = lambda: fixed.grants(spark)

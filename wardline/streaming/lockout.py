@@ -12,14 +12,19 @@ then all slices are walked side by side, each from its true entry state.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.sources.staging import cut
 
+# The functions below travel to the executors by value: these need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Failures before a lock, length of a lock.
 MAX_FAILURES = 5
 LOCK_MINUTES = 30
@@ -169,28 +174,17 @@ def _shaped(df: DataFrame) -> DataFrame:
 
 def lockout_stream(attempts: DataFrame) -> DataFrame:
     """The same over a stream. Attempts of one micro-batch are taken in (ts, event_id) order per account."""
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    class Account(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("account", "failures long, locked long")
-
-        def handleInputRows(self, key, rows, timerValues):
-            failures, locked = (int(v) for v in self.state.get()) if self.state.exists() else (0, _OPEN)
-            pdf = pd.concat(list(rows)).sort_values(["at", "event_id"])
-            results = []
-            for at, succeeded in zip(pdf["at"].tolist(), pdf["succeeded"].tolist()):
-                outcome, failures, locked = attempt(failures, locked, at, succeeded)
-                results.append((outcome, failures, locked))
-            self.state.update((failures, locked))
-            out = pdf[["user_id", "event_id", "at"]].reset_index(drop=True)
-            out[["outcome", "failed_attempts", "locked_until"]] = results
-            yield out
-
-        def close(self) -> None:
-            pass
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        failures, locked = state.get if state.exists else (0, _OPEN)
+        pdf = pd.concat(list(batches)).sort_values(["at", "event_id"]).reset_index(drop=True)
+        results = []
+        for at, succeeded in zip(pdf["at"].tolist(), pdf["succeeded"].tolist()):
+            outcome, failures, locked = attempt(failures, locked, at, succeeded)
+            results.append((outcome, failures, locked))
+        state.update((failures, locked))
+        decided = pd.DataFrame(results, columns=["outcome", "failed_attempts", "locked_until"])
+        yield pd.concat([pdf[["user_id", "event_id", "at"]], decided], axis=1)
 
     keyed = attempts.select("user_id", "event_id", _micros("ts").alias("at"), "succeeded").groupBy("user_id")
-    return _shaped(
-        keyed.transformWithStateInPandas(Account(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
-    )
+    return _shaped(keyed.applyInPandasWithState(advance, OUTPUT, "failures long, locked long", "append", "NoTimeout"))

@@ -10,9 +10,6 @@ from pyspark.sql.types import StructType
 from wardline.functions.dates import AsOf, stamp
 from wardline.sources.staging import shared_folder
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def parquet_stream(
     spark: SparkSession, folder: str, schema: StructType, *, names: str = "*", files_per_batch: int = 1000
 ) -> DataFrame:
