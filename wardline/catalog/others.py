@@ -1 +1,269 @@
-"""Registered queries."""
+"""Registered audit, visibility and streaming queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from wardline.catalog.oracle import d, m, t
+from wardline.catalog.registry import AS_OF, query
+from wardline.functions.ordering import up, with_sequence
+from wardline.operators import audit, visibility
+from wardline.plans import clinical, pharmacy
+from wardline.sources.staging import cut
+from wardline.sources.tables import Hospital
+from wardline.streaming import live, lockout, runs, sessions
+
+# Audit --------------------------------------------------------------------------------------------
+#
+# Two days' images: bills before and after the payments; appointments whose cancelled rows were purged
+# and pending ones confirmed; the patients of before and of after the as-of date.
+
+
+def _changes(h: Hospital) -> DataFrame:
+    appointments = h.appointments
+    later = appointments.filter(F.col("status") != "Cancelled").withColumn(
+        "status", F.when(F.col("status") == "Pending", "Confirmed").otherwise(F.col("status"))
+    )
+    known = h.patients.filter(F.col("registration_date") < F.lit(AS_OF))
+    return (
+        audit.row_changes("bills", h.new_bills, h.bills, as_of=AS_OF)
+        .unionByName(audit.row_changes("appointments", appointments, later, as_of=AS_OF))
+        .unionByName(audit.row_changes("patients", known, h.patients, as_of=AS_OF))
+    )
+
+
+_CHANGES = f"""
+    select 'bills' as table_name, 'UPDATE' as operation, bill_id as record_id from {{bills}} where status <> 'Unpaid'
+    union all select 'appointments', case status when 'Cancelled' then 'DELETE' else 'UPDATE' end, appt_id
+    from {{appointments}} where status in ('Cancelled', 'Pending')
+    union all select 'patients', 'INSERT', patient_id from {{patients}} where registration_date >= date '{AS_OF}'"""
+
+
+@query("a1_row_changes", _CHANGES)
+def a1(h: Hospital) -> DataFrame:
+    return _changes(h).select("table_name", "operation", "record_id")
+
+
+_LOG = f"""
+    select table_name, operation, record_id, row_number() over (order by table_name, record_id) as log_id,
+           timestamp '{AS_OF} 08:00:00' + to_hours(cast(record_id % 40 as int)) as changed_at,
+           case when record_id % 4 = 0 then null else record_id % 30 end as changed_by
+    from ({_CHANGES}) c"""
+
+
+def _log(h: Hospital) -> DataFrame:
+    when = F.timestamp_add("HOUR", (F.col("record_id") % 40).cast("int"), F.lit(f"{AS_OF} 08:00:00").cast("timestamp_ntz"))
+    by = F.when(F.col("record_id") % 4 != 0, F.col("record_id") % 30)
+    entries = _changes(h).withColumn("changed_at", when).withColumn("changed_by", by)
+    return with_sequence(entries, [up("table_name"), up("record_id")], "log_id")
+
+
+@query(
+    "a2_audit_entries",
+    f"""select log_id, table_name, operation, record_id, coalesce(u.username, 'System') as changed_by, {t('changed_at')}
+        from ({_LOG}) l left join {{users}} u on u.user_id = l.changed_by
+        where cast(l.changed_at as date) = date '{AS_OF}' and operation = 'UPDATE'
+        order by l.changed_at desc, log_id desc limit 100""",
+)
+def a2(h: Hospital) -> DataFrame:
+    return audit.audit_entries(h, _log(h), on=AS_OF, operation="UPDATE").drop("old_values", "new_values")
+
+
+def _fields(table: str, key: str, columns: dict[str, str], where: str, side: str) -> str:
+    """One row per non-empty field of rows that exist on one side only."""
+    values = " union all ".join(
+        f"select '{table}' as table_name, {key} as record_id, '{name}' as field, {text} as v from {{{table}}} where {where}"
+        for name, text in columns.items()
+    )
+    shown = "null as old_value, v as new_value" if side == "new" else "v as old_value, null as new_value"
+    return f"select table_name, record_id, field, {shown} from ({values}) f where v is not null"
+
+
+_APPT = {c: f"cast({c} as varchar)" for c in ("appt_id", "patient_id", "doctor_id", "appt_date", "appt_time", "appt_type", "status", "notes")}
+_APPT["created_at"] = "strftime(created_at, '%Y-%m-%dT%H:%M:%S.000')"
+_PATIENT = {
+    c: f"cast({c} as varchar)"
+    for c in ("patient_id", "full_name", "date_of_birth", "gender", "blood_group", "phone", "email", "address", "insurance_id", "registration_date", "status")
+}
+
+
+@query(
+    "a3_changed_fields",
+    f"""select 'bills' as table_name, bill_id as record_id, 'status' as field, 'Unpaid' as old_value, status as new_value
+        from {{bills}} where status <> 'Unpaid'
+        union all select 'appointments', appt_id, 'status', 'Pending', 'Confirmed' from {{appointments}} where status = 'Pending'
+        union all {_fields('appointments', 'appt_id', _APPT, "status = 'Cancelled'", 'old')}
+        union all {_fields('patients', 'patient_id', _PATIENT, f"registration_date >= date '{AS_OF}'", 'new')}""",
+)
+def a3(h: Hospital) -> DataFrame:
+    return audit.changed_fields(_changes(h), "table_name", "record_id")
+
+
+# Visibility ---------------------------------------------------------------------------------------
+
+_OWNERS = """
+    select u.user_id, a.appt_id from {users} u join {roles} r on r.role_id = u.role_id and r.role_name = 'Doctor'
+    join {appointments} a on a.doctor_id = u.staff_ref_id"""
+
+
+@query("v1_own_appointments", _OWNERS)
+def v1(h: Hospital) -> DataFrame:
+    return visibility.own_rows(h, "appointments", "appt_id")
+
+
+@query("v2_own_diagnoses", f"select o.user_id, x.diag_id from {{diagnoses}} x join ({_OWNERS}) o using (appt_id)")
+def v2(h: Hospital) -> DataFrame:
+    return visibility.own_rows(h, "diagnoses", "diag_id")
+
+
+@query(
+    "v3_own_prescriptions",
+    f"select o.user_id, x.rx_id from {{prescriptions}} x join {{diagnoses}} g using (diag_id) join ({_OWNERS}) o using (appt_id)",
+)
+def v3(h: Hospital) -> DataFrame:
+    return visibility.own_rows(h, "prescriptions", "rx_id")
+
+
+@query("v4_own_lab_orders", f"select o.user_id, x.order_id from {{lab_orders}} x join ({_OWNERS}) o using (appt_id)")
+def v4(h: Hospital) -> DataFrame:
+    return visibility.own_rows(h, "lab_orders", "order_id")
+
+
+@query(
+    "v4b_lab_orders_per_role",
+    f"""select role_name, case when role_name in ('Lab_Tech', 'Admin', 'Billing_Staff') then (select count(*) from {{lab_orders}})
+               when role_name = 'Doctor' then (select count(*) from {{lab_orders}} x join ({_OWNERS}) o using (appt_id)) else 0 end as visible_rows
+        from {{roles}}""",
+)
+def v4b(h: Hospital) -> DataFrame:
+    return visibility.visible_counts(h, "lab_orders")
+
+
+@query(
+    "v4c_one_doctor_prescriptions",
+    """select rx_id, diag_id, medicine_id from {prescriptions} where diag_id in (select di.diag_id from {diagnoses} di
+         join {appointments} a on a.appt_id = di.appt_id where a.doctor_id = (select staff_ref_id from {users} where user_id = 1003))""",
+)
+def v4c(h: Hospital) -> DataFrame:
+    return visibility.visible(h, "prescriptions", role="Doctor", user_id=1003).select("rx_id", "diag_id", "medicine_id")
+
+
+@query(
+    "v5_privilege_matrix",
+    """select g.role_name, g.table_name, string_agg(g.privilege_type, ', ' order by g.privilege_type) as privileges, any_value(n.accounts) as accounts
+       from (select distinct * from {grants}) g join (select role_name, count(*) as accounts from {users} join {roles} using (role_id) group by role_name) n
+         using (role_name) group by g.role_name, g.table_name""",
+)
+def v5(h: Hospital) -> DataFrame:
+    return visibility.privilege_matrix(h)
+
+
+# Streams and their batch twins --------------------------------------------------------------------
+
+
+def _event_stream(h: Hospital) -> DataFrame:
+    """The events file as a stream."""
+    folder, _, name = h.events.inputFiles()[0].rpartition("/")
+    return runs.parquet_stream(h.spark, folder, h.events.schema, names=name)
+
+
+_LOCKOUT = f"""select user_id, event_id, {t('ts')}, outcome, failed_attempts, {t('locked_until')} from {{login_walk}} where rn > 0"""
+
+
+@query("t1_login_lockout", _LOCKOUT)
+def t1(h: Hospital) -> DataFrame:
+    return lockout.lockouts(lockout.login_attempts(h.events))
+
+
+@query("t1b_login_lockout_stream", _LOCKOUT)
+def t1b(h: Hospital) -> DataFrame:
+    return runs.run_to_parquet(lockout.lockout_stream(lockout.login_attempts(_event_stream(h))))
+
+
+_SESSIONS = f"""
+    with marked as (select user_id, ts, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 60 minute then 1 else 0 end as s
+                    from {{events}} window w as (partition by user_id order by ts, event_id)),
+         numbered as (select *, sum(s) over (partition by user_id order by ts rows unbounded preceding) as session_no from marked)
+    select user_id, cast(session_no as bigint) as session_no, {t('min(ts)', 'started_at')}, {t('max(ts)', 'last_activity')}, count(*) as events
+    from numbered group by user_id, session_no"""
+
+
+@query("t2_activity_sessions", _SESSIONS)
+def t2(h: Hospital) -> DataFrame:
+    return sessions.activity_sessions(h.events)
+
+
+@query(
+    "t3_fixed_sessions",
+    f"""select cast(event_id as varchar) as session_id, user_id, {t('ts', 'created_at')}, {t('ts + interval 30 minute', 'expires_at')},
+               ts + interval 30 minute > timestamp '2024-01-15 12:00:00' as is_active
+        from {{events}} where event_type = 'signup'""",
+)
+def t3(h: Hospital) -> DataFrame:
+    opened = h.events.filter(F.col("event_type") == "signup").select(
+        F.col("event_id").cast("string").alias("session_id"), "user_id", F.col("ts").alias("created_at")
+    )
+    return sessions.fixed_sessions(opened, as_of="2024-01-15 12:00:00")
+
+
+_LIVE = f"""select {d('ts', 'day')}, {m("cast(sum(cast(value as decimal(12,2))) as decimal(18,2))", 'revenue')}, count(*) as payments
+            from {{events}} where event_type = 'purchase' group by cast(ts as date)"""
+
+
+def _receipts(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("event_type") == "purchase").select(
+        F.col("ts").alias("payment_date"), F.col("value").cast("decimal(12,2)").alias("amount_paid")
+    )
+
+
+@query("t4_daily_revenue", _LIVE)
+def t4(h: Hospital) -> DataFrame:
+    return live.live_revenue(_receipts(h.events)).select("day", "revenue", "payments")
+
+
+@query("t4b_daily_revenue_stream", _LIVE)
+def t4b(h: Hospital) -> DataFrame:
+    stream = live.live_revenue(_receipts(_event_stream(h)))
+    return runs.run_latest(stream, "day").select("day", "revenue", "payments")
+
+
+@query(
+    "t4c_daily_appointments",
+    f"""select {d('appt_date', 'day')}, count(*) as total, count(*) filter (status = 'Completed') as completed,
+               count(*) filter (status = 'Cancelled') as cancelled, count(*) filter (status in ('Pending', 'Confirmed')) as pending
+        from {{appointments}} group by appt_date""",
+)
+def t4c(h: Hospital) -> DataFrame:
+    figures = live.live_appointments(h.appointments)
+    return figures.select("day", "total", "completed", "cancelled", "pending")
+
+
+@query(
+    "t5_alerts",
+    """select medicine_id as subject_id, 'LOW STOCK ALERT: ' || brand_name || ' has only ' || stock_left || ' units left' as message
+       from {stock_after} where touched and stock_left < reorder_level
+       union all
+       select order_id, 'Result marked ABNORMAL' from {lab_orders} where is_abnormal and result_value is not null""",
+)
+def t5(h: Hospital) -> DataFrame:
+    """Both alert filters over streams: the medicines after a dispense run, and the lab orders."""
+    after = cut(pharmacy.changed_medicines(h.medicines, pharmacy.dispense(h, h.dispense_requests).medicines))
+    orders = cut(h.lab_orders)
+
+    def stream(table: DataFrame) -> DataFrame:
+        folder = table.inputFiles()[0].rpartition("/")[0]
+        return runs.parquet_stream(h.spark, folder, table.schema, names="*.parquet")
+
+    low = pharmacy.low_stock_alerts(stream(after)).select(F.col("medicine_id").alias("subject_id"), "message")
+    odd = clinical.abnormal_alerts(stream(orders)).select(F.col("order_id").alias("subject_id"), "message")
+    return runs.run_to_parquet(low).unionByName(runs.run_to_parquet(odd))
+
+
+@query("t6_audit_stream", f"select table_name, operation, count(*) as entries from ({_CHANGES}) c group by table_name, operation")
+def t6(h: Hospital) -> DataFrame:
+    """A change feed streamed into the append-only log."""
+    feed = cut(_changes(h).drop("changed_by", "changed_at"))
+    folder = feed.inputFiles()[0].rpartition("/")[0]
+    stream = runs.audit_stream(runs.parquet_stream(h.spark, folder, feed.schema, names="*.parquet"), as_of=AS_OF)
+    log = runs.run_to_parquet(stream)
+    return log.dropDuplicates(["log_id"]).groupBy("table_name", "operation").agg(F.count("*").alias("entries"))
