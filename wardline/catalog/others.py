@@ -9,7 +9,7 @@ from wardline.catalog.registry import AS_OF, query
 from wardline.functions.ordering import up, with_sequence
 from wardline.operators import audit, visibility
 from wardline.plans import clinical, pharmacy
-from wardline.sources.staging import cut
+from wardline.sources.staging import written
 from wardline.sources.tables import Hospital
 from wardline.streaming import live, lockout, runs, sessions
 
@@ -163,8 +163,7 @@ def v5(h: Hospital) -> DataFrame:
 
 def _event_stream(h: Hospital) -> DataFrame:
     """The events file as a stream."""
-    folder, _, name = h.events.inputFiles()[0].rpartition("/")
-    return runs.parquet_stream(h.spark, folder, h.events.schema, names=name)
+    return runs.parquet_stream(h.spark, h.root, h.events.schema, names="events.parquet")
 
 
 _LOCKOUT = f"""select user_id, event_id, {t('ts')}, outcome, failed_attempts, {t('locked_until')} from {{login_walk}} where rn > 0"""
@@ -247,23 +246,20 @@ def t4c(h: Hospital) -> DataFrame:
 )
 def t5(h: Hospital) -> DataFrame:
     """Both alert filters over streams: the medicines after a dispense run, and the lab orders."""
-    after = cut(pharmacy.changed_medicines(h.medicines, pharmacy.dispense(h, h.dispense_requests).medicines))
-    orders = cut(h.lab_orders)
+    after = pharmacy.changed_medicines(h.medicines, pharmacy.dispense(h, h.dispense_requests).medicines)
 
     def stream(table: DataFrame) -> DataFrame:
-        folder = table.inputFiles()[0].rpartition("/")[0]
-        return runs.parquet_stream(h.spark, folder, table.schema, names="*.parquet")
+        return runs.parquet_stream(h.spark, written(table), table.schema, names="*.parquet")
 
     low = pharmacy.low_stock_alerts(stream(after)).select(F.col("medicine_id").alias("subject_id"), "message")
-    odd = clinical.abnormal_alerts(stream(orders)).select(F.col("order_id").alias("subject_id"), "message")
+    odd = clinical.abnormal_alerts(stream(h.lab_orders)).select(F.col("order_id").alias("subject_id"), "message")
     return runs.run_to_parquet(low).unionByName(runs.run_to_parquet(odd))
 
 
 @query("t6_audit_stream", f"select table_name, operation, count(*) as entries from ({_CHANGES}) c group by table_name, operation")
 def t6(h: Hospital) -> DataFrame:
     """A change feed streamed into the append-only log."""
-    feed = cut(_changes(h).drop("changed_by", "changed_at"))
-    folder = feed.inputFiles()[0].rpartition("/")[0]
-    stream = runs.audit_stream(runs.parquet_stream(h.spark, folder, feed.schema, names="*.parquet"), as_of=AS_OF)
-    log = runs.run_to_parquet(stream)
+    feed = _changes(h).drop("changed_by", "changed_at")
+    stream = runs.parquet_stream(h.spark, written(feed), feed.schema, names="*.parquet")
+    log = runs.run_to_parquet(runs.audit_stream(stream, as_of=AS_OF))
     return log.dropDuplicates(["log_id"]).groupBy("table_name", "operation").agg(F.count("*").alias("entries"))

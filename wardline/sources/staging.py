@@ -26,12 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_own_folder[app]}/{app}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame once under a fresh name and go on from the written table."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut/{uuid.uuid4().hex}"
+def written(df: DataFrame) -> str:
+    """Write a frame under a fresh name and return its path."""
+    path = f"{shared_folder(df.sparkSession)}/cut/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a frame once and go on from the written table."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
 
 
 def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:

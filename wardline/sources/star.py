@@ -205,5 +205,5 @@ def _build(spark: SparkSession, sf_dir: str) -> Hospital:
     tables["bill_items"] = output("bill_items", billing, "items")
     tables["bills"] = output("bills", paying, "bills")
     tables["payments"] = output("payments", paying, "payments")
-    h = Hospital(spark, tables)
+    h = Hospital(spark, tables, sf_dir.rstrip("/"))
     return h

@@ -12,8 +12,11 @@ from wardline.schema import DEFAULTS, TABLES
 class Hospital:
     """The hospital tables by name, built on first use. Attribute access returns the DataFrame."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+    def __init__(
+        self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]], root: str | None = None
+    ):
         self.spark = spark
+        self.root = root
         self._tables = dict(tables)
 
     def table(self, name: str) -> DataFrame:
@@ -31,7 +34,7 @@ class Hospital:
         return name in self._tables
 
     def replaced(self, **tables: DataFrame) -> Hospital:
-        return Hospital(self.spark, {**self._tables, **tables})
+        return Hospital(self.spark, {**self._tables, **tables}, self.root)
 
 
 def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -40,7 +43,7 @@ def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def open_hospital(spark: SparkSession, root: str) -> Hospital:
-    return Hospital(spark, {name: (lambda n=name: scan(spark, root, n)) for name in TABLES})
+    return Hospital(spark, {name: (lambda n=name: scan(spark, root, n)) for name in TABLES}, root)
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
