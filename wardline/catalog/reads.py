@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wardline.catalog.oracle import d, m, t
 from wardline.catalog.registry import AS_OF, query
@@ -28,7 +29,7 @@ DAY = f"date '{AS_OF}'"
 def io1(h: Hospital) -> DataFrame:
     root = f"{shared_folder(h.spark)}/snapshots"
     path = write_snapshot(conform(h.appointments, "appointments"), root, "appointments", uuid.uuid4().hex)
-    schema = TABLES["appointments"].add("appt_month", "string") if "appt_month" not in TABLES["appointments"].names else TABLES["appointments"]
+    schema = StructType([*TABLES["appointments"].fields, StructField("appt_month", StringType())])
     months = F.col("appt_month").isin("1998-06", "1998-07", "1998-08")
     columns = ["appt_id", "patient_id", "doctor_id", "appt_date", "appt_time", "appt_type", "status", "notes"]
     return h.spark.read.schema(schema).parquet(path).filter(months).select(*columns)
@@ -353,14 +354,14 @@ def q26a(h: Hospital) -> DataFrame:
     return worklists.appointments_on(h, on=AS_OF, hide_cancelled=True)
 
 
-@query("q26b_queue_by_department", f"{_ON_DAY} and a.status = 'Completed' and dept.dept_name = 'NATION_3'")
+@query("q26b_queue_by_department", f"{_ON_DAY} and a.status = 'Pending' and dept.dept_name = 'NATION_3'")
 def q26b(h: Hospital) -> DataFrame:
-    return worklists.appointments_on(h, on=AS_OF, status="Completed", department="NATION_3")
+    return worklists.appointments_on(h, on=AS_OF, status="Pending", department="NATION_3")
 
 
-@query("q26c_doctor_day_list", f"{_ON_DAY} and a.doctor_id = 31")
+@query("q26c_doctor_day_list", f"{_ON_DAY} and a.doctor_id = 97")
 def q26c(h: Hospital) -> DataFrame:
-    return worklists.appointments_on(h, on=AS_OF, doctor_id=31)
+    return worklists.appointments_on(h, on=AS_OF, doctor_id=97)
 
 
 @query(

@@ -11,7 +11,7 @@ from datetime import timedelta
 from pyspark.sql import Column, functions as F
 
 from wardline.functions.dates import AsOf, day, shifted, to_datetime, years_by_days
-from wardline.functions.text import blank, strip
+from wardline.functions.text import WHITE_SPACE, blank, strip, without
 from wardline.plans.common import first_failure
 
 # Patterns and limits of the rules.
@@ -44,7 +44,7 @@ def email(value: str | Column) -> Column:
 
 
 def phone(value: str | Column) -> Column:
-    clean = F.regexp_replace(strip(value), r"(?U)[\s\-+()]", "")
+    clean = without(value, WHITE_SPACE + "-+()")
     clean = F.when((F.length(clean) == 12) & clean.startswith("91"), F.substring(clean, 3, 10)).otherwise(clean)
     wrong_length = F.concat(
         F.lit("Phone must be exactly 10 digits. You entered "), F.length(clean).cast("string"), F.lit(" digit(s).")
@@ -53,7 +53,7 @@ def phone(value: str | Column) -> Column:
         (blank(value), "Phone number is required."),
         (~clean.rlike(r"(?U)^\d+$"), "Phone number must contain digits only."),
         (F.length(clean) != 10, wrong_length),
-        (~clean.rlike("^[6-9]"), "Indian mobile numbers must start with 6, 7, 8, or 9."),
+        (~F.substring(clean, 1, 1).isin("6", "7", "8", "9"), "Indian mobile numbers must start with 6, 7, 8, or 9."),
     )
 
 
@@ -112,7 +112,7 @@ def username(value: str | Column) -> Column:
         (F.length(v) < 3, "Username must be at least 3 characters."),
         (F.length(v) > 50, "Username must be under 50 characters."),
         (~v.rlike(USERNAME_PATTERN), "Username can only contain letters, numbers and underscores."),
-        (v.rlike("^[0-9]"), "Username cannot start with a number."),
+        (F.substring(v, 1, 1).between("0", "9"), "Username cannot start with a number."),
     )
 
 

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_SPACE = r"[\s\x1c-\x1f]"
+# The characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 def _column(value: str | Column) -> Column:
@@ -12,7 +17,13 @@ def _column(value: str | Column) -> Column:
 
 
 def strip(value: str | Column) -> Column:
-    return F.regexp_replace(_column(value), rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    """Without white space at both ends; no pattern matching, so it may be repeated in a rule."""
+    return F.btrim(_column(value), F.lit(WHITE_SPACE))
+
+
+def without(value: str | Column, characters: str) -> Column:
+    """All occurrences of some characters removed."""
+    return F.translate(_column(value), characters, "")
 
 
 def blank(value: str | Column) -> Column:
@@ -22,7 +33,7 @@ def blank(value: str | Column) -> Column:
 
 def sanitize_string(value: str | Column) -> Column:
     """Collapse inner white space to single spaces; NULL becomes empty."""
-    return F.coalesce(strip(F.regexp_replace(_column(value), rf"(?U){_SPACE}+", " ")), F.lit(""))
+    return F.coalesce(strip(F.regexp_replace(_column(value), _SPACES, " ")), F.lit(""))
 
 
 def sanitize_phone(value: str | Column) -> Column:

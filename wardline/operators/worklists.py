@@ -106,21 +106,24 @@ def changeable_appointments(h: Hospital) -> DataFrame:
 
 
 def visit_history(h: Hospital, *, n: int = 20) -> DataFrame:
-    """Newest visits of every patient with doctor, department and finding."""
-    visits = (
-        h.appointments.select("appt_id", "patient_id", "doctor_id", "appt_date", "appt_type", "status")
-        .join(_doctors(h, "dept_id"), "doctor_id")
+    """Newest visits of every patient with doctor, department and finding.
+
+    Every visit makes at least one row, so the n newest rows lie in the n newest visits: the list is cut
+    before anything is joined and again after the findings.
+    """
+    visits = h.appointments.select("appt_id", "patient_id", "doctor_id", "appt_date", "appt_type", "status")
+    recent = top_per(visits, "patient_id", [down("appt_date"), down("appt_id")], n, rank="_visit").drop("_visit")
+    findings = h.diagnoses.select("appt_id", "diag_id", "icd_code", F.col("description").alias("diagnosis"), "severity")
+    newest = top_per(
+        recent.join(findings, "appt_id", "left"), "patient_id", [down("appt_date"), down("appt_id"), down("diag_id")], n
+    )
+    return (
+        newest.join(_doctors(h, "dept_id"), "doctor_id")
         .join(h.departments.select("dept_id", F.col("dept_name").alias("department")), "dept_id")
-        .join(
-            h.diagnoses.select("appt_id", "diag_id", "icd_code", F.col("description").alias("diagnosis"), "severity"),
-            "appt_id",
-            "left",
+        .select(
+            "patient_id", "rank", "appt_date", "appt_type", "doctor", "department", "icd_code", "diagnosis", "severity", "status"
         )
     )
-    newest = top_per(visits, "patient_id", [down("appt_date"), down("appt_id"), down("diag_id")], n)
-    return newest.select(
-        "patient_id", "rank", "appt_date", "appt_type", "doctor", "department", "icd_code", "diagnosis", "severity", "status"
-    )
 
 
 # Clinical work still to do ------------------------------------------------------------------------

@@ -10,7 +10,6 @@ from wardline.functions.dates import AsOf, stamp
 from wardline.functions.money import money
 from wardline.functions.ordering import first_of, highest, with_sequence
 from wardline.plans.common import REASON, first_failure, known, patched
-from wardline.sources.staging import cut
 from wardline.sources.tables import Hospital
 
 # Service names, order of items on a bill, days until a bill is due, reason text.
@@ -101,14 +100,14 @@ def admit_bill_requests(h: Hospital, requests: DataFrame, as_of: AsOf, existing:
 
 
 def price_bills(h: Hospital, accepted: DataFrame, items: DataFrame) -> DataFrame:
-    """Totals, cover and net per accepted request. Cover looks at the policy amount only."""
-    totals = items.groupBy("appt_id").agg(money(F.sum("total")).alias("total_amount"))
+    """Totals, cover and net per numbered bill. Cover looks at the policy amount only."""
+    totals = items.groupBy("bill_id").agg(money(F.sum("total")).alias("total_amount"))
     covered = money(F.coalesce(F.least("coverage_amount", "total_amount"), F.lit(0)))
     cover = h.patients.select("patient_id", "insurance_id").join(
         h.insurance.select("insurance_id", "coverage_amount"), "insurance_id"
     )
     return (
-        accepted.join(totals, "appt_id")
+        accepted.join(totals, "bill_id")
         .join(cover.select("patient_id", "coverage_amount"), "patient_id", "left")
         .withColumn("insurance_covered", F.when(F.col("coverage_amount").isNull(), money(F.lit(0))).otherwise(covered))
         .withColumn("net_payable", money(F.col("total_amount") - F.col("insurance_covered")))
@@ -119,22 +118,28 @@ def price_bills(h: Hospital, accepted: DataFrame, items: DataFrame) -> DataFrame
 def generate_bills(h: Hospital, requests: DataFrame, *, as_of: AsOf, existing: DataFrame | None) -> BillRun:
     """requests: request_id, appt_id, generated_by and optionally request_ts (else the as-of moment).
 
-    existing: the bills there already are, or None.
+    existing: the bills there already are, or None. Two tables are written on the way: the accepted
+    requests with their bill number, and the items, which are both a result and the source of the totals.
     """
     decided = admit_bill_requests(h, requests, as_of, existing)
     rejected = decided.filter(F.col(REASON).isNotNull()).select("request_id", "appt_id", REASON)
-    accepted = cut(
+    accepted = with_sequence(
         decided.filter(F.col(REASON).isNull())
         .drop(REASON)
-        .join(h.appointments.select("appt_id", "patient_id", "doctor_id"), "appt_id")
-    )
-    items = cut(
-        consultation_lines(h, accepted).unionByName(lab_lines(h, accepted)).unionByName(pharmacy_lines(h, accepted))
+        .join(h.appointments.select("appt_id", "patient_id", "doctor_id"), "appt_id"),
+        [F.col("request_ts"), F.col("request_id")],
+        "bill_id",
+        F.lit(0) if existing is None else highest(existing, "bill_id"),
     )
-    last_bill = F.lit(0) if existing is None else highest(existing, "bill_id")
-    bills = with_sequence(
-        price_bills(h, accepted, items), [F.col("request_ts"), F.col("request_id")], "bill_id", last_bill
-    ).select(
+    place = F.when(F.col("service_type") == CONSULTATION, 1).when(F.col("service_type") == LAB, 2).otherwise(3)
+    lines = consultation_lines(h, accepted).unionByName(lab_lines(h, accepted)).unionByName(pharmacy_lines(h, accepted))
+    items = with_sequence(
+        lines.join(accepted.select("appt_id", "bill_id"), "appt_id").withColumn("_place", place),
+        [F.col("bill_id"), F.col("_place"), F.col("source_id")],
+        "item_id",
+        highest(h.bill_items, "item_id") if existing is not None and "bill_items" in h else F.lit(0),
+    ).select("item_id", "bill_id", "service_type", "description", "quantity", "unit_price", "total")
+    bills = price_bills(h, accepted, items).select(
         "bill_id",
         "patient_id",
         "appt_id",
@@ -146,14 +151,5 @@ def generate_bills(h: Hospital, requests: DataFrame, *, as_of: AsOf, existing: D
         F.lit("Unpaid").alias("status"),
         "generated_by",
     )
-    bills = cut(bills)
-    place = F.when(F.col("service_type") == CONSULTATION, 1).when(F.col("service_type") == LAB, 2).otherwise(3)
-    last_item = highest(h.bill_items, "item_id") if existing is not None and "bill_items" in h else F.lit(0)
-    numbered = with_sequence(
-        items.join(bills.select("appt_id", "bill_id"), "appt_id").withColumn("_place", place),
-        [F.col("bill_id"), F.col("_place"), F.col("source_id")],
-        "item_id",
-        last_item,
-    ).select("item_id", "bill_id", "service_type", "description", "quantity", "unit_price", "total")
     completed = accepted.select("appt_id", F.lit("Completed").alias("status"))
-    return BillRun(bills, numbered, rejected, patched(h.appointments, completed, "appt_id", ["status"]))
+    return BillRun(bills, items, rejected, patched(h.appointments, completed, "appt_id", ["status"]))

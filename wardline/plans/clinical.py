@@ -33,7 +33,7 @@ def apply_lab_results(h: Hospital, requests: DataFrame, *, mode: str = "technici
     checked = requests.join(orders, "order_id", "left")
     text = rules.text("result_value", "Result Value", required=True, max_len=RESULT_SHOWN)
     reason = first_failure(
-        (text.isNotNull(), text),
+        text,
         (F.length(strip("result_value")) > RESULT_STORED, TOO_LONG),
         (F.coalesce(F.col("status") != "Pending", F.lit(True)), NOT_PENDING),
     )
@@ -79,8 +79,8 @@ def record_diagnoses(h: Hospital, requests: DataFrame) -> Outcome:
     code, text = rules.icd_code("icd_code"), rules.text("description", "Description")
     reason = first_failure(
         (~F.col("_known"), "Select an appointment."),
-        (code.isNotNull(), code),
-        (text.isNotNull(), text),
+        code,
+        text,
         (~F.coalesce(F.col("severity").isin(*ENUMS["diagnoses", "severity"]), F.lit(False)), "Severity required."),
     )
     checked = known(requests, h.appointments, "appt_id", "_known").withColumn(REASON, reason).drop("_known")
@@ -100,9 +100,9 @@ def record_prescriptions(h: Hospital, requests: DataFrame) -> Outcome:
     reason = first_failure(
         (~F.col("_diag"), "Select a diagnosis."),
         (~F.col("_med"), "Select a medicine."),
-        (dosage.isNotNull(), dosage),
+        dosage,
         (~F.coalesce(F.col("frequency").isin(*FREQUENCIES), F.lit(False)), "Frequency required."),
-        (days.isNotNull(), days),
+        days,
     )
     checked = known(known(requests, h.diagnoses, "diag_id", "_diag"), h.medicines, "medicine_id", "_med")
     cleaned = checked.withColumn(REASON, reason).drop("_diag", "_med").withColumns(

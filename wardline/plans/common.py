@@ -19,11 +19,18 @@ class Outcome:
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def first_failure(*checks: tuple[Column, str | Column]) -> Column:
-    """Reason of the first failing check, NULL if all pass. A check is (failing condition, reason)."""
+def first_failure(*checks: tuple[Column, str | Column] | Column) -> Column:
+    """Reason of the first failing check, NULL if all pass.
+
+    A check is (failing condition, reason), or a rule: a column that is the reason itself or NULL.
+    """
     reason = F.lit(None).cast("string")
-    for failing, text in reversed(checks):
-        reason = F.when(failing, F.lit(text) if isinstance(text, str) else text).otherwise(reason)
+    for check in reversed(checks):
+        if isinstance(check, tuple):
+            failing, text = check
+            reason = F.when(failing, F.lit(text) if isinstance(text, str) else text).otherwise(reason)
+        else:
+            reason = F.coalesce(check, reason)
     return reason
 
 

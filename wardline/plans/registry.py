@@ -112,8 +112,8 @@ def update_patients(h: Hospital, requests: DataFrame) -> Outcome:
         .join(owners, "_clean", "left")
     )
     static = first_failure(
-        (rules.phone("phone").isNotNull(), rules.phone("phone")),
-        (rules.email("email").isNotNull(), rules.email("email")),
+        rules.phone("phone"),
+        rules.email("email"),
         (~F.col("_known"), NO_RECORD),
         (F.coalesce(F.col("_owner") != F.col("patient_id"), F.lit(False)), DUPLICATE),
     )
@@ -158,7 +158,7 @@ def upsert_insurance(h: Hospital, requests: DataFrame) -> Outcome:
     clean = requests.withColumn("policy_number", strip("policy_number")).withColumn("provider_name", strip("provider_name"))
     incomplete = rules.insurance_block("provider_name", "policy_number", "coverage_amount")
     none_given = blank("provider_name") & blank("policy_number")
-    checked = cut(clean.withColumn(REASON, first_failure((incomplete.isNotNull(), incomplete), (none_given, "Policy number required."))))
+    checked = cut(clean.withColumn(REASON, first_failure(incomplete, (none_given, "Policy number required."))))
     valid = checked.filter(F.col(REASON).isNull()).drop(REASON)
     existing = h.insurance.select("policy_number", "insurance_id")
     fresh = valid.join(existing.select("policy_number"), "policy_number", "left_anti")
@@ -219,11 +219,11 @@ def add_medicines(h: Hospital, requests: DataFrame) -> Outcome:
     stock = rules.stock_quantity("stock_quantity")
     brand = rules.medicine_name("brand_name")
     reason = first_failure(
-        (brand.isNotNull(), brand),
+        brand,
         (generic.isNotNull(), F.concat(F.lit("Generic name: "), generic)),
         (blank("category"), "Category is required."),
-        (stock.isNotNull(), stock),
-        (price.isNotNull(), price),
+        stock,
+        price,
         (F.col("reorder_level") < 1, "Reorder level must be at least 1."),
     )
     keys = {"_brand": F.lower(strip("brand_name")), "_generic": F.lower(strip("generic_name"))}
@@ -240,7 +240,7 @@ def add_users(h: Hospital, requests: DataFrame) -> Outcome:
     stored in lower case; accounts carry no password here."""
     problem = rules.username("username")
     with_role = known(requests, h.roles, "role_id", "_role")
-    reason = first_failure((problem.isNotNull(), problem), (~F.col("_role"), "Role required."))
+    reason = first_failure(problem, (~F.col("_role"), "Role required."))
     keys = {"_name": F.lower(strip("username"))}
     taken = h.users.select(F.lower("username").alias("_name"))
     text = F.concat(F.lit("Username '"), F.col("username"), F.lit("' already taken."))
@@ -253,12 +253,12 @@ def add_doctors(h: Hospital, requests: DataFrame) -> Outcome:
     name, phone, email = rules.name("full_name"), rules.phone("phone"), rules.email("email")
     with_dept = known(requests, h.departments, "dept_id", "_dept")
     reason = first_failure(
-        (name.isNotNull(), name),
+        name,
         (~F.col("_dept"), "Department required."),
         (blank("specialization"), "Specialization required."),
         (blank("qualification"), "Qualification required."),
-        (phone.isNotNull(), phone),
-        (email.isNotNull(), email),
+        phone,
+        email,
     )
     checked = cut(with_dept.withColumn(REASON, reason).drop("_dept"))
     accepted = with_sequence(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from wardline.schema import TABLES
 
@@ -10,11 +11,12 @@ from wardline.schema import TABLES
 def append_audit(entries: DataFrame, path: str) -> None:
     """Add entries to the audit log. There is no update and no delete: files are only ever added.
 
-    The log is laid out by day of change, so a day's query reads a day's files.
+    The log is laid out by day of change, so a day's query reads a day's files. Rebalancing gathers a day's
+    entries into files of the advisory size and splits a day that holds most of them.
     """
     (
         entries.withColumn("changed_on", F.to_date("changed_at"))
-        .repartition("changed_on", "table_name", F.pmod(F.xxhash64("log_id"), F.lit(64)))
+        .hint("rebalance", "changed_on")
         .write.mode("append")
         .partitionBy("changed_on")
         .parquet(path)
@@ -22,7 +24,8 @@ def append_audit(entries: DataFrame, path: str) -> None:
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TABLES["audit_log"].add("changed_on", "date")).parquet(path)
+    laid_out = StructType([*TABLES["audit_log"].fields, StructField("changed_on", DateType())])
+    return spark.read.schema(laid_out).parquet(path)
 
 
 def write_snapshot(df: DataFrame, root: str, name: str, version: str) -> str:
@@ -32,11 +35,9 @@ def write_snapshot(df: DataFrame, root: str, name: str, version: str) -> str:
     """
     path = f"{root.rstrip('/')}/{name}/version={version}"
     if name == "appointments":
-        month = F.date_format("appt_date", "yyyy-MM")
-        spread = F.pmod(F.xxhash64("appt_id"), F.lit(16))
         (
-            df.withColumn("appt_month", month)
-            .repartition("appt_month", spread)
+            df.withColumn("appt_month", F.date_format("appt_date", "yyyy-MM"))
+            .hint("rebalance", "appt_month")
             .sortWithinPartitions("appt_month", "appt_date")
             .write.mode("errorifexists")
             .partitionBy("appt_month")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wardline.functions.dates import AsOf, stamp
 from wardline.sources.staging import shared_folder
@@ -58,7 +58,8 @@ def run_latest(stream: DataFrame, key: str, *, timeout: int = 600) -> DataFrame:
     if not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError("stream did not finish")
-    updates = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/out")
+    numbered = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    updates = spark.read.schema(numbered).parquet(f"{base}/out")
     others = [c for c in stream.columns if c != key]
     newest = F.max_by(F.struct(*others), F.col("batch")).alias("_row")
     return updates.groupBy(key).agg(newest).select(key, "_row.*")
