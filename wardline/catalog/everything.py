@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.catalog import checks, jobs, others, reads  # noqa: F401  (registration happens on import)
+from wardline.catalog import reads, jobs, others, checks  # noqa: F401, I001  (registered in this order)
 from wardline.catalog.oracle import check_sql
 from wardline.catalog.registry import CHECKS, QUERIES
 

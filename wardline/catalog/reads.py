@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from wardline.catalog.oracle import d, m, t
 from wardline.catalog.registry import AS_OF, query
 from wardline.operators import dashboards, reports, search, trends, worklists
+from wardline.sources.sql import create_views
 from wardline.sources.sinks import append_audit, read_audit, write_snapshot
 from wardline.sources.staging import shared_folder
 from wardline.sources.tables import Hospital, conform, select_one, select_rows, shown
@@ -154,6 +155,36 @@ def q08(h: Hospital) -> DataFrame:
     return reports.patient_active(h)
 
 
+@query(
+    "q05b_functions_in_sql",
+    f"""select a.appt_id, cast(date_part('year', age({DAY}, p.date_of_birth)) as int) as age, p.status = 'Active' as is_active,
+               not exists (select 1 from {{appointments}} o where o.doctor_id = a.doctor_id and o.appt_date = a.appt_date
+                           and o.appt_time = a.appt_time and o.status <> 'Cancelled') as slot_free
+        from {{appointments}} a join {{patients}} p using (patient_id)""",
+)
+def q05b(h: Hospital) -> DataFrame:
+    create_views(h, as_of=AS_OF)
+    return h.spark.sql(
+        f"""select appt_id, get_patient_age(patient_id, {DAY}) as age, is_patient_active(patient_id) as is_active,
+                   is_slot_available(doctor_id, appt_date, appt_time) as slot_free
+            from appointments"""
+    )
+
+
+@query(
+    "q07b_views_in_sql",
+    f"""select b.status, count(*) as bills, {m('sum(b.net_payable - coalesce(r.paid, 0))', 'outstanding')}, {m('sum(b.net_payable)', 'deduction')}
+        from {{bills}} b left join {{received}} r on r.bill_id = b.bill_id group by b.status""",
+)
+def q07b(h: Hospital) -> DataFrame:
+    create_views(h, as_of=AS_OF)
+    return h.spark.sql(
+        """select status, count(*) as bills, cast(sum(outstanding) as decimal(18,2)) as outstanding,
+                  cast(sum(calculate_deduction(bill_id)) as decimal(18,2)) as deduction
+           from vw_billing_summary group by status"""
+    )
+
+
 # Trends -------------------------------------------------------------------------------------------
 
 

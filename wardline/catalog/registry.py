@@ -39,6 +39,8 @@ def query(name: str, check: str | None = None) -> Callable:
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Stamps carry no zone; in UTC they pass through zoned functions unchanged.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return portable(fn(hospital(spark, sf_dir)))
 
         QUERIES[name] = run

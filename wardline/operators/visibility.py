@@ -40,11 +40,9 @@ def _through(h: Hospital, table: str, rows: DataFrame, appointments: DataFrame)
 
 def doctor_users(h: Hospital) -> DataFrame:
     """(user_id, doctor_id) of accounts in the doctor role with a staff reference."""
-    role = h.roles.filter(F.col("role_name") == DOCTOR).select("role_id")
-    return (
-        h.users.filter(F.col("staff_ref_id").isNotNull())
-        .join(role, "role_id", "left_semi")
-        .select("user_id", F.col("staff_ref_id").alias("doctor_id"))
+    role = h.roles.filter(F.col("role_name") == DOCTOR).select("role_id").scalar()
+    return h.users.filter(F.col("staff_ref_id").isNotNull() & (F.col("role_id") == role)).select(
+        "user_id", F.col("staff_ref_id").alias("doctor_id")
     )
 
 
