@@ -128,7 +128,7 @@ def q04(h: Hospital) -> DataFrame:
 
 @query(
     "q05_patient_age",
-    f"select patient_id, cast(date_part('year', age({DAY}, date_of_birth)) as int) as age from {{patients}}",
+    f"select patient_id, cast(date_part('year', age({DAY}, date_of_birth)) as int) as age, cast(({DAY} - date_of_birth) // 365 as int) as card_age from {{patients}}",
 )
 def q05(h: Hospital) -> DataFrame:
     return reports.patient_age(h, as_of=AS_OF)
@@ -666,7 +666,8 @@ def q47(h: Hospital) -> DataFrame:
 @query(
     "q48_patient_search",
     f"""select s.term_id, cast(rnk as int) as rank, p.patient_id, p.full_name, p.phone, {d('p.date_of_birth')}, p.blood_group, p.gender,
-               p.status, p.email, i.provider_name
+               p.status, p.email, p.address, {d('p.registration_date')}, i.provider_name, i.policy_number, {m('i.coverage_amount')},
+               {d('i.expiry_date')}
         from (select term_id, patient_id, row_number() over (partition by term_id order by full_name, patient_id) as rnk
               from {{search_terms}} join {{patients}} on lower(full_name) like lower('%' || term || '%') or phone like '%' || term || '%'
                 or cast(patient_id as varchar) = trim(term)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.functions.dates import AsOf, completed_years, day
+from wardline.functions.dates import AsOf, completed_years, day, years_by_days
 from wardline.functions.money import sum_money_or_zero
 from wardline.functions.ordering import down, up
 from wardline.sources.tables import Hospital
@@ -82,7 +82,12 @@ def low_stock(h: Hospital) -> DataFrame:
 
 
 def patient_age(h: Hospital, *, as_of: AsOf) -> DataFrame:
-    return h.patients.select("patient_id", completed_years("date_of_birth", as_of).cast("int").alias("age"))
+    """Completed years, and the age by days that the patient card shows."""
+    return h.patients.select(
+        "patient_id",
+        completed_years("date_of_birth", as_of).cast("int").alias("age"),
+        years_by_days("date_of_birth", as_of).alias("card_age"),
+    )
 
 
 def slot_availability(h: Hospital, slots: DataFrame) -> DataFrame:

@@ -51,9 +51,11 @@ def like_pairs(rows: DataFrame, text: str, patterns: DataFrame, pattern: str) ->
     return found.join(wanted, pattern)
 
 
-def search_patients(h: Hospital, terms: DataFrame, *, n: int = 10, min_chars: int = 2) -> DataFrame:
-    """terms: term_id, term. Patients whose name or phone contains the term or whose id is the term,
-    the first n by name for each term."""
+def search_patients(
+    h: Hospital, terms: DataFrame, *, n: int | None = 10, min_chars: int = 2, match_id: bool = True
+) -> DataFrame:
+    """terms: term_id, term. Patients whose name or phone contains the term or, with match_id, whose id is
+    the term; the first n by name for each term (None: all of them, unranked)."""
     asked = terms.filter(F.length(strip("term")) >= min_chars)
     by_name = asked.select("term_id", F.lower(plain_pattern(F.col("term"))).alias("_pattern"))
     by_phone = asked.select("term_id", plain_pattern(F.col("term")).alias("_pattern"))
@@ -63,18 +65,18 @@ def search_patients(h: Hospital, terms: DataFrame, *, n: int = 10, min_chars: in
     hits = (
         like_pairs(base.withColumn("_text", F.lower("full_name")), "_text", by_name, "_pattern").select(*keep)
         .unionByName(like_pairs(base.withColumn("_text", F.col("phone")), "_text", by_phone, "_pattern").select(*keep))
-        .unionByName(base.withColumn("_id", F.col("patient_id").cast("string")).join(by_id, "_id").select(*keep))
-        .distinct()
-    )
-    first = top_per(hits, "term_id", [up("full_name"), up("patient_id")], n).drop("full_name")
-    details = h.patients.select(
-        "patient_id", "full_name", "phone", "date_of_birth", "blood_group", "gender", "status", "email", "insurance_id"
-    )
-    return (
-        first.join(details, "patient_id")
-        .join(h.insurance.select("insurance_id", "provider_name"), "insurance_id", "left")
-        .drop("insurance_id")
     )
+    if match_id:
+        same_id = base.withColumn("_id", F.col("patient_id").cast("string")).join(by_id, "_id")
+        hits = hits.unionByName(same_id.select(*keep))
+    hits = hits.distinct()
+    if n is not None:
+        hits = top_per(hits, "term_id", [up("full_name"), up("patient_id")], n)
+    shown = ("full_name", "phone", "date_of_birth", "blood_group", "gender", "status", "email", "address", "emergency_contact",
+             "registration_date", "insurance_id")
+    details = h.patients.select("patient_id", *[c for c in shown if c in h.patients.columns])
+    policies = h.insurance.select("insurance_id", "provider_name", "policy_number", "coverage_amount", "expiry_date")
+    return hits.drop("full_name").join(details, "patient_id").join(policies, "insurance_id", "left").drop("insurance_id")
 
 
 def link_users_to_doctors(h: Hospital) -> DataFrame:

@@ -399,7 +399,7 @@ def inventory(h: Hospital, *, text: str | None = None, category: str | None = No
         rows = rows.filter(F.col("stock_quantity") == 0)
     return rows.select(
         "medicine_id", "brand_name", "generic_name", "category", "stock_quantity", "reorder_level", "unit_price",
-        "expiry_date", stock_band().alias("band"),
+        "expiry_date", *[c for c in rows.columns if c == "manufacturer"], stock_band().alias("band"),
     ).orderBy(up("brand_name"), up("medicine_id"))
 
 

@@ -4,10 +4,10 @@ A success clears the counter. Attempts during a lock are ignored. The counter is
 runs out, so the next failure locks again.
 
 The stream keeps (failures, locked_until) per account. The batch twin walks each account's attempts in
-order; accounts with very many attempts are cut into time slices. A slice is first turned into a table
+order; accounts with very many attempts are cut into time slices. A slice is first turned into rows
 "state at entry -> state at exit" for every state that can matter: five counter classes when unlocked,
-or the attempt at which a lock from before runs out. These small tables are chained per account, and
-then all slices are walked side by side, each from its true entry state.
+or the attempt at which a lock from before runs out. The rows that really occur are found by joins with
+doubling distance, and then all slices are walked side by side, each from its true entry state.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wardline.sources.staging import cut
 
@@ -33,7 +33,7 @@ _LOCK = LOCK_MINUTES * 60 * 1_000_000
 _TOP = MAX_FAILURES - 1
 _OPEN = -1
 SPLIT_OVER = 200_000
-SLICE_HOURS = 24
+SLICE_HOURS = 6
 _SLICE = SLICE_HOURS * 3600 * 1_000_000
 
 OUTPUT = "user_id long, event_id long, at long, outcome string, failed_attempts long, locked_until long"
@@ -88,17 +88,22 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-_MAP = "user_id long, slice long, starts array<long>, resets array<boolean>, counts array<long>, locks array<long>"
+_EXITS = "user_id long, slice long, entry int, start_at long, reset boolean, count long, lock long"
+_NEVER = 1 << 62
 
 
-def _slice_map(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exit state for each entry: the five unlocked classes, then each attempt a running lock may end at."""
+def _slice_exits(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Exit state of one slice for each entry that can matter.
+
+    Entries 0 to 4 are the counter classes of an unlocked account. Entry 4 + i is an account whose running
+    lock ends before attempt i; a lock from before the slice ends within its first half hour.
+    """
     pdf = pdf.sort_values(["at", "event_id"])
     at, ok = pdf["at"].to_numpy(), pdf["succeeded"].to_numpy()
-    n = len(at)
+    n, user, part = len(at), pdf["user_id"].iloc[0], pdf["slice"].iloc[0]
     after = np.searchsorted(at, at + _LOCK, side="left")
-    # exits[c]: (reset?, count or increment, lock) when unlocked with class c before attempt i; i runs backwards.
-    window = int(np.searchsorted(at, pdf["slice"].iloc[0] * _SLICE + _LOCK, side="left"))
+    window = int(np.searchsorted(at, part * _SLICE + _LOCK, side="left"))
+    # exits[i][c]: (reset?, count or increment, lock) for class c before attempt i; i runs backwards.
     exits = {n: [(False, 0, _OPEN)] * MAX_FAILURES}
     for i in range(n - 1, -1, -1):
         follow = exits[i + 1]
@@ -111,40 +116,73 @@ def _slice_map(pdf: pd.DataFrame) -> pd.DataFrame:
             reset, count, lock = exits[j][_TOP]
             row.append((reset, count if reset else count + 1, int(at[i]) + _LOCK if j == n else lock))
             exits[i] = row
-    entries = list(exits[0]) + [exits[i][_TOP] for i in range(1, window + 1)]
-    starts = [int(t) for t in at[: window + 1]]
-    resets, counts, locks = zip(*entries)
-    return pd.DataFrame(
-        {
-            "user_id": [pdf["user_id"].iloc[0]],
-            "slice": [pdf["slice"].iloc[0]],
-            "starts": [starts],
-            "resets": [[bool(r) for r in resets]],
-            "counts": [[int(c) for c in counts]],
-            "locks": [[int(v) for v in locks]],
-        }
-    )
+    rows = [(user, part, c, int(at[0]) if c == _TOP else None, *exits[0][c]) for c in range(MAX_FAILURES)]
+    for i in range(1, window + 1):
+        rows.append((user, part, _TOP + i, int(at[i]) if i < n else _NEVER, *exits[i][_TOP]))
+    return pd.DataFrame(rows, columns=["user_id", "slice", "entry", "start_at", "reset", "count", "lock"])
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry state of every slice of one account, from the slices' maps in time order."""
-    pdf = pdf.sort_values("slice")
+def _counters(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Entry state of every slice of one account, from the one exit per slice that applies."""
     failures, locked, rows = 0, _OPEN, []
-    for user, part, starts, resets, counts, locks in pdf.itertuples(index=False):
+    for user, part, reset, count, lock in pdf.sort_values("slice").itertuples(index=False):
         rows.append((user, part, failures, locked))
-        first = int(np.searchsorted(np.asarray(starts), locked, side="left"))
-        if first == 0:
-            entry = min(failures, _TOP)
-        elif first < len(starts) or len(counts) > _TOP + first:
-            entry = _TOP + first
-        else:
-            continue
-        failures = counts[entry] if resets[entry] else failures + counts[entry]
-        # No attempt changed the lock: an old lock that still runs stays, an expired one no longer matters.
-        locked = max(locks[entry], locked if not resets[entry] and counts[entry] == 0 else _OPEN)
+        failures, locked = (count if reset else failures + count), lock
     return pd.DataFrame(rows, columns=["user_id", "slice", "entry_failures", "entry_locked"])
 
 
+def _entries(sliced: DataFrame) -> DataFrame:
+    """True entry state of every slice of the large accounts.
+
+    The exit of a slice says at which entry the account's next slice is entered, so the entries form chains.
+    The ones that really occur are those reachable from an account's first slice with a clean counter. They
+    are found by jumps of 1, 2, 4, ... slices, so the number of joins grows with the logarithm of the
+    number of slices and no account passes one task. A lock is shorter than a slice and never outlasts the next.
+    """
+    exits = cut(sliced.groupBy("user_id", "slice").applyInPandas(_slice_exits, _EXITS))
+    in_order = W.partitionBy("user_id").orderBy("slice")
+    slices = exits.filter("entry = 0").select("user_id", "slice", F.lead("slice").over(in_order).alias("to_slice"))
+    leaving = exits.join(slices.filter("to_slice is not null"), ["user_id", "slice"])
+    fresh = F.when(F.col("reset"), F.col("count")).otherwise(F.least("entry", F.lit(_TOP)) + F.col("count"))
+    open_edges = leaving.filter(F.col("lock") == _OPEN).select(
+        "user_id", "slice", "entry", "to_slice", F.least(fresh, F.lit(_TOP)).cast("int").alias("to_entry")
+    )
+    # A running lock enters the next slice at the first attempt not before its end.
+    ends = leaving.filter(F.col("lock") != _OPEN).select(
+        "user_id", F.col("to_slice").alias("in_slice"), F.col("lock").alias("t"), F.lit(0).alias("kind"), "slice", "entry",
+        F.lit(None).cast("int").alias("to_entry"),
+    )
+    starts = exits.filter(F.col("start_at").isNotNull()).select(
+        "user_id", F.col("slice").alias("in_slice"), F.col("start_at").alias("t"), F.lit(1).alias("kind"),
+        F.lit(None).cast("long").alias("slice"), F.lit(None).cast("int").alias("entry"), F.col("entry").alias("to_entry"),
+    )
+    following = (
+        W.partitionBy("user_id", "in_slice").orderBy("t", "kind", "to_entry").rowsBetween(W.currentRow, W.unboundedFollowing)
+    )
+    locked_edges = (
+        ends.unionByName(starts)
+        .withColumn("to_entry", F.first("to_entry", ignorenulls=True).over(following))
+        .filter("kind = 0")
+        .select("user_id", "slice", "entry", F.col("in_slice").alias("to_slice"), "to_entry")
+    )
+    jumps = [cut(open_edges.unionByName(locked_edges))]
+    while not jumps[-1].isEmpty():
+        near = jumps[-1].withColumnsRenamed({"to_slice": "mid_slice", "to_entry": "mid_entry"})
+        far = jumps[-1].withColumnsRenamed({"slice": "mid_slice", "entry": "mid_entry"})
+        doubled = near.join(far, ["user_id", "mid_slice", "mid_entry"]).drop("mid_slice", "mid_entry")
+        jumps.append(cut(doubled))
+    reached = exits.groupBy("user_id").agg(F.min("slice").alias("slice")).withColumn("entry", F.lit(0))
+    for jump in reversed(jumps[:-1]):
+        onward = jump.join(reached, ["user_id", "slice", "entry"], "left_semi").select(
+            "user_id", F.col("to_slice").alias("slice"), F.col("to_entry").alias("entry")
+        )
+        reached = cut(reached.unionByName(onward))
+    path = exits.join(reached, ["user_id", "slice", "entry"], "left_semi").select("user_id", "slice", "reset", "count", "lock")
+    return path.groupBy("user_id").applyInPandas(
+        _counters, "user_id long, slice long, entry_failures long, entry_locked long"
+    )
+
+
 def lockouts(attempts: DataFrame, *, split_over: int = SPLIT_OVER) -> DataFrame:
     """Outcome and account state after every attempt. attempts: user_id, event_id, ts, succeeded."""
     base = attempts.select("user_id", "event_id", _micros("ts").alias("at"), "succeeded")
@@ -155,11 +193,8 @@ def lockouts(attempts: DataFrame, *, split_over: int = SPLIT_OVER) -> DataFrame:
     if large.isEmpty():
         entered = sliced.withColumns({"entry_failures": F.lit(0).cast("long"), "entry_locked": F.lit(_OPEN).cast("long")})
     else:
-        maps = sliced.filter("_large").drop("_large").groupBy("user_id", "slice").applyInPandas(_slice_map, _MAP)
-        entries = maps.groupBy("user_id").applyInPandas(
-            _chain, "user_id long, slice long, entry_failures long, entry_locked long"
-        )
-        entered = sliced.join(cut(entries), ["user_id", "slice"], "left").fillna({"entry_failures": 0, "entry_locked": _OPEN})
+        entries = cut(_entries(sliced.filter("_large").drop("_large")))
+        entered = sliced.join(entries, ["user_id", "slice"], "left").fillna({"entry_failures": 0, "entry_locked": _OPEN})
     ordered = entered.drop("_large").repartition("user_id", "slice").sortWithinPartitions("user_id", "slice", "at", "event_id")
     return _shaped(ordered.mapInPandas(_walk, OUTPUT))
 
