@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from wardline.catalog import everything
 
 FOLDER = f"{os.environ.get('TESTDATA', '/root/testdata')}/sf0.001"
 STAR = "region nation customer supplier part orders lineitem events".split()
-QUERIES, CHECKS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, CHECKS = everything.QUERIES, everything.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
