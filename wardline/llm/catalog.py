@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bpe, quality_rules
+from wardline.llm import bpe, langid, quality_model, quality_rules, warc
 from wardline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@query("op4_warc_archives")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of the threshold table for every document."""
