@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bpe, langid, pii, quality_model, quality_rules, warc
+from wardline.llm import bpe, langid, pii, quality_model, quality_rules, shingle_join, warc
 from wardline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@query("op2_shingle_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are similar."""
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op4_warc_archives")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives and read back."""
