@@ -15,6 +15,8 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone and whole.
 SLICE_BYTES = 4 << 20
+#: The same for byte-wise numpy work, whose arrays then stay in a core's cache.
+CACHE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.llm.common import flat, slices
+from wardline.llm.common import CACHE_BYTES, flat, slices
 
 WINDOW = 160
 WIDTHS = (2, 3, 4)
@@ -197,7 +197,7 @@ def predict(df: DataFrame, net: Network | None, text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = shared.value
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, CACHE_BYTES):
                 if predictor is None:
                     names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 else:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.llm.common import flat, slices
+from wardline.llm.common import CACHE_BYTES, flat, slices
 
 BUCKETS = 1 << 18
 SIZE = 12
@@ -173,7 +173,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, CACHE_BYTES):
                 found = np.full(part.num_rows, 0.5) if shared.value is None else scores(shared.value, *flat(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.float64())], [*kept, "score"])
 

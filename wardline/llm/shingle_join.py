@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm.common import flat, keep, list_array, slices
+from wardline.llm.common import CACHE_BYTES, flat, keep, list_array, slices
 
 PERCENT = 85
 WORDS = 4
@@ -105,13 +105,40 @@ def shingles(words: np.ndarray, counts: np.ndarray, size: int) -> list[np.ndarra
     return out
 
 
-def ordered(one: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The set in the common order; frequent elements carry a high bit, so that the order is numeric."""
-    if not len(frequent) or not len(one):
-        return one
-    at = np.searchsorted(frequent, one)
-    hit = frequent[np.minimum(at, len(frequent) - 1)] == one
-    return np.concatenate([one[~hit], one[hit] | _FLAG]) if hit.any() else one
+class Frequent:
+    """The frequent shingles, with a table over their leading bits that settles most others."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.table = np.zeros(1 << 21, bool)
+        self.table[values >> 40] = True
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        hit = self.table[hashes >> 40]
+        maybe = np.flatnonzero(hit)
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.values, hashes[maybe]), len(self.values) - 1)
+            hit[maybe] = self.values[at] == hashes[maybe]
+        return hit
+
+    def ordered(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        """The sets in the common order; frequent elements carry a high bit, so that the order is numeric."""
+        if not sets or not len(self.values):
+            return sets
+        every = np.concatenate(sets)
+        hit = self.among(every)
+        if not hit.any():
+            return sets
+        ends = np.cumsum([len(s) for s in sets])
+        hits = np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], ends))]
+        out, at = [], 0
+        for one, many, end in zip(sets, np.diff(hits), ends):
+            if many:
+                mine = hit[at:end]
+                one = np.concatenate([one[~mine], one[mine] | _FLAG])
+            out.append(one)
+            at = end
+        return out
 
 
 def least_overlap(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -123,10 +150,18 @@ def _sets(part: pa.RecordBatch, text: str, size: int) -> list[np.ndarray]:
         return shingles(*word_hashes(*flat(part.column(text))), size)
 
 
-def _key(one: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        raw = one.view(np.uint64)
-        return int(raw.sum().view(np.int64)), int(_mixed(raw ^ _B).sum().view(np.int64))
+def _keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit sums per set, by which sets are told apart."""
+    out = np.zeros((len(sets), 2), np.int64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        raw = np.concatenate(sets).view(np.uint64)
+        starts = (np.cumsum(sizes) - sizes)[full]
+        with np.errstate(over="ignore"):
+            out[full, 0] = np.add.reduceat(raw, starts).view(np.int64)
+            out[full, 1] = np.add.reduceat(_mixed(raw ^ _B), starts).view(np.int64)
+    return out
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
@@ -135,9 +170,10 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen, sets = set(), []
-            for part in slices(batch, "text"):
-                for one in _sets(part, "text", size):
-                    if len(one) and (key := _key(one)) not in seen:
+            for part in slices(batch, "text", CACHE_BYTES):
+                new = _sets(part, "text", size)
+                for one, key in zip(new, map(tuple, _keys(new).tolist())):
+                    if len(one) and key not in seen:
                         seen.add(key)
                         sets.append(one)
             if sets:
@@ -155,12 +191,12 @@ def leading(docs: DataFrame, frequent: object, size: int, percent: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", CACHE_BYTES):
                 sets = _sets(part, "text", size)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 lead = np.minimum(sizes - least_overlap(sizes, percent) + 2, sizes)
-                heads = [ordered(s, frequent.value)[:k] for s, k in zip(sets, lead)]
-                keys = np.array([_key(s) for s in sets], np.int64).reshape(-1, 2)
+                heads = [s[:k] for s, k in zip(frequent.value.ordered(sets), lead)]
+                keys = _keys(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -253,8 +289,8 @@ def decided(pairs: DataFrame, docs: DataFrame, reps: DataFrame, frequent: object
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [np.sort(ordered(s, frequent.value)) for s in _sets(part, "text", size)]
+            for part in slices(batch, "text", CACHE_BYTES):
+                sets = frequent.value.ordered(_sets(part, "text", size))
                 lengths = np.array([len(s) for s in sets], np.int64)
                 values = pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(values, lengths)], ["doc_id", "whole"])
@@ -308,7 +344,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
     context = docs.sparkSession.sparkContext
-    frequent = context.broadcast(frequent_shingles(docs, words))
+    frequent = context.broadcast(Frequent(frequent_shingles(docs, words)))
     sets = keep(leading(docs, frequent, words, percent))
     by_key = ["k1", "k2", "n"]
     classes = keep(sets.filter("n > 0").groupBy(*by_key).agg(F.min("doc_id").alias("rep")))
