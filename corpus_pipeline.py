@@ -54,7 +54,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     coded = bpe.encode(docs, "text", ranks, public_tokenizers.PATTERN, "ids", "decoded")
     return coded.select(
         "doc_id",
-        F.decode("decoded", F.lit("UTF-8")).alias("text"),
+        F.decode("decoded", "UTF-8").alias("text"),
         "lang",
         "source",
         F.size("ids").cast("long").alias("n_tokens"),
