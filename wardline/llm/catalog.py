@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bpe, decontaminate, langid, pii, quality_model, quality_rules, shingle_join, warc
+from wardline.llm import bpe, chat, decontaminate, langid, pii, quality_model, quality_rules, shingle_join, warc
 from wardline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op3_chat_format")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with repaired roles, rendered."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 @query("op4_warc_archives")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives and read back."""
