@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bpe, chat, decontaminate, langid, pii, quality_model, quality_rules, shingle_join, warc
+from wardline.llm import bpe, chat, decontaminate, langid, pii, quality_model, quality_rules, repeats, shingle_join, warc
 from wardline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op8_suffix_repeats")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings that stand in an earlier one."""
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 @query("op9_benchmark_templates")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, also with other numbers or names."""
