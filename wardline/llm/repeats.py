@@ -103,7 +103,8 @@ class Walker:
         left = np.where(has_left, (part(np.where(has_left, place - half, place), place) >> np.uint64(32)) | np.uint64(1), 0)
         right = np.where(has_right, (part(right, np.where(has_right, right + half, right)) >> np.uint64(32)) | np.uint64(1), 0)
         owner = np.searchsorted(ends, start, "right") - 1
-        return grams[place], _mixed(context), left.astype("u4"), right.astype("u4"), owner, start - ends[owner], place - start, more
+        # the least of many hashes is small: mixed again, the ranges get equal shares
+        return _mixed(grams[place]), _mixed(context), left.astype("u4"), right.astype("u4"), owner, start - ends[owner], place - start, more
 
     def texts(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Anchors of a flat byte array, long texts in pieces."""
