@@ -231,23 +231,25 @@ def boundary(reps: DataFrame, percent: int) -> int:
 
 
 def signatures(reps: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Rows (sig, id, n): pairs of leading elements for light sets, single ones for heavy sets."""
+    """Rows (sig, id, n, pos): pairs of leading elements for light sets, single ones for heavy sets.
+
+    pos is the number of elements before the signature's, for a pair before its later one and less one.
+    """
+    pairs = F.transform(
+        F.slice("lead", 1, F.size("lead") - 1),
+        lambda x, i: F.transform(
+            F.slice("lead", i + 2, F.size("lead")), lambda y, j: F.struct(F.xxhash64(x, y).alias("sig"), (i + j).alias("pos"))
+        ),
+    )
     light = reps.filter((F.col("n") <= limit) & (F.size("lead") > 1)).select(
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.slice("lead", 1, F.size("lead") - 1),
-                    lambda x, i: F.transform(F.slice("lead", i + 2, F.size("lead")), lambda y: F.xxhash64(x, y)),
-                )
-            )
-        ).alias("sig"),
-        F.col("doc_id").alias("id"),
-        "n",
+        F.explode(F.flatten(pairs)).alias("s"), F.col("doc_id").alias("id"), "n"
     )
     heavy = reps.filter(100 * F.col("n") > percent * limit).select(
-        F.explode(F.slice("lead", 1, F.greatest(F.size("lead") - 1, F.lit(1)))).alias("sig"), F.col("doc_id").alias("id"), "n"
+        F.posexplode(F.slice("lead", 1, F.greatest(F.size("lead") - 1, F.lit(1)))).alias("pos", "sig"),
+        F.col("doc_id").alias("id"),
+        "n",
     )
-    return light.union(heavy)
+    return light.select("s.sig", "id", "n", "s.pos").union(heavy.select("sig", "id", "n", "pos"))
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -354,7 +356,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     limit = boundary(reps, percent)
     marks = signatures(reps, limit, percent)
     lists = marks.groupBy("sig").agg(F.min("id").alias("pivot"), F.count("*").alias("many")).filter("many > 1")
-    shared = keep(marks.join(lists, "sig").select("sig", "id", "n", "pivot"))
+    shared = keep(marks.join(lists, "sig").select("sig", "id", "n", "pos", "pivot"))
     stars = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     first = decided(stars, docs, reps, frequent, words, percent)
     links = first.filter("linked").select("a", "b")
@@ -387,11 +389,21 @@ def _split_lists(shared: DataFrame, labels: DataFrame, stars: DataFrame) -> Data
 
 
 def _open_pairs(split: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list that can still link two components."""
+    """Pairs of one list that can still link two components.
+
+    Sets of n and m elements that link share at least percent * (n + m) / (100 + percent). The list of their
+    first shared signature stands in front of all but the places that may be unshared, in both of them; what
+    they share before, at and after a place is no more than either side has there.
+    """
     reach = 1 - percent / 100 + 1e-9
-    x = split.select("sig", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "label", "low", "high")))
-    y = split.select("sig", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "label", "low", "high")))
+    columns = ("id", "n", "pos", "label", "low", "high")
+    x = split.select("sig", *(F.col(c).alias(f"{c}_x") for c in columns))
+    y = split.select("sig", *(F.col(c).alias(f"{c}_y") for c in columns))
     near = (F.col("low_x") - F.col("high_y") <= reach) & (F.col("low_y") - F.col("high_x") <= reach)
-    sized = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    pairs = x.join(y, "sig").filter((F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y")) & sized & near)
+    needed = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100 + percent) - 1e-9)
+    early = (F.col("pos_x") <= F.col("n_x") - needed) & (F.col("pos_y") <= F.col("n_y") - needed)
+    most = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    pairs = x.join(y, "sig").filter(
+        (F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y")) & near & early & (most >= needed)
+    )
     return pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
