@@ -52,9 +52,11 @@ def folded_case() -> np.ndarray:
 
 
 def train(
-    windows: list[bytes], labels: list[str], epochs: int = 10, batch: int = 128, rate: float = 4e-3, seed: int = 7
+    windows: list[bytes], labels: list[str], epochs: int = 10, batch: int = 128, rate: float = 4e-3, seed: int = 7, steps: int = 600
 ) -> Network:
-    """Fit by Adam on cross-entropy. Windows are at most WINDOW bytes."""
+    """Fit by Adam on cross-entropy, at least `steps` steps. Windows are at most WINDOW bytes."""
+    batch = min(batch, max(8, len(windows) // 4))
+    epochs = max(epochs, -(-steps * batch // max(len(windows), 1)))
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     y = np.array([names.index(x) for x in labels])
