@@ -77,6 +77,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+CHECKS["op10_quality_rules"] = quality_rules.check_sql()
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of the threshold table for every document."""

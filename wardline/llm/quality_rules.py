@@ -166,3 +166,43 @@ def verdicts(docs: DataFrame) -> DataFrame:
     return judged.select(
         "doc_id", *(f"quality.{n}" for n in MEASURES), "quality.base_failed", "quality.kept"
     )
+
+
+def check_sql() -> str:
+    """The same verdicts in DuckDB SQL, from the same tables of words, symbols and thresholds."""
+    stop = ", ".join(f"'{w}'" for w in STOP_FORMS)
+    failed = []
+    for rule in RULES:
+        bounds = [f"{rule.part} >= {rule.low!r} * {rule.whole}"] if rule.low is not None else []
+        bounds += [f"{rule.part} <= {rule.high!r} * {rule.whole}"] if rule.high is not None else []
+        failed.append(f"({rule.whole} >= {rule.since} and not ({' and '.join(bounds)}))")
+    blank = r"[\x20\x09-\x0D]"
+    return rf"""
+with texts as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+words as (
+  select r, doc_id, t,
+    list_filter(string_split_regex(t, '{blank}+'), lambda w: w <> '') as ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+  from texts
+),
+windows as (
+  select r, i, array_to_string(ws[i : i + {WINDOW - 1}], ' ') as v
+  from (select r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) as i from words)
+),
+twice as (select r, i from (select r, i, count(*) over (partition by r, v) as n from windows) where n > 1),
+covered as (select r, count(distinct i + k) as n from twice, (select unnest(range(0, {WINDOW})) as k) group by r),
+measured as (
+  select r, doc_id, len(ws)::bigint as n_words,
+    coalesce(length(array_to_string(ws, '')), 0)::bigint as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+    coalesce(c.n, 0)::bigint as n_repeat_words,
+    len(list_filter(ws, lambda w: list_contains([{stop}], w)))::bigint as n_stop_words,
+    len(ls)::bigint as n_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '[.!?]{blank}*\z')))::bigint as n_mark_lines,
+    length(regexp_replace(t, '\P{{Lu}}', '', 'g'))::bigint as n_upper
+  from words left join covered c using (r)
+),
+based as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from measured)
+select doc_id, {", ".join(MEASURES)}, base_failed, not base_failed and not ({" or ".join(failed)}) as kept from based
+"""
