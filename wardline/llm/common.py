@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.sources.staging import cut
 
-# Removes a query's shuffle files when the query ends instead of when the driver collects garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: its shuffle files go when the query ends instead of when the driver collects
+# garbage, and Arrow batches of long texts stay small.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone and whole.
 SLICE_BYTES = 4 << 20
@@ -26,12 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and go on from there; its shuffle files go at once."""
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+    before = {k: conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        conf.set(k, v)
     try:
         return cut(df)
     finally:
-        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

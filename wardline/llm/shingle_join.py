@@ -38,6 +38,8 @@ PERCENT = 85
 WORDS = 4
 #: Frequent shingles that are told to every task: at most this many (8 bytes each).
 FREQUENT = 200_000
+#: Shingles that a task counts together.
+COUNTED = 3_000_000
 #: Count over all documents from which a shingle may be among them.
 FREQUENT_FROM = 16
 #: Rows up to which a list of document ids is broadcast (8 bytes each); beyond it the join shuffles.
@@ -165,24 +167,30 @@ def _keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """The shingles of highest count over all documents; every task counts its own first."""
+    """The shingles of highest count over all documents; every task first counts COUNTED at a time."""
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_counts=True)
+        more = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(values[more]), pa.array(counts[more].astype(np.int64))], ["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, sets, held = set(), [], 0
         for batch in batches:
-            seen, sets = set(), []
             for part in slices(batch, "text", CACHE_BYTES):
                 new = _sets(part, "text", size)
                 for one, key in zip(new, map(tuple, _keys(new).tolist())):
                     if len(one) and key not in seen:
                         seen.add(key)
                         sets.append(one)
-            if sets:
-                values, counts = np.unique(np.concatenate(sets), return_counts=True)
-                more = counts > 1
-                yield pa.RecordBatch.from_arrays([pa.array(values[more]), pa.array(counts[more].astype(np.int64))], ["h", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h")
+                        held += len(one)
+                if held >= COUNTED:
+                    yield counted(sets)
+                    seen, sets, held = set(), [], 0
+        yield counted(sets)
+
+    sums = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = sums.filter(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h")
     return np.sort(np.array([r[0] for r in top.collect()], np.int64))
 
 
