@@ -50,3 +50,22 @@ def test_one_key_holds_everything(spark):
         df, key="k", order=("ts", "rid"), row_id="rid", units="units", room="room", fold_limit=10
     ).collect()
     assert {r.rid: (r.admitted, r.used_before) for r in got} == brute(rows, 0)
+
+
+@pytest.mark.parametrize("fold_limit", [0, 6, 100000])
+def test_values_close_with_the_first_admitted_request(spark, fold_limit):
+    rng = random.Random(fold_limit)
+    rows = [(*r, 100 * r[0] + rng.randrange(12)) for r in sample(3, 7, 700)]
+    left, closed, want = {}, set(), {}
+    for key, ts, rid, units, room, value in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        have = left.setdefault(key, room)
+        ok = units is not None and 0 < units <= have and value not in closed
+        want[rid] = (ok, room - have, value in closed)
+        if ok:
+            left[key] = have - units
+            closed.add(value)
+    df = spark.createDataFrame(rows, "k long, ts long, rid long, units long, room long, v long").repartition(6)
+    got = admit_in_order(
+        df, key="k", order=("ts", "rid"), row_id="rid", units="units", room="room", fold_limit=fold_limit, once="v"
+    ).collect()
+    assert {r.rid: (r.admitted, r.used_before, r.closed) for r in got} == want

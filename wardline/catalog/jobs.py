@@ -214,6 +214,9 @@ _PAY_REASON = """
     select r.request_id, w.used_before, coalesce(w.admitted, false) as accepted,
            case when w.admitted then null when b.bill_id is null then 'Bill not found.'
                 when w.used_before > 0 and w.used_before >= b.net_payable then 'This bill has already been fully paid.'
+                when r.payment_mode not in ('Cash', 'Card', 'UPI', 'Insurance') then 'Unknown payment mode.'
+                when r.payment_mode in ('Card', 'UPI') and coalesce(trim(r.transaction_ref), '') = ''
+                  then 'Transaction reference is required for ' || r.payment_mode || ' payments.'
                 when r.amount <= 0 then 'Payment amount must be greater than 0.'
                 else 'Payment of ₹' || cast(r.amount as varchar) || ' would exceed outstanding amount of ₹'
                      || cast(cast(b.net_payable - w.used_before as decimal(12,2)) as varchar) || '.' end as reason
@@ -226,6 +229,13 @@ def j08(h: Hospital) -> DataFrame:
     return decided.select("request_id", F.col("admitted").alias("accepted"), "reason")
 
 
+@query("j08c_payment_rounds", f"select request_id, accepted from ({_PAY_REASON}) x")
+def j08c(h: Hospital) -> DataFrame:
+    """Every contested bill decided in rounds, as those with very many payments are."""
+    decided = payments.decide_payments(h.new_bills, None, h.payment_requests, fold_limit=0)
+    return decided.select("request_id", F.col("admitted").alias("accepted"))
+
+
 @query(
     "j08b_bills_after_payments",
     f"select bill_id, {m('net_payable')}, status, {m('coalesce(paid, 0)', 'paid')} from {{bills}} left join {{received}} using (bill_id)",
@@ -245,7 +255,7 @@ def j08b(h: Hospital) -> DataFrame:
     "j09_dispense",
     """select q.request_id, coalesce(w.admitted, false) as accepted,
               case when w.admitted then null when p.rx_id is null then 'Prescription not found.'
-                   when p.is_dispensed or s.nth > 1 then 'Prescription has already been dispensed.'
+                   when p.is_dispensed or w.closed then 'Prescription has already been dispensed.'
                    when q.quantity < 1 then 'Quantity must be at least 1.'
                    when s.room - w.used_before = 0 then 'OUT OF STOCK — cannot dispense.'
                    else 'Cannot dispense ' || q.quantity || ' units. Only ' || cast(s.room - w.used_before as bigint) || ' in stock.' end as reason
@@ -257,6 +267,13 @@ def j09(h: Hospital) -> DataFrame:
     return decided.select("request_id", F.col("admitted").alias("accepted"), "reason")
 
 
+@query("j09d_dispense_rounds", "select request_id, coalesce(admitted, false) as accepted from {dispense_requests} left join {hand_walk} using (request_id)")
+def j09d(h: Hospital) -> DataFrame:
+    """Every contested medicine decided in rounds, as those with very many requests are."""
+    decided = pharmacy.decide_dispense(h, h.dispense_requests, fold_limit=0)
+    return decided.select("request_id", F.col("admitted").alias("accepted"))
+
+
 @query("j09b_stock_after_dispense", "select medicine_id, stock_left as stock_quantity from {stock_after}")
 def j09b(h: Hospital) -> DataFrame:
     return pharmacy.dispense(h, h.dispense_requests).medicines.select("medicine_id", "stock_quantity")

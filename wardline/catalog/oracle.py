@@ -49,21 +49,21 @@ def _fixed() -> dict[str, str]:
     }
 
 
-def admission(name: str, source: str, key: str, amount: str, room: str, slack: str) -> dict[str, str]:
-    """Sequential admission row by row: recursion over the requests of each key."""
+def admission(name: str, source: str, key: str, amount: str, room: str, slack: str, once: str = "request_id") -> dict[str, str]:
+    """Sequential admission row by row: recursion over the requests of each key, with the values granted so far."""
+    fits = f"""coalesce(s.{amount} > 0 and w.used + s.{amount} <= s.{room} + {slack} and not (w.used > 0 and w.used >= s.{room})
+                   and not list_contains(w.granted, s.{once}), false)"""
     return {
         f"{name}_line": f"""
             select *, row_number() over (partition by {key} order by request_ts, request_id) as rn from {{{source}}}""",
         f"{name}_walk": f"""
             select {key}, cast(0 as bigint) as rn, cast(0 as decimal(18,2)) as used_before, cast(0 as decimal(18,2)) as used,
-                   false as admitted, cast(null as bigint) as request_id
+                   false as admitted, cast(null as bigint) as request_id, cast([] as bigint[]) as granted, false as closed
             from (select distinct {key} from {{{name}_line}}) k
             union all
-            select s.{key}, s.rn, cast(w.used as decimal(18,2)), cast(w.used + case when s.{amount} is not null and s.{amount} > 0
-                     and w.used + s.{amount} <= s.{room} + {slack} and not (w.used > 0 and w.used >= s.{room})
-                     then s.{amount} else 0 end as decimal(18,2)),
-                   coalesce(s.{amount} > 0 and w.used + s.{amount} <= s.{room} + {slack} and not (w.used > 0 and w.used >= s.{room}), false),
-                   s.request_id
+            select s.{key}, s.rn, cast(w.used as decimal(18,2)),
+                   cast(w.used + case when {fits} then s.{amount} else 0 end as decimal(18,2)), {fits}, s.request_id,
+                   case when {fits} then list_append(w.granted, s.{once}) else w.granted end, list_contains(w.granted, s.{once})
             from {name}_walk w join {{{name}_line}} s on s.{key} = w.{key} and s.rn = w.rn + 1""",
     }
 
@@ -94,7 +94,9 @@ JOBS: dict[str, str] = {
                unit_price, total
         from {charges} join {new_bills} using (appt_id)""",
     "owed_requests": """
-        select r.*, b.net_payable as room from {payment_requests} r join {new_bills} b on b.bill_id = r.bill_id""",
+        select r.* replace (case when r.payment_mode not in ('Cash', 'Card', 'UPI', 'Insurance') then null
+                                 when r.payment_mode in ('Card', 'UPI') and coalesce(trim(r.transaction_ref), '') = '' then null
+                                 else r.amount end as amount), b.net_payable as room from {payment_requests} r join {new_bills} b on b.bill_id = r.bill_id""",
     **admission("pay", "owed_requests", "bill_id", "amount", "room", "0.01"),
     "payments": """
         select row_number() over (order by r.request_ts, r.request_id) as payment_id, r.bill_id, r.amount as amount_paid,
@@ -110,11 +112,9 @@ JOBS: dict[str, str] = {
         select bill_id, sum(amount_paid) as paid from {payments} group by bill_id""",
     "stock_requests": """
         select q.*, p.medicine_id, p.is_dispensed, m.stock_quantity as room,
-               row_number() over (partition by q.rx_id order by q.request_ts, q.request_id) as nth,
-               case when row_number() over (partition by q.rx_id order by q.request_ts, q.request_id) = 1 and not p.is_dispensed
-                    then q.quantity end as units
+               case when not p.is_dispensed then q.quantity end as units
         from {dispense_requests} q join {prescriptions} p on p.rx_id = q.rx_id join {medicines} m on m.medicine_id = p.medicine_id""",
-    **admission("hand", "stock_requests", "medicine_id", "units", "room", "0"),
+    **admission("hand", "stock_requests", "medicine_id", "units", "room", "0", "rx_id"),
     "stock_after": """
         select m.*, cast(m.stock_quantity - coalesce(h.taken, 0) as int) as stock_left, h.taken is not null as touched
         from {medicines} m left join (

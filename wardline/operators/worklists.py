@@ -92,7 +92,6 @@ def booked_slots(h: Hospital) -> DataFrame:
     return (
         h.appointments.filter(F.col("status") != "Cancelled")
         .select("doctor_id", "appt_date", "appt_time")
-        .orderBy(up("doctor_id"), up("appt_date"), up("appt_time"))
     )
 
 
@@ -280,15 +279,11 @@ def bill_history(h: Hospital, *, name_like: str | None = None, status: str | Non
 
 
 def bill_items(h: Hospital) -> DataFrame:
-    return h.bill_items.select("bill_id", "item_id", "service_type", "description", "quantity", "unit_price", "total").orderBy(
-        up("bill_id"), up("item_id")
-    )
+    return h.bill_items.select("bill_id", "item_id", "service_type", "description", "quantity", "unit_price", "total")
 
 
 def payment_history(h: Hospital) -> DataFrame:
-    return h.payments.select("bill_id", "payment_id", "amount_paid", "payment_mode", "payment_date").orderBy(
-        up("bill_id"), up("payment_date"), up("payment_id")
-    )
+    return h.payments.select("bill_id", "payment_id", "amount_paid", "payment_mode", "payment_date")
 
 
 def bill_balances(h: Hospital) -> DataFrame:

@@ -12,6 +12,10 @@ so a running sum alone cannot decide it; yet no key may be gathered into one tas
   taken over range partitions and not over the key, finds the first request that either brings the use
   to half the room or is large and still fits. That request ends the round and the room has at least
   halved, so the number of rounds is bounded by the logarithm of the room, whatever the row count.
+
+With `once`, a value of that column (say, a prescription) is admitted at most once: the request admitted
+first closes it, a refused one does not. A fold carries the closed values. In a round of a large key only the
+first small request of a value that is still open counts, and its large ones before that.
 """
 
 from __future__ import annotations
@@ -38,11 +42,13 @@ def admit_in_order(
     room: str,
     slack: int = 0,
     fold_limit: int = FOLD_LIMIT,
+    once: str | None = None,
 ) -> DataFrame:
-    """Add `admitted` (boolean) and `used_before` (units admitted earlier for the key) to every request."""
+    """Add `admitted` (boolean) and `used_before` (units admitted earlier for the key) to every request;
+    with `once`, also `closed`: an earlier request was admitted for the same value."""
     laid = positioned(requests, [F.col(key), *[F.col(c) for c in order]])
     feasible = F.coalesce((F.col(units) > 0) & (F.col(units) <= F.col(room) + slack), F.lit(False))
-    candidates = laid.filter(feasible).select(key, "_part", "_pos", row_id, units, room)
+    candidates = laid.filter(feasible).select(key, "_part", "_pos", row_id, units, room, F.col(once or row_id).alias("_value"))
 
     contested = (
         candidates.groupBy(key)
@@ -54,7 +60,7 @@ def admit_in_order(
     many = contested.filter(F.col("_rows") > fold_limit)
 
     verdicts = _fold(candidates, few, key, row_id, units, room, slack)
-    steps = [] if many.isEmpty() else _rounds(candidates, many, key, units, room, slack)
+    steps = [] if many.isEmpty() else _rounds(candidates, many, key, units, room, slack, once is not None)
     if steps:
         each = F.struct("_from_part", "_from_pos", "_to_part", "_to_pos", "_left")
         plan = reduce(DataFrame.unionByName, steps).groupBy(key).agg(F.collect_list(each).alias("_steps"))
@@ -75,14 +81,25 @@ def admit_in_order(
         .withColumn("admitted", F.coalesce(admitted.otherwise(True), F.lit(False)))
         .drop("_ids", "_steps")
     )
-    return _used_before(decided, key, units)
+    return _used_before(decided if once is None else cut(_first_only(decided, key, once)), key, units)
+
+
+def _first_only(decided: DataFrame, key: str, once: str) -> DataFrame:
+    """Of the requests that fit, those that are first for their value; and who came after them."""
+    firsts = decided.filter("admitted").groupBy(key, once).agg(F.min(_place()).alias("_first"))
+    joined = decided.join(firsts, [key, once], "left")
+    return (
+        joined.withColumn("closed", F.coalesce(_place() > F.col("_first"), F.lit(False)))
+        .withColumn("admitted", F.col("admitted") & ~F.col("closed"))
+        .drop("_first")
+    )
 
 
 def _place() -> Column:
     return F.struct("_part", "_pos")
 
 
-def _inside(step: Column) -> Column:
+def _inside(step: Column | dict[str, Column]) -> Column:
     after = (F.col("_part") > step["_from_part"]) | (
         (F.col("_part") == step["_from_part"]) & (F.col("_pos") > step["_from_pos"])
     )
@@ -92,31 +109,40 @@ def _inside(step: Column) -> Column:
     return after & upto
 
 
+def _inside_columns() -> Column:
+    return _inside({c: F.col(c) for c in ("_from_part", "_from_pos", "_to_part", "_to_pos")})
+
+
 def _ends(step: Column) -> Column:
     return (F.col("_part") == step["_to_part"]) & (F.col("_pos") == step["_to_pos"])
 
 
 def _fold(candidates: DataFrame, few: DataFrame, key: str, row_id: str, units: str, room: str, slack: int) -> DataFrame:
     """Ids admitted per contested key of bounded size."""
-    rows = F.array_sort(F.collect_list(F.struct("_part", "_pos", F.col(units).alias("u"), F.col(row_id).alias("id"))))
+    rows = F.array_sort(F.collect_list(F.struct("_part", "_pos", F.col(units).alias("u"), F.col(row_id).alias("id"), F.col("_value").alias("v"))))
     grouped = (
         candidates.join(few.select(key), key, "left_semi").groupBy(key).agg(rows.alias("_rows"), F.first(room).alias("_room"))
     )
-    start = F.struct(F.col("_room").alias("left"), F.expr("cast(array() as array<bigint>)").alias("ids"))
+    none = F.slice(F.transform("_rows", lambda r: r["v"]), 1, 0)
+    start = F.struct(F.col("_room").alias("left"), F.expr("cast(array() as array<bigint>)").alias("ids"), none.alias("closed"))
 
     def step(state: Column, row: Column) -> Column:
         untouched = F.size(state["ids"]) == 0
-        fits = (row["u"] <= state["left"] + slack) & ((state["left"] > 0) | untouched)
-        taken = F.struct((state["left"] - row["u"]).alias("left"), F.concat(state["ids"], F.array(row["id"])).alias("ids"))
+        fits = (row["u"] <= state["left"] + slack) & ((state["left"] > 0) | untouched) & ~F.array_contains(state["closed"], row["v"])
+        taken = F.struct(
+            (state["left"] - row["u"]).alias("left"),
+            F.concat(state["ids"], F.array(row["id"])).alias("ids"),
+            F.concat(state["closed"], F.array(row["v"])).alias("closed"),
+        )
         return F.when(fits, taken).otherwise(state)
 
     return grouped.select(key, F.aggregate("_rows", start, step, lambda s: s["ids"]).alias("_ids"))
 
 
-def _rounds(candidates: DataFrame, many: DataFrame, key: str, units: str, room: str, slack: int) -> list[DataFrame]:
+def _rounds(candidates: DataFrame, many: DataFrame, key: str, units: str, room: str, slack: int, once: bool) -> list[DataFrame]:
     """Admission steps of large contested keys: stretches of the order and the room left at their start."""
-    rows = candidates.select(key, "_part", "_pos", units)
-    slices = cut(rows.join(many.select(key), key, "left_semi").select(key, "_part").distinct())
+    rows = cut(candidates.join(many.select(key), key, "left_semi").select(key, "_part", "_pos", units, "_value"))
+    slices = cut(rows.select(key, "_part").distinct())
     state = many.select(key, F.col(room).alias("_left"), F.lit(-1).alias("_from_part"), F.lit(-1).cast("long").alias("_from_pos"))
     small = F.col(units) * 2 <= F.col("_left")
     in_slice = W.partitionBy(key, "_part").orderBy("_pos")
@@ -128,6 +154,10 @@ def _rounds(candidates: DataFrame, many: DataFrame, key: str, units: str, room:
             & (F.col("_part") >= F.col("_from_part"))
             & (F.col(units) <= F.col("_left") + slack)
         )
+        if once:
+            first = active.filter(small).groupBy(key, "_value").agg(F.min(_place()).alias("_first"))
+            counts = F.col("_first").isNull() | F.when(small, _place() == F.col("_first")).otherwise(_place() < F.col("_first"))
+            active = cut(active.join(first, [key, "_value"], "left").filter(counts).drop("_first"))
         per_slice = active.groupBy(key, "_part").agg(F.sum(F.when(small, F.col(units)).otherwise(0)).alias("_slice"))
         offsets = per_slice.select(key, "_part", F.coalesce(F.sum("_slice").over(earlier), F.lit(0)).alias("_before"))
         summed = (
@@ -155,6 +185,11 @@ def _rounds(candidates: DataFrame, many: DataFrame, key: str, units: str, room:
             )
         )
         steps.append(step)
+        if once:
+            ended = active.drop("_left", "_from_part", "_from_pos").join(step, key).filter(
+                _inside_columns() & (small | ((F.col("_part") == F.col("_to_part")) & (F.col("_pos") == F.col("_to_pos"))))
+            )
+            rows = cut(rows.join(ended.select(key, "_value").distinct(), [key, "_value"], "left_anti"))
         state = step.filter(F.col("_next") > 0).select(
             key, F.col("_next").alias("_left"), F.col("_to_part").alias("_from_part"), F.col("_to_pos").alias("_from_pos")
         )

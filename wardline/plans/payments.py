@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions.money import money
 from wardline.functions.ordering import highest, with_sequence
+from wardline.functions.rules import transaction_ref
 from wardline.plans.admission import FOLD_LIMIT, admit_in_order
 from wardline.plans.common import REASON, first_failure, patched
 
@@ -16,6 +17,8 @@ TOLERANCE_CENTS = 1
 NOT_FOUND = "Bill not found."
 ALREADY_PAID = "This bill has already been fully paid."
 NOT_POSITIVE = "Payment amount must be greater than 0."
+MODES = ("Cash", "Card", "UPI", "Insurance")
+UNKNOWN_MODE = "Unknown payment mode."
 
 
 @dataclass
@@ -26,7 +29,7 @@ class PaymentRun:
 
 
 def _cents(column: str) -> Column:
-    return (F.col(column) * 100).cast("long")
+    return (F.col(column).cast("decimal(12,2)") * 100).cast("long")
 
 
 def _amount(cents: Column) -> Column:
@@ -47,7 +50,8 @@ def decide_payments(
 
     requests: request_id, bill_id, amount, payment_mode, transaction_ref, received_by, request_ts.
     Bills already paid in full when the run starts, unknown bills and rows without an amount are refused
-    outright; everything else is decided in (request_ts, request_id) order.
+    outright, as are unknown modes and card payments without a reference; everything else is decided in
+    (request_ts, request_id) order, in whole cents.
     """
     owed = bills.select("bill_id", "net_payable", F.col("status").alias("_status"))
     if payments is not None:
@@ -59,7 +63,9 @@ def decide_payments(
         requests.join(owed, "bill_id", "left")
         .withColumn("_open", F.col("net_payable").isNotNull() & (F.col("_status") != "Paid"))
         .withColumn("_room", _cents("net_payable") - _cents("_earlier"))
-        .withColumn("_cents", F.when(F.col("_open"), _cents("amount")))
+        .withColumn("_bad_mode", ~F.coalesce(F.col("payment_mode").isin(*MODES), F.lit(False)))
+        .withColumn("_no_ref", transaction_ref("transaction_ref", "payment_mode"))
+        .withColumn("_cents", F.when(F.col("_open") & ~F.col("_bad_mode") & F.col("_no_ref").isNull(), _cents("amount")))
     )
     ruled = admit_in_order(
         joined,
@@ -76,10 +82,12 @@ def decide_payments(
         (F.col("admitted"), F.lit(None).cast("string")),
         (F.col("net_payable").isNull(), NOT_FOUND),
         (closed, ALREADY_PAID),
+        (F.col("_bad_mode"), UNKNOWN_MODE),
+        F.col("_no_ref"),
         (F.coalesce(F.col("amount") <= 0, F.lit(True)), NOT_POSITIVE),
         (F.lit(True), exceeds(money("amount"), _amount(F.col("_room") - F.col("used_before")))),
     )
-    return ruled.withColumn(REASON, reason).drop("_status", "_earlier", "_open", "_cents")
+    return ruled.withColumn(REASON, reason).drop("_status", "_earlier", "_open", "_cents", "_bad_mode", "_no_ref")
 
 
 def record_payments(

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.functions.ordering import first_of
 from wardline.plans.admission import FOLD_LIMIT, admit_in_order
 from wardline.plans.common import REASON, Outcome, first_failure, known, patched
 from wardline.sources.tables import Hospital
@@ -32,19 +31,22 @@ class DispenseRun:
 def decide_dispense(h: Hospital, requests: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Every request with `admitted`, the units handed out before it and the reason for a refusal.
 
-    requests: request_id, request_ts, rx_id, quantity. The first request for a prescription in a batch
-    counts; the stock guard then runs per medicine in arrival order, and a refusal takes nothing.
+    requests: request_id, request_ts, rx_id, quantity. The stock guard runs per medicine in arrival order; a
+    refusal takes nothing, and only a request that is granted closes its prescription for later ones.
     """
     scripts = h.prescriptions.select("rx_id", "medicine_id", "is_dispensed")
     stock = h.medicines.select("medicine_id", F.col("stock_quantity").cast("long").alias("_stock"))
     joined = requests.join(scripts, "rx_id", "left").join(stock, "medicine_id", "left")
-    firsts = first_of(requests, ["rx_id"], ORDER, "request_id")
-    marked = known(joined, firsts, "request_id", "_first").withColumn(
-        "_units",
-        F.when(F.col("_first") & F.col("medicine_id").isNotNull() & ~F.col("is_dispensed"), F.col("quantity").cast("long")),
-    )
+    open_units = F.when(F.col("medicine_id").isNotNull() & ~F.col("is_dispensed"), F.col("quantity").cast("long"))
     ruled = admit_in_order(
-        marked, key="medicine_id", order=ORDER, row_id="request_id", units="_units", room="_stock", fold_limit=fold_limit
+        joined.withColumn("_units", open_units),
+        key="medicine_id",
+        order=ORDER,
+        row_id="request_id",
+        units="_units",
+        room="_stock",
+        fold_limit=fold_limit,
+        once="rx_id",
     )
     left = F.col("_stock") - F.col("used_before")
     short = F.concat(
@@ -53,12 +55,12 @@ def decide_dispense(h: Hospital, requests: DataFrame, fold_limit: int = FOLD_LIM
     reason = first_failure(
         (F.col("admitted"), F.lit(None).cast("string")),
         (F.col("is_dispensed").isNull(), NO_PRESCRIPTION),
-        (F.col("is_dispensed") | ~F.col("_first"), DISPENSED),
+        (F.col("is_dispensed") | F.col("closed"), DISPENSED),
         (F.coalesce(F.col("quantity") < 1, F.lit(True)), TOO_FEW),
         (left == 0, OUT_OF_STOCK),
         (F.lit(True), short),
     )
-    return ruled.withColumn(REASON, reason).drop("_first", "_units", "is_dispensed")
+    return ruled.withColumn(REASON, reason).drop("closed", "_units", "is_dispensed")
 
 
 def dispense(h: Hospital, requests: DataFrame, fold_limit: int = FOLD_LIMIT) -> DispenseRun:

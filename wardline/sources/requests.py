@@ -63,9 +63,12 @@ REQUESTS: dict[str, str] = {
         from {prescriptions} where rx_id % 10 = 0
         union all
         select rx_id * 4 + 2, prescribed_at, rx_id + 1000000000000, 1
-        from {prescriptions} where rx_id % 101 = 0""",
+        from {prescriptions} where rx_id % 101 = 0
+        union all
+        select rx_id * 4 + 3, prescribed_at, rx_id, case when rx_id % 2 = 0 then 0 else 115 end
+        from {prescriptions} where rx_id % 7 = 0""",
     "restock_requests": """
-        select l_orderkey * 100 + l_linenumber as request_id,
+        select line_id as request_id,
                l_partkey + case when l_orderkey % 400 = 0 then 10000000000 else 0 end as medicine_id,
                cast(l_quantity as int) - 2 as quantity
         from {rx_lines}""",

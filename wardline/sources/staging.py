@@ -1,7 +1,8 @@
 """Written tables in the shared folder: they cut lineage and survive the loss of executors.
 
-The folder is the one the cluster names in spark.checkpoint.dir. Only where that setting is absent, as
-in a plain local session, does the session get one of its own.
+The folder is the one the cluster names in spark.checkpoint.dir or by setCheckpointDir. Only a local
+session, whose executor is the driver itself, gets one of its own where neither is set; elsewhere that is
+an error, as executors would write to disks that the others do not see.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ _written: dict[tuple[str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    app = context.applicationId
     if named:
         return f"{named.rstrip('/')}/wardline/{app}"
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="wardline-")
     return f"{_own_folder[app]}/{app}"

@@ -79,11 +79,13 @@ VIEWS: dict[str, str] = {
                created_at + interval 82 hour as diagnosed_at
         from {appointments} where status = 'Completed' and appt_id % 5 <> 0""",
     "rx_lines": """
-        select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_quantity) as l_quantity,
-               min(l_shipdate) as l_shipdate, min(l_returnflag) as l_returnflag
-        from {lineitem} group by l_orderkey, l_linenumber""",
+        select l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate, l_returnflag,
+               l_orderkey * 1000 + row_number() over (
+                 partition by l_orderkey
+                 order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag) as line_id
+        from {lineitem}""",
     "prescriptions": """
-        select l_orderkey * 100 + l_linenumber as rx_id, l_orderkey as diag_id, l_partkey as medicine_id,
+        select line_id as rx_id, l_orderkey as diag_id, l_partkey as medicine_id,
                concat(cast(5 * l_linenumber as string), 'mg') as dosage,
                case l_linenumber % 3 when 0 then 'Once daily' when 1 then 'Twice daily' else 'Every 8 hours' end as frequency,
                1 + cast(l_quantity as int) % 14 as duration_days,
@@ -91,7 +93,7 @@ VIEWS: dict[str, str] = {
                l_shipdate as prescribed_at, l_returnflag = 'R' as is_dispensed
         from {rx_lines} join {diagnoses} on l_orderkey = diag_id""",
     "lab_orders": """
-        select l_orderkey * 100 + l_linenumber as order_id, l_orderkey as appt_id,
+        select line_id as order_id, l_orderkey as appt_id,
                cast(1 + l_linenumber % 6 as bigint) as test_id, l_shipdate as ordered_at,
                case when l_returnflag = 'N' then null
                     else concat(cast(cast(l_quantity as int) as string), ' mg/dL') end as result_value,
@@ -99,7 +101,7 @@ VIEWS: dict[str, str] = {
                case when l_returnflag = 'N' then 'Pending' else 'Done' end as status,
                case when l_returnflag = 'N' then null else l_shipdate + interval 6 hour end as result_date
         from {rx_lines} join {appointments} on l_orderkey = appt_id
-        where status in ('Confirmed', 'Completed') and l_linenumber <= 3""",
+        where status in ('Confirmed', 'Completed')""",
     "users": """
         select cast(n_nationkey as bigint) as user_id, concat('staff_', cast(n_nationkey as string)) as username,
                cast(case n_nationkey % 5 when 0 then 1 else 2 + n_nationkey % 5 end as bigint) as role_id,
@@ -123,8 +125,9 @@ VIEWS: dict[str, str] = {
                cast(cast(case bill_id % 4 when 1 then cents when 2 then cast((cents - cents % 2) / 2 as bigint)
                          else cast((cents * 6 - (cents * 6) % 10) / 10 as bigint) end as decimal(14,0))
                     * cast('0.01' as decimal(3,2)) as decimal(12,2)) as amount,
-               case bill_id % 3 when 0 then 'Cash' when 1 then 'Card' else 'UPI' end as payment_mode,
-               concat('TX', cast(bill_id as string)) as transaction_ref,
+               case bill_id % 3 when 0 then 'Cash' when 1 then case when bill_id % 53 = 0 then 'Bitcoin' else 'Card' end
+                    else 'UPI' end as payment_mode,
+               case bill_id % 41 when 0 then null when 1 then ' ' else concat('TX', cast(bill_id as string)) end as transaction_ref,
                cast(7 as bigint) as received_by, bill_date + interval 1 hour as request_ts
         from (select bill_id, bill_date, cast(net_payable * 100 as bigint) as cents from {new_bills}
               where net_payable > 0) b where bill_id % 4 <> 0

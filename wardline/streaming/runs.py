@@ -18,7 +18,7 @@ def parquet_stream(
     return reader.option("pathGlobFilter", names).parquet(folder)
 
 
-def run_to_parquet(stream: DataFrame, *, mode: str = "append", timeout: int = 600) -> DataFrame:
+def run_to_parquet(stream: DataFrame, *, mode: str = "append") -> DataFrame:
     """Process everything available, then return the sink's content. Needs no later batch to be complete."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
@@ -30,13 +30,11 @@ def run_to_parquet(stream: DataFrame, *, mode: str = "append", timeout: int = 60
         .trigger(availableNow=True)
         .start()
     )
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError("stream did not finish")
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def run_latest(stream: DataFrame, key: str, *, timeout: int = 600) -> DataFrame:
+def run_latest(stream: DataFrame, key: str) -> DataFrame:
     """Process everything available in update mode and return each key's last figures.
 
     Every batch adds its updates to a table together with the batch number; a repeated batch writes to
@@ -55,9 +53,7 @@ def run_latest(stream: DataFrame, key: str, *, timeout: int = 600) -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError("stream did not finish")
+    query.awaitTermination()
     numbered = StructType([*stream.schema.fields, StructField("batch", LongType())])
     updates = spark.read.schema(numbered).parquet(f"{base}/out")
     others = [c for c in stream.columns if c != key]
@@ -66,13 +62,12 @@ def run_latest(stream: DataFrame, key: str, *, timeout: int = 600) -> DataFrame:
 
 
 def audit_stream(feed: DataFrame, *, as_of: AsOf) -> DataFrame:
-    """A change feed (table_name, operation, record_id, old_values, new_values) as audit entries.
+    """A change feed (change_id, table_name, operation, record_id, old_values, new_values) as audit entries.
 
-    The entry id comes from the change itself, so a repeated batch repeats the same entries and readers
-    can tell them apart from new ones.
+    One entry per change, under the feed's own number: equal changes are two entries. That a repeated batch
+    adds nothing is the sink's part (`run_to_parquet` lists the files of finished batches only).
     """
-    identity = F.xxhash64("table_name", "operation", "record_id", "old_values", "new_values")
     return feed.select(
-        identity.alias("log_id"), "table_name", "operation", "record_id", "old_values", "new_values",
+        F.col("change_id").alias("log_id"), "table_name", "operation", "record_id", "old_values", "new_values",
         F.lit(None).cast("long").alias("changed_by"), stamp(as_of).alias("changed_at"),
     )
