@@ -38,6 +38,8 @@ from wardline.llm.common import CACHE_BYTES, flat, keep, list_array, slices
 LENGTH = 50
 GRAM = 16
 PIECE = 4 << 20
+#: Parts of a range, by the q-gram, whose contexts are sorted separately.
+PARTS = 8
 
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -126,14 +128,13 @@ def _first_of_runs(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_document(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """Documents that occur, and lists of the starts and ends of each."""
+def _by_document(doc: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray | pa.Array, ...]:
+    """Documents that occur, and lists of the values of each."""
     order = np.argsort(doc, kind="stable")
-    doc, start, end = doc[order], start[order], end[order]
+    doc = doc[order]
     heads = np.flatnonzero(_first_of_runs(doc)) if len(doc) else np.zeros(0, np.int64)
     many = np.diff(np.concatenate((heads, [len(doc)])))
-    lists = [list_array(pa.array(x.astype(np.int32)), many) for x in (start, end)]
-    return doc[heads], *lists
+    return doc[heads], *(list_array(pa.array(x[order].astype(np.int32)), many) for x in values)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -193,14 +194,14 @@ def _send(docs: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
 
 
 def _meet(sent: DataFrame, length: int) -> DataFrame:
-    """Per range: what equal contexts cover (kind 0), and the contexts to be fetched (kind 1)."""
+    """What equal contexts cover (kind 0), and the contexts to be fetched, with the part that each is sorted in (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
         r = table.column("range")[0].as_py()
         full = table.column("entries").is_valid()
-        early = table.filter(pa.compute.invert(full)).select(names[2:])
+        early = table.filter(pa.compute.invert(full)).select(["doc_id", "mark", "starts", "ends"])
         n = early.num_rows
-        out = [pa.table([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, r, np.int32)), *early.columns], names)]
+        out = [pa.table([pa.array(np.zeros(n, np.int32)), *early.columns, pa.nulls(n, pa.list_(pa.int32()))], names)]
         table = table.filter(full)
         if not table.num_rows:
             return out[0]
@@ -230,14 +231,15 @@ def _meet(sent: DataFrame, length: int) -> DataFrame:
             end = start + entries["more"][chosen] + length
             # rows of one document: by id and mark
             key = _mixed(ids[chosen].view(np.uint64)) ^ marks[chosen].view(np.uint64)
-            rows, starts, ends = _by_document(key, start, end)
+            rows, starts, ends, places = _by_document(key, start, end, r * PARTS + entries["gram"][chosen] % PARTS)
             at = np.zeros(len(rows), np.int64)
             at[np.searchsorted(rows, key)] = chosen
-            n = len(rows)
-            out.append(pa.table([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, r, np.int32)), pa.array(ids[at]), pa.array(marks[at]), starts, ends], names))
+            kinds = pa.array(np.full(len(rows), kind, np.int32))
+            places = places if kind else pa.nulls(len(rows), places.type)
+            out.append(pa.table([kinds, pa.array(ids[at]), pa.array(marks[at]), starts, ends, places], names))
         return pa.concat_tables(out)
 
-    schema = "kind int, range int, " + COVERED
+    schema = f"kind int, {COVERED}, places array<int>"
     names = [n.split()[0] for n in schema.split(", ")]
     return sent.groupBy("range").applyInArrow(run, schema)
 
@@ -284,9 +286,9 @@ def equal_strings(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
 
 
 def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Blocks by range: documents, begins and bytes of the contexts that were asked for."""
+    """Blocks by part: documents, begins and bytes of the contexts that were asked for."""
     wanted = asked.groupBy("doc_id", "mark").agg(
-        F.flatten(F.collect_list(F.transform("starts", lambda s: F.col("range")))).alias("ranges"),
+        F.flatten(F.collect_list("places")).alias("places"),
         F.flatten(F.collect_list("starts")).alias("starts"),
         F.flatten(F.collect_list("ends")).alias("ends"),
     )
@@ -298,7 +300,7 @@ def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 data, ends = flat(part.column("text"))
                 many = np.asarray(part.column("starts").value_lengths(), np.int64)
                 row = np.repeat(np.arange(part.num_rows), many)
-                place, start, end = (part.column(c).flatten().to_numpy() for c in ("ranges", "starts", "ends"))
+                place, start, end = (part.column(c).flatten().to_numpy() for c in ("places", "starts", "ends"))
                 order = np.argsort(place, kind="stable")
                 heads = np.flatnonzero(_first_of_runs(place[order])) if len(order) else []
                 for one in np.split(order, heads[1:]) if len(order) else []:
@@ -317,7 +319,7 @@ def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _settle(contexts: DataFrame, length: int) -> DataFrame:
-    """Per range: the strings of the fetched contexts that a smaller doc_id has too."""
+    """Per part: the strings of the fetched contexts that a smaller doc_id has too."""
 
     def run(table: pa.Table) -> pa.Table:
         column = lambda c: np.concatenate([np.asarray(x, np.int64) for x in table.column(c).to_pylist()])
