@@ -237,3 +237,54 @@ def test_order_of_rows_does_not_matter(spark, h):
     one = sorted(pharmacy.decide_dispense(h, asked.coalesce(1)).select("request_id", "admitted", "reason").collect())
     other = sorted(pharmacy.decide_dispense(h, asked.repartition(7, "quantity")).select("request_id", "admitted", "reason").collect())
     assert one == other
+
+
+def test_a_refused_request_does_not_close_its_prescription(spark, h):
+    asked = mini.requests(
+        spark, "request_id long, request_ts timestamp, rx_id long, quantity int",
+        (1, 1, 1, 11), (2, 2, 1, 0), (3, 3, 1, 3), (4, 4, 1, 1), (5, 5, 3, 8), (6, 6, 3, 7), (7, 7, 3, 0),
+    )
+    for limit in (0, 1000):
+        got = {r.request_id: (r.admitted, r.reason) for r in pharmacy.decide_dispense(h, asked, limit).collect()}
+        assert got == {
+            1: (False, "Cannot dispense 11 units. Only 10 in stock."),
+            2: (False, "Quantity must be at least 1."),
+            3: (True, None),
+            4: (False, "Prescription has already been dispensed."),
+            5: (False, "Cannot dispense 8 units. Only 7 in stock."),
+            6: (True, None),
+            7: (False, "Prescription has already been dispensed."),
+        }
+
+
+def test_booking_rules_of_the_form(spark, h):
+    asked = mini.requests(
+        spark, "request_id long, request_ts timestamp, patient_id long, doctor_id long, appt_date date, appt_time string, appt_type string, notes string",
+        (1, 1, 1, 1, "1998-06-14", "10:00:00", "OPD", ""), (2, 2, 1, 1, "1999-06-16", "11:00:00", "OPD", ""),
+        (3, 3, 1, 1, "1998-06-15", "10:30:00", "OPD", ""), (4, 4, 1, 1, "1998-06-15", "11:00:00", "OPD", ""),
+        (5, 5, 1, 1, None, "11:00:00", "OPD", ""), (6, 6, 1, 1, "1998-06-20", None, "OPD", ""),
+        (7, 7, 1, 1, "1998-06-20", "11:00:00", "Weird", ""), (8, 8, 1, 1, "1998-06-20", "11:30:00", None, ""),
+    )
+    run = booking.book_appointments(h, asked, as_of="1998-06-15 08:45:00")
+    assert [r.request_id for r in run.accepted.collect()] == [4]
+    got = reasons(run)
+    assert got[1] == "Appointment date cannot be in the past." and got[2] == "Cannot schedule more than 1 year in advance."
+    assert got[3].startswith("For today's appointments, time must be at least 2 hours from now")
+    assert got[5] == "Appointment date is required." and got[6] == "Appointment time is required."
+    assert got[7] == got[8] == "Unknown appointment type."
+    unchecked = reasons(booking.book_appointments(h, asked))
+    assert 1 not in unchecked and set(unchecked) == {5, 6, 7, 8}
+
+
+def test_payments_in_exact_cents_with_mode_and_reference(spark, h):
+    bills = spark.createDataFrame([(1, 11.25, "Unpaid")], "bill_id long, net_payable double, status string")
+    bills = bills.withColumn("net_payable", bills.net_payable.cast("decimal(12,2)"))
+    asked = spark.createDataFrame(
+        [(i, 1, 1.13, "Cash", None, 1, i) for i in range(10)]
+        + [(20, 1, 0.5, "Bitcoin", "T", 1, -3), (21, 1, 0.5, "Card", " ", 1, -2), (22, 1, 0.5, None, "T", 1, -1)],
+        "request_id long, bill_id long, amount double, payment_mode string, transaction_ref string, received_by long, request_ts long",
+    )
+    got = {r.request_id: (r.admitted, r.reason) for r in payments.decide_payments(bills, None, asked).collect()}
+    assert sum(ok for ok, _ in got.values()) == 9 and not got[9][0]
+    assert got[20][1] == got[22][1] == "Unknown payment mode."
+    assert got[21][1] == "Transaction reference is required for Card payments."

@@ -71,12 +71,20 @@ def j02(h: Hospital) -> DataFrame:
 
 # Appointments -------------------------------------------------------------------------------------
 
+BOOKING_NOW = "1996-06-15 09:45:00"
 _BOOK = """
     select b.*, case when p.patient_id is null then 'Patient not found.'
         when not exists (select 1 from {doctors} d where d.doctor_id = b.doctor_id and d.status = 'Active')
           then 'Selected doctor is not currently available.'
-        when cast(substr(appt_time, 1, 2) as int) < 8 or cast(substr(appt_time, 1, 2) as int) >= 20
-          then 'Appointment time must be between 8:00 AM and 8:00 PM.'
+        when b.appt_date is null then 'Appointment date is required.'
+        when b.appt_date < date '1996-06-15' then 'Appointment date cannot be in the past.'
+        when b.appt_date - date '1996-06-15' > 365 then 'Cannot schedule more than 1 year in advance.'
+        when b.appt_time is null then 'Appointment time is required.'
+        when cast(substr(appt_time, 1, 2) as int) < 8 then 'Appointments cannot be before 8:00 AM.'
+        when cast(substr(appt_time, 1, 2) as int) >= 20 then 'Appointments cannot be after 8:00 PM.'
+        when b.appt_date = date '1996-06-15' and appt_time < '11:45:00'
+          then 'For today''s appointments, time must be at least 2 hours from now (earliest allowed: 11:45 AM).'
+        when coalesce(appt_type, '') not in ('OPD', 'IPD', 'Emergency') then 'Unknown appointment type.'
         when exists (select 1 from {settled_appointments} a where a.doctor_id = b.doctor_id and a.appt_date = b.appt_date
                      and a.appt_time = b.appt_time and a.status <> 'Cancelled')
           then 'slot conflict: This time slot is already booked for the selected doctor.' end as failed
@@ -95,7 +103,7 @@ _BOOK = """
 )
 def j03(h: Hospital) -> DataFrame:
     before = h.replaced(appointments=h.settled_appointments)
-    return decisions(booking.book_appointments(before, h.booking_requests), new_id="appt_id")
+    return decisions(booking.book_appointments(before, h.booking_requests, as_of=BOOKING_NOW), new_id="appt_id")
 
 
 @query(
@@ -107,7 +115,7 @@ def j03(h: Hospital) -> DataFrame:
 )
 def j03b(h: Hospital) -> DataFrame:
     before = h.replaced(appointments=h.settled_appointments)
-    image = booking.book_appointments(before, h.booking_requests).tables["appointments"]
+    image = booking.book_appointments(before, h.booking_requests, as_of=BOOKING_NOW).tables["appointments"]
     return image.groupBy("status").agg(F.count("*").alias("appointments"))
 
 

@@ -120,6 +120,9 @@ JOBS: dict[str, str] = {
         from {medicines} m left join (
             select s.medicine_id, sum(s.units) as taken from {hand_walk} w join {stock_requests} s on s.request_id = w.request_id
             where w.admitted group by s.medicine_id) h on h.medicine_id = m.medicine_id""",
+    "asked_terms": """
+        select term_id, term, '%' || regexp_replace(term, '\\\\([^%_\\\\])|(\\\\[%_\\\\])', '\\1\\2', 'g') || '%' as shape
+        from {search_terms} where length(trim(term)) >= 2""",
     "registration_clean": """
         select request_id, request_ts,
                case when length(regexp_replace(phone, '[^0-9]', '', 'g')) = 12 and starts_with(regexp_replace(phone, '[^0-9]', '', 'g'), '91')

@@ -192,6 +192,20 @@ def t2(h: Hospital) -> DataFrame:
     return sessions.activity_sessions(h.events)
 
 
+@query(
+    "t2b_activity_session_stream",
+    f"""select user_id, {t('min(ts)', 'started_at')}, {t('max(ts)', 'last_activity')}, count(*) as events
+        from (select user_id, ts, sum(s) over (partition by user_id order by ts rows unbounded preceding) as n from (
+                select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 60 minute then 0 else 1 end as s
+                from {{events}}) x) y
+        group by user_id, n
+        having max(ts) + interval 60 minute - interval 1 microsecond <= (select max(ts) from {{events}}) - interval 1 hour""",
+)
+def t2b(h: Hospital) -> DataFrame:
+    """The sessions that a stream over the events has closed by its watermark."""
+    return runs.run_to_parquet(sessions.activity_session_stream(_event_stream(h)))
+
+
 @query(
     "t3_fixed_sessions",
     f"""select cast(event_id as varchar) as session_id, user_id, {t('ts', 'created_at')}, {t('ts + interval 30 minute', 'expires_at')},
@@ -237,6 +251,18 @@ def t4c(h: Hospital) -> DataFrame:
     return figures.select("day", "total", "completed", "cancelled", "pending")
 
 
+@query(
+    "t4d_daily_appointments_stream",
+    f"""select {d('appt_date', 'day')}, count(*) as total, count(*) filter (status = 'Completed') as completed
+        from {{appointments}} group by appt_date""",
+)
+def t4d(h: Hospital) -> DataFrame:
+    """The live query over appointments that arrive as files, several micro-batches of them."""
+    feed = h.appointments.repartition(3, "appt_id")
+    stream = runs.parquet_stream(h.spark, written(feed), feed.schema, names="*.parquet", files_per_batch=1)
+    return runs.run_latest(live.live_appointments(stream, late="4000 days"), "day").select("day", "total", "completed")
+
+
 @query(
     "t5_alerts",
     """select medicine_id as subject_id, 'LOW STOCK ALERT: ' || brand_name || ' has only ' || stock_left || ' units left' as message

@@ -671,9 +671,10 @@ def q47(h: Hospital) -> DataFrame:
                p.status, p.email, p.address, {d('p.registration_date')}, i.provider_name, i.policy_number, {m('i.coverage_amount')},
                {d('i.expiry_date')}
         from (select term_id, patient_id, row_number() over (partition by term_id order by full_name, patient_id) as rnk
-              from {{search_terms}} join {{patients}} on lower(full_name) like lower('%' || term || '%') or phone like '%' || term || '%'
-                or cast(patient_id as varchar) = trim(term)
-              where length(trim(term)) >= 2) s
+              from (select term_id, patient_id, full_name from {{asked_terms}} join {{patients}} on lower(full_name) like lower(shape) escape '\\'
+                    union select term_id, patient_id, full_name from {{asked_terms}} join {{patients}} on phone like shape escape '\\'
+                    union select term_id, patient_id, full_name from {{asked_terms}} join {{patients}} on cast(patient_id as varchar) = trim(term)
+                   ) found) s
         join {{patients}} p on p.patient_id = s.patient_id left join {{insurance}} i on i.insurance_id = p.insurance_id where rnk <= 10""",
 )
 def q48(h: Hospital) -> DataFrame:

@@ -54,9 +54,6 @@ def blank_to_null(value: str | Column) -> Column:
 def plain_pattern(term: Column) -> Column:
     """Substring pattern for a search term; % and _ in the term stay wildcards.
 
-    A backslash takes the next character literally, whatever it is: before a plain character it goes, and one
-    without a next character stands for itself.
+    A backslash takes the next character literally, whatever it is; before a plain character it is left out.
     """
-    whole = F.regexp_replace(term, r"\\([^%_\\])", "$1")
-    odd = F.regexp_extract(whole, r"(\\*)$", 1)
-    return F.concat(F.lit("%"), whole, F.when(F.length(odd) % 2 == 1, F.lit("\\")).otherwise(F.lit("")), F.lit("%"))
+    return F.concat(F.lit("%"), F.regexp_replace(term, r"\\([^%_\\])|(\\[%_\\])", "$1$2"), F.lit("%"))

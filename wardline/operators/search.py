@@ -62,16 +62,20 @@ def search_patients(
     by_id = asked.select("term_id", strip("term").alias("_id"))
     base = h.patients.select("patient_id", "full_name", "phone")
     keep = ["term_id", "patient_id", "full_name"]
-    hits = (
-        like_pairs(base.withColumn("_text", F.lower("full_name")), "_text", by_name, "_pattern").select(*keep)
-        .unionByName(like_pairs(base.withColumn("_text", F.col("phone")), "_text", by_phone, "_pattern").select(*keep))
+    order = [up("full_name"), up("patient_id")]
+
+    def first(found: DataFrame) -> DataFrame:
+        # the first n of all are among the first n of each way of finding them
+        return found.select(*keep) if n is None else top_per(found.select(*keep), "term_id", order, n).drop("rank")
+
+    hits = first(like_pairs(base.withColumn("_text", F.lower("full_name")), "_text", by_name, "_pattern")).unionByName(
+        first(like_pairs(base.withColumn("_text", F.col("phone")), "_text", by_phone, "_pattern"))
     )
     if match_id:
-        same_id = base.withColumn("_id", F.col("patient_id").cast("string")).join(by_id, "_id")
-        hits = hits.unionByName(same_id.select(*keep))
+        hits = hits.unionByName(first(base.withColumn("_id", F.col("patient_id").cast("string")).join(by_id, "_id")))
     hits = hits.distinct()
     if n is not None:
-        hits = top_per(hits, "term_id", [up("full_name"), up("patient_id")], n)
+        hits = top_per(hits, "term_id", order, n)
     shown = ("full_name", "phone", "date_of_birth", "blood_group", "gender", "status", "email", "address", "emergency_contact",
              "registration_date", "insurance_id")
     details = h.patients.select("patient_id", *[c for c in shown if c in h.patients.columns])

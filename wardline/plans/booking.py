@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions.ordering import first_of, highest, with_sequence
-from wardline.functions.rules import CLOSING_HOUR, OPENING_HOUR
+from wardline.functions.dates import AsOf
+from wardline.functions.rules import CLOSING_HOUR, OPENING_HOUR, appointment_date, appointment_time
 from wardline.functions.text import blank, strip
 from wardline.plans.common import REASON, Outcome, first_failure, known, patched
 from wardline.sources.staging import cut
@@ -29,6 +30,10 @@ SHORT_REASON = "Please give a more detailed reason."
 NOT_OPEN = "Appointment is not open."
 NOT_OWN = "Appointment belongs to another doctor."
 REASON_MIN = 5
+TYPES = ("OPD", "IPD", "Emergency")
+NO_TYPE = "Unknown appointment type."
+NO_DATE = "Appointment date is required."
+NO_TIME = "Appointment time is required."
 SLOT = ["doctor_id", "appt_date", "appt_time"]
 ORDER = ["request_ts", "request_id"]
 
@@ -41,23 +46,35 @@ def _held_slots(h: Hospital) -> DataFrame:
     return h.appointments.filter(F.col("status") != "Cancelled").select(*SLOT).distinct()
 
 
-def book_appointments(h: Hospital, requests: DataFrame, *, require_active: bool = False) -> Outcome:
+def book_appointments(
+    h: Hospital, requests: DataFrame, *, as_of: AsOf | None = None, require_active: bool = False
+) -> Outcome:
     """requests: request_id, request_ts, patient_id, doctor_id, appt_date, appt_time, appt_type, notes.
 
-    As the rule stands, the patient only has to exist; require_active asks for an active one.
+    As the rule stands, the patient only has to exist; require_active asks for an active one. With as_of, the
+    date may not be past nor over a year ahead, and on the day itself the time is two hours ahead. A date, a
+    time and a known type are required always.
     """
+    hour = F.substring("appt_time", 1, 2).cast("int")
+    form = [
+        (F.col("appt_date").isNull(), NO_DATE),
+        (F.col("appt_time").isNull(), NO_TIME),
+        ((hour < OPENING_HOUR) | (hour >= CLOSING_HOUR), HOURS),
+    ]
+    if as_of is not None:
+        form = [appointment_date("appt_date", as_of), appointment_time("appt_time", "appt_date", as_of)]
     patients = h.patients.select("patient_id", F.col("status").alias("_patient"))
     active = h.doctors.filter(F.col("status") == "Active").select("doctor_id", F.lit(True).alias("_active"))
     held = _held_slots(h).withColumn("_held", F.lit(True))
     checked = (
         requests.join(patients, "patient_id", "left").join(active, "doctor_id", "left").join(held, SLOT, "left")
     )
-    hour = F.substring("appt_time", 1, 2).cast("int")
     static = first_failure(
         (F.col("_patient").isNull(), NO_PATIENT),
         (F.lit(require_active) & (F.col("_patient") != "Active"), NOT_ACTIVE),
         (F.col("_active").isNull(), NO_DOCTOR),
-        ((hour < OPENING_HOUR) | (hour >= CLOSING_HOUR), HOURS),
+        *form,
+        (~F.coalesce(F.col("appt_type").isin(*TYPES), F.lit(False)), NO_TYPE),
         (F.col("_held").isNotNull(), SLOT_TAKEN),
     )
     checked = cut(checked.withColumn(REASON, static).drop("_patient", "_active", "_held"))

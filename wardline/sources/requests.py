@@ -32,7 +32,8 @@ REQUESTS: dict[str, str] = {
     "booking_requests": """
         select appt_id as request_id, created_at as request_ts,
                patient_id + case when appt_id % 50 = 0 then 10000000000 else 0 end as patient_id, doctor_id, appt_date,
-               concat(lpad(cast(7 + appt_id % 14 as string), 2, '0'), ':00:00') as appt_time, appt_type,
+               case when appt_id % 37 <> 0 then concat(lpad(cast(7 + appt_id % 14 as string), 2, '0'), ':00:00') end as appt_time,
+               case when appt_id % 43 = 0 then 'Weird' else appt_type end as appt_type,
                case when appt_id % 2 = 0 then ' first visit ' else '' end as notes
         from {appointments} where status = 'Pending'""",
     "cancel_requests": """
@@ -152,7 +153,8 @@ REQUESTS: dict[str, str] = {
     "search_terms": """
         select s_suppkey as term_id,
                case s_suppkey % 4 when 0 then concat('MER#', right(s_name, 9)) when 1 then cast(6000000000 + s_suppkey * 7 as string)
-                    when 2 then cast(s_suppkey as string) else concat('%', right(s_name, 3), '%') end as term
+                    when 2 then cast(s_suppkey as string) when 3 then case s_suppkey % 3 when 0 then concat('Custo', chr(92), 'mer#', right(s_name, 4))
+                        when 1 then concat('%', right(s_name, 3), '%') else concat(right(s_name, 2), chr(92), '%') end end as term
         from {supplier}""",
     "slot_requests": """
         select appt_id as request_id, doctor_id, appt_date + cast(appt_id % 2 as int) as appt_date, appt_time

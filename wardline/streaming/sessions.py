@@ -44,9 +44,9 @@ def activity_sessions(events: DataFrame) -> DataFrame:
 
 def activity_session_stream(events: DataFrame, *, late: str = "1 hour") -> DataFrame:
     """The same over a stream. The gap is a microsecond short of an hour because session windows that
-    touch are merged, and a pause of exactly 60 minutes has to split. Sessions are merged inside each task
-    before the shuffle, so a very active user sends sessions and not events."""
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    touch are merged, and a pause of exactly 60 minutes has to split. Where
+    spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition is set, sessions are merged inside
+    each task before the shuffle, so that a very active user sends sessions and not events."""
     gap = "59 minutes 59 seconds 999999 microseconds"
     return (
         events.withColumn("ts", F.col("ts").cast("timestamp"))
