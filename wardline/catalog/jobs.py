@@ -33,7 +33,7 @@ def _first(condition: str, key: str, reason: str) -> str:
     "j01_register_patients",
     """with decided as (
          select k.request_id, k.request_ts, r.request_id is not null as is_in,
-                case when r.request_id is not null then null
+                case when r.request_id is not null then null when k.problem is not null then k.problem
                      when k.phone_known or exists (select 1 from {registration_rounds} o where o.state = 'in' and o.phone = k.phone
                           and (o.request_ts < k.request_ts or (o.request_ts = k.request_ts and o.request_id < k.request_id)))
                        then 'A patient with phone number ' || k.phone || ' already exists.'
@@ -46,7 +46,7 @@ def _first(condition: str, key: str, reason: str) -> str:
        from decided""",
 )
 def j01(h: Hospital) -> DataFrame:
-    return decisions(registry.register_patients(h, h.registration_requests), new_id="patient_id")
+    return decisions(registry.register_patients(h, h.registration_requests, as_of=AS_OF), new_id="patient_id")
 
 
 @query(

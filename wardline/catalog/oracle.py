@@ -125,6 +125,19 @@ JOBS: dict[str, str] = {
         from {search_terms} where length(trim(term)) >= 2""",
     "registration_clean": """
         select request_id, request_ts,
+               case when coalesce(trim(full_name), '') = '' then 'Full Name is required.'
+                    when length(trim(full_name)) < 2 then 'Full Name must be at least 2 characters.'
+                    when not regexp_matches(trim(full_name), '^[A-Za-z .''-]+$')
+                      then 'Full Name can only contain letters, spaces, dots and hyphens.'
+                    when date_of_birth is null then 'Date of birth is required.'
+                    when date_of_birth >= date '1998-06-15' then 'Date of birth must be in the past.'
+                    when (date '1998-06-15' - date_of_birth) // 365 > 120 then 'Age cannot exceed 120 years.'
+                    when coalesce(gender, '') not in ('Male', 'Female', 'Other') then 'Gender is required.'
+                    when blood_group is null then 'Blood Group is required.'
+                    when trim(phone) = '' then 'Phone number is required.'
+                    when length(phone) < 10 then 'Phone must be exactly 10 digits. You entered ' || length(phone) || ' digit(s).'
+                    when trim(email) <> '' and not regexp_matches(lower(trim(email)), '^[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z][a-z]+$')
+                      then 'Invalid email format. Example: name@example.com' end as problem,
                case when length(regexp_replace(phone, '[^0-9]', '', 'g')) = 12 and starts_with(regexp_replace(phone, '[^0-9]', '', 'g'), '91')
                     then substr(regexp_replace(phone, '[^0-9]', '', 'g'), 3) else right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) end as phone,
                nullif(lower(trim(email)), '') as email
@@ -134,7 +147,7 @@ JOBS: dict[str, str] = {
                exists (select 1 from {patients} p where p.email = c.email) as email_known
         from {registration_clean} c""",
     "registration_rounds": """
-        select request_id, request_ts, phone, email, 'open' as state from {registration_known} where not phone_known and not email_known
+        select request_id, request_ts, phone, email, 'open' as state from {registration_known} where problem is null and not phone_known and not email_known
         union all
         select request_id, request_ts, phone, email,
                case when ready then 'in'

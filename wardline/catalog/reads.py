@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -13,9 +14,9 @@ from wardline.operators import dashboards, reports, search, trends, worklists
 from wardline.sources.sql import create_views
 from wardline.sources.sinks import append_audit, read_audit, write_snapshot
 from wardline.sources.staging import shared_folder
-from wardline.sources.tables import Hospital, conform, select_one, select_rows, shown
+from wardline.sources.tables import Hospital, conform, open_hospital, select_one, select_rows, shown
 
-from wardline.schema import TABLES
+from wardline.schema import KEYS, TABLES
 
 DAY = f"date '{AS_OF}'"
 
@@ -36,6 +37,29 @@ def io1(h: Hospital) -> DataFrame:
     return h.spark.read.schema(schema).parquet(path).filter(months).select(*columns)
 
 
+_STORED = ("departments", "doctors", "insurance", "patients", "appointments", "medicines", "diagnoses", "prescriptions",
+           "lab_tests", "lab_orders", "users", "roles", "bills", "bill_items", "payments")
+
+
+@query(
+    "io1b_open_hospital",
+    " union all ".join(
+        f"select '{t}' as table_name, count(*) as n_rows, cast(sum({KEYS[t]}) as bigint) as keys from {{{t}}}" for t in _STORED
+    ),
+)
+def io1b(h: Hospital) -> DataFrame:
+    """Every table stored and opened again by its declared schema, whole."""
+    root = f"{shared_folder(h.spark)}/stored/{uuid.uuid4().hex}"
+    for name in _STORED:
+        conform(h.table(name), name).write.parquet(f"{root}/{name}")
+    again = open_hospital(h.spark, root)
+    counts = [
+        again.table(t).agg(F.count("*").alias("n_rows"), F.sum(KEYS[t]).cast("long").alias("keys")).select(F.lit(t).alias("table_name"), "n_rows", "keys")
+        for t in _STORED
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query(
     "io2_parameterised_select",
     "select status, count(*) as appointments from {appointments} where appt_date >= date '1998-01-01' and appt_type = 'OPD' group by status",

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions import rules
+from wardline.functions.dates import AsOf
 from wardline.functions.ordering import first_of, highest, with_sequence
 from wardline.functions.text import blank, sanitize_email, sanitize_phone, sanitize_string, strip
+from wardline.schema import ENUMS
 from wardline.plans.common import REASON, Outcome, first_failure, known, patched
 from wardline.sources.staging import cut
 from wardline.sources.tables import Hospital, conform
@@ -19,6 +21,9 @@ ORDER = ["request_ts", "request_id"]
 # Reason texts.
 PHONE_EXISTS = ("A patient with phone number ", " already exists.")
 EMAIL_EXISTS = ("A patient with email ", " is already registered.")
+NO_PHONE = "Phone number is required."
+NO_GENDER = "Gender is required."
+NO_BLOOD_GROUP = "Blood Group is required."
 DUPLICATE = "This record already exists. Please check for duplicates."
 NO_RECORD = "Record not found."
 OWN_ACCOUNT = "You cannot disable your own account."
@@ -36,16 +41,35 @@ def _sanitized(name: str, rule: Column) -> Column:
 # Patients -----------------------------------------------------------------------------------------
 
 
-def register_patients(h: Hospital, requests: DataFrame) -> Outcome:
+def _one_of(column: str) -> Column:
+    return F.coalesce(F.col(column).isin(*ENUMS["patients", column]), F.lit(False))
+
+
+def registration_form(as_of: AsOf) -> list[tuple[Column, str] | Column]:
+    """What the registration form asks for, in its order."""
+    return [
+        rules.name("full_name", "Full Name"),
+        rules.date_of_birth("date_of_birth", as_of),
+        (~_one_of("gender"), NO_GENDER),
+        (~_one_of("blood_group"), NO_BLOOD_GROUP),
+        rules.phone("phone"),
+        rules.email("email"),
+    ]
+
+
+def register_patients(h: Hospital, requests: DataFrame, *, as_of: AsOf | None = None) -> Outcome:
     """requests: request_id, request_ts and the patient columns.
 
+    With as_of, requests that fail the form are refused first; a phone number is required always.
+
     In arrival order, a request is admitted when neither its phone nor its e-mail belongs to a patient
     or to an earlier admitted request. A refused request reserves nothing, so the two keys interact; the
     admitted set is found in rounds. Each round admits every request that is the earliest left for both
     its keys and drops all that share a key with an admitted one; what is left shrinks quickly, and the
     requests that share no key with another are settled by the first round.
     """
-    clean = requests.withColumns(
+    form = [(blank("phone"), NO_PHONE)] if as_of is None else registration_form(as_of)
+    clean = requests.withColumn("_form", first_failure(*form)).withColumns(
         {
             "full_name": sanitize_string("full_name"),
             "phone": sanitize_phone("phone"),
@@ -57,7 +81,7 @@ def register_patients(h: Hospital, requests: DataFrame) -> Outcome:
     phones = h.patients.select("phone")
     emails = h.patients.filter(F.col("email").isNotNull()).select("email").distinct()
     marked = cut(known(known(clean, phones, "phone", "_phone_known"), emails, "email", "_email_known"))
-    left = marked.filter(~F.col("_phone_known") & ~F.col("_email_known")).select("phone", "email", *ORDER)
+    left = marked.filter(F.col("_form").isNull() & ~F.col("_phone_known") & ~F.col("_email_known")).select("phone", "email", *ORDER)
     admitted: list[DataFrame] = []
     while True:
         by_phone = first_of(left, ["phone"], ORDER, "request_id")
@@ -74,11 +98,12 @@ def register_patients(h: Hospital, requests: DataFrame) -> Outcome:
     decided = known(marked, accepted_keys.select("request_id"), "request_id", "_in").join(owner, "phone", "left")
     phone_taken = F.col("_phone_known") | F.coalesce(F.col("_holder") < F.struct(*ORDER), F.lit(False))
     reason = first_failure(
+        F.col("_form"),
         (F.col("_in"), F.lit(None).cast("string")),
         (phone_taken, _around(PHONE_EXISTS, "phone")),
         (F.lit(True), _around(EMAIL_EXISTS, "email")),
     )
-    decided = decided.withColumn(REASON, reason).drop("_phone_known", "_email_known", "_in", "_holder")
+    decided = decided.withColumn(REASON, reason).drop("_phone_known", "_email_known", "_in", "_holder", "_form")
     accepted = with_sequence(
         decided.filter(F.col(REASON).isNull()).drop(REASON),
         [F.col(c) for c in ORDER],

@@ -6,13 +6,16 @@ from __future__ import annotations
 REQUESTS: dict[str, str] = {
     "registration_requests": """
         select o_orderkey as request_id, o_orderdate as request_ts,
-               concat(' New  Patient ', cast(o_orderkey as string)) as full_name,
-               date '1960-01-01' + cast(o_orderkey % 9000 as int) as date_of_birth,
-               'Female' as gender, 'O+' as blood_group,
-               case when o_orderkey % 10 = 0 then concat('+91 ', cast(6000000000 + o_custkey * 7 as string))
+               case o_orderkey % 61 when 0 then ' ' when 1 then 'X' when 2 then 'R2 D2'
+                    else concat(' New  Patient ', translate(cast(o_orderkey as string), '0123456789', 'abcdefghij')) end as full_name,
+               case o_orderkey % 67 when 0 then null when 1 then date '1999-01-01' when 2 then date '1860-01-01'
+                    else date '1960-01-01' + cast(o_orderkey % 9000 as int) end as date_of_birth,
+               case when o_orderkey % 71 = 0 then '?' else 'Female' end as gender,
+               case when o_orderkey % 73 = 0 then null else 'O+' end as blood_group,
+               case when o_orderkey % 79 = 0 then '12345' when o_orderkey % 83 = 0 then ' ' when o_orderkey % 10 = 0 then concat('+91 ', cast(6000000000 + o_custkey * 7 as string))
                     when o_orderkey % 4 = 0 then cast(7000000000 + o_custkey as string)
                     else cast(8000000000 + o_orderkey as string) end as phone,
-               case when o_orderkey % 3 = 0 then ''
+               case when o_orderkey % 3 = 0 then '' when o_orderkey % 89 = 0 then 'not-an-email'
                     when o_orderkey % 35 = 1 then concat('P', cast(o_custkey as string), '@Mail.example')
                     when o_orderkey % 7 = 0 then concat(' Family', cast(o_custkey as string), '@mail.example')
                     else concat('n', cast(o_orderkey as string), '@mail.example') end as email,
