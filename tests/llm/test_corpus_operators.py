@@ -238,12 +238,12 @@ def test_decontamination_of_templates(spark):
     twice = "He paid 5 dollars to Ann, then 5 dollars to Ann again, and 5 dollars were all that Ann had got by then."
     steady = twice.replace("5", "8").replace("Ann", "Bob")
     unsteady = twice.replace("5 dollars to Ann,", "8 dollars to Bob,").replace("then 5", "then 9").replace("and 5", "and 7")
-    texts = [f"Some words before. {ITEM} And more after.", f"Words.\n{other}", "entirely different words in here, nothing of that", mixed, steady, unsteady, None, "", "tiny item", "so it is a tiny item here"]
+    texts = [f"Some words before. {ITEM} And more after.", f"Words.\n{other}", "entirely different words in here, nothing of that", mixed, steady, unsteady, None, "", "tiny item", "so it is a tiny item here", ITEM.upper().replace("PARIS", "Paris").replace("LYON", "Lyon")]
     items = [(1, ITEM), (2, twice), (3, None), (4, ""), (5, "tiny item"), (None, "entirely different words in here, nothing of that")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(None, ITEM, 0)], "doc_id long, text string, share int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: (r["contaminated"], r["item_ids"]) for r in decontaminate.verdicts(docs, bench).collect()}
-    assert got == {0: (True, "1"), 1: (True, "1"), 2: (False, ""), 3: (False, ""), 4: (True, "2"), 5: (False, ""), 6: (False, ""), 7: (False, ""), 8: (True, "5"), 9: (True, "5"), None: (False, "")}
+    assert got == {0: (True, "1"), 1: (True, "1"), 2: (False, ""), 3: (False, ""), 4: (True, "2"), 5: (False, ""), 6: (False, ""), 7: (False, ""), 8: (True, "5"), 9: (True, "5"), 10: (True, "1"), None: (False, "")}
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).filter("doc_id is not null").collect()) == [2, 3, 5, 6, 7]
     assert decontaminate.verdicts(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.verdicts(docs.limit(0), bench).count() == 0

@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates.
 
 Words of documents and benchmark items become a template: a word with a digit is a number, a listed word
-after a number is a unit, a capitalised word inside a sentence is a name; each is replaced by a placeholder
+after a number is a unit, a word inside a sentence whose first letter alone is a capital is a name; each is replaced by a placeholder
 of its type, and its own hash is kept as the slot's value. Other words lose case and enclosing marks.
 Windows of `size` words of the templates are hash-joined; an item of fewer words is one window.
 
@@ -108,7 +108,12 @@ def templates(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     upper = _UPPER[data[low]]
     wide = np.flatnonzero((data[low] == 0xC3) & (low + 1 < n))
     upper[wide] |= (data[low[wide] + 1] >= 0x80) & (data[low[wide] + 1] <= 0x9E)
-    name = upper & ~starts & ~number
+    # a word in capitals throughout is no name: whole texts in capitals keep their words
+    second = low + 1
+    second[wide] += 1
+    at = np.minimum(second, n - 1)
+    loud = _UPPER[data[at]] | ((data[at] == 0xC3) & (data[np.minimum(at + 1, n - 1)] <= 0x9E))
+    name = upper & ~starts & ~number & ~(loud & (second < high))
     unit = np.zeros(len(begin), bool)
     after = np.flatnonzero(number[:-1] & ~starts[1:]) + 1
     unit[after] = np.isin(words[after], _UNIT_HASHES)
