@@ -216,51 +216,24 @@ def r15(h: Hospital) -> DataFrame:
     return _checked(h, rules.insurance_block("provider_name", "policy_number", "coverage_amount"))
 
 
-def _findings_sql() -> str:
-    checks = {
-        "appointments": {
-            "appt_id required": "appt_id is null",
-            "appt_date required": "appt_date is null",
-            "appt_time required": "appt_time is null",
-            "appt_type in allowed values": "appt_type not in ('OPD', 'IPD', 'Emergency')",
-            "status in allowed values": "status not in ('Pending', 'Confirmed', 'Completed', 'Cancelled')",
-            "appt_time within hours": "appt_time < '08:00:00' or appt_time > '20:00:00'",
-        },
-        "bills": {
-            "bill_id required": "bill_id is null",
-            "status in allowed values": "status not in ('Unpaid', 'Partial', 'Paid')",
-            "insurance_covered <= total_amount": "insurance_covered > total_amount",
-            "net_payable >= 0": "net_payable < 0",
-            "fully insured bill left open": "net_payable = 0 and status <> 'Paid'",
-        },
-        "prescriptions": {
-            "rx_id required": "rx_id is null",
-            "dosage at most 50 characters": "length(dosage) > 50",
-            "frequency at most 50 characters": "length(frequency) > 50",
-        },
-    }
+def _findings_sql(
+    checks: dict[str, dict[str, str]], unique: list[tuple[str, str]], links: list[tuple[str, str, str, str]]
+) -> str:
     parts = [
         f"select '{table}' as table_name, '{rule}' as rule, count(*) filter ({bad}) as violations from {{{table}}}"
         for table, group in checks.items()
         for rule, bad in group.items()
     ]
-    keys = {"appointments": "appt_id", "bills": "bill_id", "prescriptions": "rx_id"}
     parts += [
-        f"select '{table}', '{key} unique', (select count(*) from (select {key} from {{{table}}} group by {key} having count(*) > 1) k)"
-        for table, key in keys.items()
-    ]
-    parts.append(
-        """select 'appointments', 'one live appointment per slot', (select count(*) from (select 1 from {appointments}
-           where status <> 'Cancelled' group by doctor_id, appt_date, appt_time having count(*) > 1) k)"""
-    )
-    links = [
-        ("appointments", "patient_id", "patients", "patient_id"),
-        ("appointments", "doctor_id", "doctors", "doctor_id"),
-        ("prescriptions", "diag_id", "diagnoses", "diag_id"),
-        ("prescriptions", "medicine_id", "medicines", "medicine_id"),
-        ("bills", "patient_id", "patients", "patient_id"),
-        ("bills", "appt_id", "appointments", "appt_id"),
+        f"""select '{table}', '{key} unique', (select count(*) from (select {key} from {{{table}}} where {key} is not null
+            group by {key} having count(*) > 1) k)"""
+        for table, key in unique
     ]
+    if "appointments" in checks:
+        parts.append(
+            """select 'appointments', 'one live appointment per slot', (select count(*) from (select 1 from {appointments}
+               where status <> 'Cancelled' group by doctor_id, appt_date, appt_time having count(*) > 1) k)"""
+        )
     parts += [
         f"""select '{table}', '{column} exists in {target}', (select count(*) from {{{table}}} x
             where {column} is not null and not exists (select 1 from {{{target}}} y where y.{key} = x.{column}))"""
@@ -269,11 +242,120 @@ def _findings_sql() -> str:
     return " union all ".join(parts)
 
 
-@query("r16_table_constraints", _findings_sql())
+def _required(table: str, *columns: str) -> dict[str, str]:
+    return {f"{c} required": f"{c} is null" for c in columns}
+
+
+_CLINIC = _findings_sql(
+    {
+            "appointments": {
+                "appt_id required": "appt_id is null",
+                "appt_date required": "appt_date is null",
+                "appt_time required": "appt_time is null",
+                "appt_type in allowed values": "appt_type not in ('OPD', 'IPD', 'Emergency')",
+                "status in allowed values": "status not in ('Pending', 'Confirmed', 'Completed', 'Cancelled')",
+                "appt_time within hours": "appt_time < '08:00:00' or appt_time > '20:00:00'",
+            },
+            "bills": {
+                "bill_id required": "bill_id is null",
+                "status in allowed values": "status not in ('Unpaid', 'Partial', 'Paid')",
+                "insurance_covered <= total_amount": "insurance_covered > total_amount",
+                "net_payable >= 0": "net_payable < 0",
+                "fully insured bill left open": "net_payable = 0 and status <> 'Paid'",
+            },
+            "prescriptions": {
+                "rx_id required": "rx_id is null",
+                "dosage at most 50 characters": "length(dosage) > 50",
+                "frequency at most 50 characters": "length(frequency) > 50",
+            },
+        },
+    [("appointments", "appt_id"), ("bills", "bill_id"), ("prescriptions", "rx_id")],
+    [
+        ("appointments", "patient_id", "patients", "patient_id"),
+        ("appointments", "doctor_id", "doctors", "doctor_id"),
+        ("prescriptions", "diag_id", "diagnoses", "diag_id"),
+        ("prescriptions", "medicine_id", "medicines", "medicine_id"),
+        ("bills", "patient_id", "patients", "patient_id"),
+        ("bills", "appt_id", "appointments", "appt_id"),
+        ("bills", "generated_by", "users", "user_id"),
+    ],
+)
+_MASTER = _findings_sql(
+    {
+        "roles": _required("roles", "role_id", "role_name"),
+        "users": _required("users", "user_id", "username"),
+        "insurance": _required("insurance", "insurance_id"),
+        "patients": {
+            **_required("patients", "patient_id", "full_name", "date_of_birth", "phone"),
+            "gender in allowed values": "gender not in ('Male', 'Female', 'Other')",
+            "blood_group in allowed values": "blood_group not in ('A+', 'A-', 'B+', 'B-', 'AB+', 'AB-', 'O+', 'O-')",
+            "status in allowed values": "status not in ('Active', 'Discharged')",
+            "full_name at most 100 characters": "length(full_name) > 100",
+            "phone at most 15 characters": "length(phone) > 15",
+            "email at most 100 characters": "length(email) > 100",
+        },
+        "departments": _required("departments", "dept_id", "dept_name"),
+        "doctors": _required("doctors", "doctor_id", "full_name"),
+        "diagnoses": {
+            **_required("diagnoses", "diag_id"),
+            "severity in allowed values": "severity not in ('Mild', 'Moderate', 'Severe')",
+        },
+        "medicines": {
+            **_required("medicines", "medicine_id", "brand_name"),
+            "brand_name at most 100 characters": "length(brand_name) > 100",
+            "generic_name at most 100 characters": "length(generic_name) > 100",
+            "category at most 50 characters": "length(category) > 50",
+            "stock_quantity >= 0": "stock_quantity < 0",
+            "unit_price > 0": "unit_price <= 0",
+        },
+        "lab_tests": _required("lab_tests", "test_id", "test_name"),
+        "lab_orders": {
+            **_required("lab_orders", "order_id"),
+            "status in allowed values": "status not in ('Pending', 'Collected', 'Done')",
+            "result_value at most 100 characters": "length(result_value) > 100",
+        },
+        "bill_items": {
+            **_required("bill_items", "item_id"),
+            "service_type in allowed values": "service_type not in ('Consultation', 'Lab', 'Pharmacy')",
+        },
+        "payments": {
+            **_required("payments", "payment_id"),
+            "payment_mode in allowed values": "payment_mode not in ('Cash', 'Card', 'UPI', 'Insurance')",
+            "amount_paid > 0": "amount_paid <= 0",
+        },
+    },
+    [
+        ("roles", "role_id"), ("roles", "role_name"), ("users", "user_id"), ("users", "username"), ("insurance", "insurance_id"),
+        ("insurance", "policy_number"), ("patients", "patient_id"), ("patients", "phone"), ("departments", "dept_id"),
+        ("doctors", "doctor_id"), ("diagnoses", "diag_id"), ("medicines", "medicine_id"), ("lab_tests", "test_id"),
+        ("lab_orders", "order_id"), ("bill_items", "item_id"), ("payments", "payment_id"),
+    ],
+    [
+        ("users", "role_id", "roles", "role_id"),
+        ("patients", "insurance_id", "insurance", "insurance_id"),
+        ("doctors", "dept_id", "departments", "dept_id"),
+        ("diagnoses", "appt_id", "appointments", "appt_id"),
+        ("lab_orders", "appt_id", "appointments", "appt_id"),
+        ("lab_orders", "test_id", "lab_tests", "test_id"),
+        ("bill_items", "bill_id", "bills", "bill_id"),
+        ("payments", "bill_id", "bills", "bill_id"),
+        ("payments", "received_by", "users", "user_id"),
+    ],
+)
+
+
+@query("r16_table_constraints", _CLINIC)
 def r16(h: Hospital) -> DataFrame:
     return constraint_findings(h, ["appointments", "bills", "prescriptions"])
 
 
+@query("r16b_master_and_detail_constraints", _MASTER)
+def r16b(h: Hospital) -> DataFrame:
+    """The other stored tables: required columns, codes, lengths, values, keys and references."""
+    tables = "roles users insurance patients departments doctors diagnoses medicines lab_tests lab_orders bill_items payments"
+    return constraint_findings(h, tables.split())
+
+
 @query(
     "r17_quality_scan",
     """with p as (

@@ -141,8 +141,8 @@ def v4b(h: Hospital) -> DataFrame:
 
 @query(
     "v4c_one_doctor_prescriptions",
-    """select rx_id, diag_id, medicine_id from {prescriptions} where diag_id in (select di.diag_id from {diagnoses} di
-         join {appointments} a on a.appt_id = di.appt_id where a.doctor_id = (select staff_ref_id from {users} where user_id = 1003))""",
+    f"""select x.rx_id, x.diag_id, x.medicine_id from ({_OWNERS}) o join {{diagnoses}} g using (appt_id)
+        join {{prescriptions}} x using (diag_id) where o.user_id = 1003""",
 )
 def v4c(h: Hospital) -> DataFrame:
     return visibility.visible(h, "prescriptions", role="Doctor", user_id=1003).select("rx_id", "diag_id", "medicine_id")

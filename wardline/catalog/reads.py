@@ -424,8 +424,8 @@ def q26c(h: Hospital) -> DataFrame:
 @query(
     "q27_awaiting_diagnosis",
     _ranked(
-        """select a.*, p.full_name from {appointments} a join {patients} p using (patient_id) where a.status = 'Completed'
-           and a.appt_id not in (select appt_id from {diagnoses} where appt_id is not null)""",
+        """select a.*, p.full_name from {appointments} a anti join {diagnoses} g on g.appt_id = a.appt_id
+           join {patients} p using (patient_id) where a.status = 'Completed'""",
         "doctor_id", "appt_date desc, appt_id desc", 20,
         f"doctor_id, cast(rnk as int) as rank, appt_id, full_name, {d('appt_date')}",
     ),
@@ -446,9 +446,14 @@ def q28(h: Hospital) -> DataFrame:
     return worklists.awaiting_prescription(h)
 
 
-@query("q28b_awaiting_prescription_null_aware", _NO_RX)
+@query(
+    "q28b_awaiting_prescription_null_aware",
+    _NO_RX.replace("(select diag_id from {prescriptions})", "(select case when rx_id % 7 <> 0 then diag_id end from {prescriptions})"),
+)
 def q28b(h: Hospital) -> DataFrame:
-    return worklists.awaiting_prescription(h, null_aware=True)
+    """Some prescriptions have no diagnosis: by the null-aware rule none then counts as awaiting."""
+    loose = h.prescriptions.withColumn("diag_id", F.when(F.col("rx_id") % 7 != 0, F.col("diag_id")))
+    return worklists.awaiting_prescription(h.replaced(prescriptions=loose), null_aware=True)
 
 
 @query(
@@ -467,8 +472,8 @@ def q29(h: Hospital) -> DataFrame:
 @query(
     "q30_awaiting_bill",
     f"""select a.appt_id, p.full_name, p.phone, {d('a.appt_date')}, d.full_name as doctor, {m('d.opd_fee')}
-        from {{appointments}} a join {{patients}} p using (patient_id) join {{doctors}} d using (doctor_id)
-        where a.status = 'Completed' and a.appt_id not in (select appt_id from {{bills}} where appt_id is not null)""",
+        from {{appointments}} a anti join {{bills}} b on b.appt_id = a.appt_id
+        join {{patients}} p using (patient_id) join {{doctors}} d using (doctor_id) where a.status = 'Completed'""",
 )
 def q30(h: Hospital) -> DataFrame:
     return worklists.awaiting_bill(h)

@@ -49,6 +49,10 @@ FOREIGN_KEYS = (
     ("bills", "appt_id", "appointments"),
     ("bill_items", "bill_id", "bills"),
     ("payments", "bill_id", "bills"),
+    ("bills", "generated_by", "users"),
+    ("payments", "received_by", "users"),
+    ("user_sessions", "user_id", "users"),
+    ("audit_log", "changed_by", "users"),
     ("users", "role_id", "roles"),
 )
 UNIQUE = (("insurance", "policy_number"), ("patients", "phone"), ("users", "username"), ("roles", "role_name"))

@@ -64,7 +64,7 @@ REQUESTS: dict[str, str] = {
         from {prescriptions}
         union all
         select rx_id * 4 + 1, prescribed_at + interval 2 hour, rx_id, 1
-        from {prescriptions} where rx_id % 10 = 0
+        from {prescriptions} where rx_id % 11 = 0
         union all
         select rx_id * 4 + 2, prescribed_at, rx_id + 1000000000000, 1
         from {prescriptions} where rx_id % 101 = 0
