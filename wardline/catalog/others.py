@@ -179,6 +179,12 @@ def t1b(h: Hospital) -> DataFrame:
     return runs.run_to_parquet(lockout.lockout_stream(lockout.login_attempts(_event_stream(h))))
 
 
+@query("t1c_login_lockout_slices", _LOCKOUT)
+def t1c(h: Hospital) -> DataFrame:
+    """Every account of more than three attempts cut into time slices, as those with very many are."""
+    return lockout.lockouts(lockout.login_attempts(h.events), split_over=3)
+
+
 _SESSIONS = f"""
     with marked as (select user_id, ts, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 60 minute then 1 else 0 end as s
                     from {{events}} window w as (partition by user_id order by ts, event_id)),
