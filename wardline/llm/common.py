@@ -14,7 +14,7 @@ from wardline.sources.staging import cut
 # garbage, and Arrow batches of long texts stay small.
 _WHILE_WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone and whole.
