@@ -25,8 +25,8 @@ from wardline.llm.common import keep, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Least mean probability of the language of a document that stays.
-LEAST_SCORE = 0.5
+#: Least mean probability of the language of a document that stays; texts of two languages reach half.
+LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
