@@ -39,7 +39,7 @@ WORDS = 4
 #: Frequent shingles that are told to every task: at most this many (8 bytes each).
 FREQUENT = 200_000
 #: Shingles that a task counts together.
-COUNTED = 2_000_000
+COUNTED = 3_000_000
 #: Count over all documents from which a shingle may be among them.
 FREQUENT_FROM = 16
 #: Rows up to which a list of document ids is broadcast (8 bytes each); beyond it the join shuffles.
