@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the
 corpus. Their results are written as Parquet and read again by the next one.
 
 1. language        documents without a language, or with too unsure a one, go
-2. near_duplicates of the documents that similar shingle sets link, the one of smallest doc_id stays
+2. near_duplicates of the documents that similar sets of five-word shingles link (Jaccard at least 0.8), the one
+                   of smallest doc_id stays
 3. decontaminate   documents that hold a benchmark item go
 4. personal_data   personal data is replaced by its kind; n_chars follows the new text
 5. encode          texts become byte-level BPE ids; the text returned is decoded from these
@@ -27,6 +28,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Least mean probability of the language of a document that stays; texts of two languages reach half.
 LEAST_SCORE = 0.35
+#: Near duplicates share this part of their shingles of so many words; op2's contract has its own values.
+PERCENT, WORDS = 80, 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = shingle_join.near_duplicates(docs)
+    linked = shingle_join.near_duplicates(docs, percent=PERCENT, words=WORDS)
     gone = keep(linked.filter("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
