@@ -5,6 +5,7 @@ import random
 import re
 
 import corpus_pipeline
+from wardline.llm import decontaminate
 
 
 def linked_away(rows, k, percent):
@@ -40,3 +41,26 @@ def test_pipeline_links_five_words_at_four_fifths(spark):
     gone = linked_away(rows, 5, 80)
     assert 1 in gone and gone != linked_away(rows, 4, 85)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - gone
+
+
+def test_templates_leave_out_only_what_clashes(spark):
+    altered = "She gave 9 cups to Ann before noon and two of them went from Ann back to the old shelf near the door."
+    sums = "Please work out how much 12 plus 7 makes and say what 12 minus 7 makes."
+    names = "We saw Ann and Bob with Eve in Rome near Oslo where Max met Ann and Bob."
+    fives = sums.replace("12", "5").replace("7", "5")
+    mixed = names.replace("Ann", "Pia").replace("Bob", "bob").replace("Oslo", "oslo")
+    clash = "Please work out how much 3 plus 4 makes and say what 8 minus 9 makes."
+    texts = [altered.replace("to Ann", "to Ana"), fives, names.lower(), names.upper(), mixed, clash, "please say nothing of cups, shelf, Ann or Bob"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, altered), (2, sums), (3, names)], "item_id long, text string")
+    for few in (1_000_000, 3):
+        decontaminate.BROADCAST_WINDOWS, before = few, decontaminate.BROADCAST_WINDOWS
+        try:
+            got = {r["doc_id"]: r["item_ids"] for r in decontaminate.verdicts(docs, bench).collect()}
+            shares = {(r["doc_id"], r["item_id"]): r["share"] for r in decontaminate.hits(docs, bench).collect()}
+        finally:
+            decontaminate.BROADCAST_WINDOWS = before
+        assert got == {0: "1", 1: "2", 2: "3", 3: "3", 4: "3", 5: "", 6: ""}
+        # five windows hold the altered name
+        n = len(altered.split()) - 4
+        assert shares[0, 1] == (n - 5) / n and shares[1, 2] == shares[2, 3] == shares[3, 3] == shares[4, 3] == 1

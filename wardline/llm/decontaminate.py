@@ -5,11 +5,15 @@ after a number is a unit, a word inside a sentence whose first letter alone is a
 of its type, and its own hash is kept as the slot's value. Other words lose case and enclosing marks.
 Windows of `size` words of the templates are hash-joined; an item of fewer words is one window.
 
-Matches of one item along one diagonal (document position minus item position) are one run. A run counts if
-its slots are consistent: equal values of the item meet equal values of the document and different ones
-different ones. So an item with other numbers or names is caught, text that merely shares the template's
-frame with mixed-up values is not. A document is contaminated by an item if the windows of its consistent
-runs are at least `share` of the item's windows.
+A name of an item is also looked for as the plain word, in all mixtures with the placeholder: lower-case
+copies of an item match, each such word as the slot with the item's own value.
+
+Matches of one item along one diagonal (document position minus item position) are one run. In a run each
+value of the item stands for the document's value that it meets at most places, for none on a tie. A window
+counts if all its slots follow that, or if all its values are the item's own; others are left out, one by
+one. Different values may meet the same one. So an item with other numbers or names is caught, text that
+merely shares the template's frame with mixed-up values is not. A document is contaminated by an item if the
+windows that count are at least `share` of the item's windows.
 
 The benchmark is a query set: up to BROADCAST_WINDOWS distinct windows (8 bytes each) its hashes are told to
 every task, which then emits matching windows only; beyond that every window of the documents is joined.
@@ -129,8 +133,13 @@ with np.errstate(over="ignore"):
     )
 
 
-def windows(template: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every window, the text it is in, and the number of its first word there."""
+def windows(
+    template: np.ndarray, counts: np.ndarray, size: int, slots: np.ndarray | None = None, plain: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every window, the text it is in, and the number of its first word there.
+
+    With `plain`, places of its bits count by their slot's value, and only windows with names there are returned.
+    """
     many = np.maximum(counts - size + 1, 0)
     owner = np.repeat(np.arange(len(counts)), many)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
@@ -139,7 +148,11 @@ def windows(template: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.nda
     first = (np.cumsum(counts) - counts)[owner] + place
     total = np.full(max(len(template) - size + 1, 0), size, np.uint64)
     for k in range(size):
-        total = total * _D + template[k : len(template) - size + 1 + k]
+        source = slots if plain >> k & 1 else template
+        total = total * _D + source[k : len(template) - size + 1 + k]
+        if plain >> k & 1:
+            good = template[first + k] == _NAME
+            first, owner, place = first[good], owner[good], place[good]
     return _mixed(total)[first].view(np.int64), owner, place
 
 
@@ -148,7 +161,7 @@ SCHEMA = "id long, h long, place long, slots array<long>"
 
 def _rows(df: DataFrame, key: str, sizes: list[int], wanted: object | None, exact: bool) -> DataFrame:
     """Rows (id, h, place, slots) of the windows of a table; with `wanted`, of those hashes only;
-    with `exact`, windows below the largest size only where they are a whole text."""
+    with `exact`, windows below the largest size only where they are a whole text, and names also as plain words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         among = wanted.value if wanted is not None else None
@@ -161,8 +174,8 @@ def _rows(df: DataFrame, key: str, sizes: list[int], wanted: object | None, exac
                 with np.errstate(over="ignore"):
                     template, slots, counts = templates(*flat(part.column("text")))
                     found = []
-                    for size in sizes:
-                        h, owner, place = windows(template, counts, size)
+                    for size, plain in ((n, bits) for n in sizes for bits in range(1 << n if exact else 1)):
+                        h, owner, place = windows(template, counts, size, slots, plain)
                         if exact and size != max(sizes):
                             good = counts[owner] == size
                             h, owner, place = h[good], owner[good], place[good]
@@ -184,6 +197,18 @@ def _rows(df: DataFrame, key: str, sizes: list[int], wanted: object | None, exac
     return df.select(F.col(key).cast("long").alias("id"), "text").filter("id is not null").mapInArrow(run, SCHEMA)
 
 
+def _stands_for(met: DataFrame, run: list[str]) -> DataFrame:
+    """Per run, a map from the item's values to the document's value that each meets at most places, without ties."""
+    slots = met.select(*run, F.explode("pairs").alias("p")).select(*run, "p.at", "p.a", "p.b").distinct()
+    often = slots.groupBy(*run, "a", "b").agg(F.count("*").alias("n"))
+    # the greatest and the least of the values met most often
+    top = often.groupBy(*run, "a").agg(
+        F.max(F.struct("n", "b"))["b"].alias("b"), F.bitwise_not(F.max(F.struct("n", F.bitwise_not("b").alias("c")))["c"]).alias("least")
+    )
+    entries = F.collect_list(F.struct("a", "b"))
+    return top.filter("b = least").groupBy(*run).agg(F.map_from_entries(entries).alias("stands_for"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float = SHARE) -> DataFrame:
     """Rows (doc_id, item_id, share) of documents contaminated by an item."""
     lengths = list(range(1, size + 1))
@@ -197,15 +222,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float =
     found = _rows(docs, "doc_id", sorted(used) or [size], wanted, False)
     side = items.select("h", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     met = found.join(F.broadcast(side) if few else side, "h")
-    pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"] != 0)
-    runs = (
-        met.select("id", "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"), pairs.alias("pairs"))
-        .groupBy("id", "item_id", "diagonal")
-        .agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    # a slot of the item that meets a plain word met its own value
+    own = lambda p: F.when(p["slots"] == 0, p["item_slots"]).otherwise(p["slots"])
+    pair = lambda p, i: F.struct((F.col("item_place") + i).alias("at"), p["item_slots"].alias("a"), own(p).alias("b"))
+    pairs = F.filter(F.transform(F.arrays_zip("item_slots", "slots"), pair), lambda p: p["a"] != 0)
+    diagonal = (F.col("place") - F.col("item_place")).alias("diagonal")
+    met = keep(met.select("id", "item_id", diagonal, F.col("item_place").alias("place"), pairs.alias("pairs")))
+    run = ["id", "item_id", "diagonal"]
+    steady = met.join(_stands_for(met, run), run, "left").filter(
+        F.forall("pairs", lambda p: p["a"] == p["b"])
+        | F.forall("pairs", lambda p: F.coalesce(F.try_element_at("stands_for", p["a"]) == p["b"], F.lit(False)))
     )
-    sides = [F.size(F.array_distinct(F.transform("pairs", lambda p: p[c]))) for c in ("item_slots", "slots")]
-    steady = runs.filter((sides[0] == F.size("pairs")) & (sides[1] == F.size("pairs")))
-    matched = steady.select("id", "item_id", F.explode("places").alias("place")).distinct().groupBy("id", "item_id").agg(F.count("*").alias("n"))
+    matched = steady.select("id", "item_id", "place").distinct().groupBy("id", "item_id").agg(F.count("*").alias("n"))
     sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("all"))
     scored = matched.join(sizes, "item_id").withColumn("share", F.col("n") / F.col("all"))
     return scored.filter(F.col("share") >= share).select(F.col("id").alias("doc_id"), "item_id", "share")
