@@ -4,8 +4,10 @@ import itertools
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from wardline.llm import decontaminate
+from wardline.llm import decontaminate, repeats
 
 
 def linked_away(rows, k, percent):
@@ -64,3 +66,32 @@ def test_templates_leave_out_only_what_clashes(spark):
         # five windows hold the altered name
         n = len(altered.split()) - 4
         assert shares[0, 1] == (n - 5) / n and shares[1, 2] == shares[2, 3] == shares[3, 3] == shares[4, 3] == 1
+
+
+def test_a_passage_in_many_surroundings_is_no_single_part(spark, monkeypatch):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = noise(150)
+    texts = [noise(rng.randint(30, 80)) + passage[rng.choice([0, 0, 0, 9]) :] + noise(rng.randint(30, 80)) for _ in range(300)]
+    rows = [(rng.choice([i, i, i // 2]), t) for i, t in enumerate(texts)] + [(7, texts[4]), (None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", 40, raising=False)
+    sizes, contexts = [], repeats._contexts
+
+    def watched(*args):
+        out = repeats.keep(contexts(*args))
+        sizes.extend(r[1] for r in out.groupBy("range").agg(F.sum(F.size("ids"))).collect())
+        return out
+
+    monkeypatch.setattr(repeats, "_contexts", watched)
+    got = sorted((r["doc_id"] is None, r["doc_id"], bytes(r["kept"])) for r in repeats.removed(docs).collect() if r["doc_id"] is not None)
+    first = {}
+    for i, t in sorted(rows[:-1]):
+        for j in range(len(t) - 49):
+            first.setdefault(t[j : j + 50], i)
+    want = []
+    for i, t in rows[:-1]:
+        gone = {x for j in range(len(t) - 49) if first[t[j : j + 50]] < i for x in range(j, j + 50)}
+        want.append((False, i, "".join(c for x, c in enumerate(t) if x not in gone).encode()))
+    assert got == sorted(want)
+    assert max(sizes, default=0) <= 2 * 40

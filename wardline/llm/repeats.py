@@ -15,6 +15,9 @@ Strings are judged on the input, overlaps count, and no string crosses documents
    bucket-pointer refinement: buckets of equal first bytes are split by the bucket numbers at a later offset,
    and the new numbers serve the next refinement, which reaches twice as far. The strings of a final bucket
    are equal; those that are not of its smallest doc_id are covered.
+   Of a q-gram with many such contexts the strings themselves are dealt out instead, by wide hashes made of
+   (bucket, bucket at a later offset) in the same steps; strings that are equal in a slice are sent once, and
+   the smallest doc_id of each is a partial aggregate. So a passage in many surroundings spreads over tasks.
 4. The intervals go to their documents, which are rewritten.
 
 Contexts are told apart by 64 bits beside the bucket. Texts of over PIECE bytes are walked in pieces that
@@ -33,13 +36,15 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm.common import CACHE_BYTES, flat, keep, list_array, slices
+from wardline.llm.common import CACHE_BYTES, flat, keep, list_array, slices, spread
 
 LENGTH = 50
 GRAM = 16
 PIECE = 4 << 20
 #: Parts of a range, by the q-gram, whose contexts are sorted separately.
 PARTS = 8
+#: Contexts of one q-gram up to which they are sorted together (about 4 KB each); beyond, their strings are dealt out.
+HOT_CONTEXTS = 1_000
 
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -194,7 +199,8 @@ def _send(docs: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
 
 
 def _meet(sent: DataFrame, length: int) -> DataFrame:
-    """What equal contexts cover (kind 0), and the contexts to be fetched, with the part that each is sorted in (kind 1)."""
+    """What equal contexts cover (kind 0), and the contexts to be fetched, with the part that each is sorted in (kind 1)
+    or of q-grams that have too many for that (kind 2)."""
 
     def run(table: pa.Table) -> pa.Table:
         r = table.column("range")[0].as_py()
@@ -226,7 +232,9 @@ def _meet(sent: DataFrame, length: int) -> DataFrame:
             _, back, times = np.unique(pair, return_inverse=True, return_counts=True)
             asked |= (times[back] > 1) & (mine != 0)
         fetch = np.repeat(asked, many) & ~covered
-        for kind, chosen in ((0, order[covered]), (1, order[fetch])):
+        number = np.cumsum(_first_of_runs(gram)) - 1
+        hot = np.bincount(number, fetch)[number] > HOT_CONTEXTS
+        for kind, chosen in ((0, order[covered]), (1, order[fetch & ~hot]), (2, order[fetch & hot])):
             start = entries["start"][chosen].astype(np.int64)
             end = start + entries["more"][chosen] + length
             # rows of one document: by id and mark
@@ -285,14 +293,33 @@ def equal_strings(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     return buckets[starts]
 
 
-def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Blocks by part: documents, begins and bytes of the contexts that were asked for."""
+def string_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each of the strings at `starts`, by the steps of `equal_strings`."""
+    gram = min(8, length)
+    value = np.zeros(max(len(data) - gram + 1, 0), np.uint64)
+    for j in range(gram):
+        value = value << np.uint64(8) | data[j : j + len(value)]
+    one, two = _mixed(value), _mixed(value * _D + _C)
+    reach = gram
+    while reach < length:
+        step = min(reach, length - reach)
+        one, two = _mixed(one[:-step] * _D + one[step:]), _mixed(two[:-step] * _C + two[step:])
+        reach += step
+    return one[starts].view(np.int64), two[starts].view(np.int64)
+
+
+def _asked(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Documents with the places, begins and ends of the contexts that were asked for."""
     wanted = asked.groupBy("doc_id", "mark").agg(
         F.flatten(F.collect_list("places")).alias("places"),
         F.flatten(F.collect_list("starts")).alias("starts"),
         F.flatten(F.collect_list("ends")).alias("ends"),
     )
-    joined = docs.join(wanted, ["doc_id", "mark"])
+    return docs.join(wanted, ["doc_id", "mark"])
+
+
+def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Blocks by part: documents, begins and bytes of the contexts that were asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +342,7 @@ def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([int(place[one[0]])], pa.int32()), *lists, pa.array([text], pa.binary())], names)
 
     names = ["range", "ids", "marks", "starts", "ends", "data"]
-    return joined.mapInArrow(run, "range int, ids array<long>, marks array<long>, starts array<int>, ends array<int>, data binary")
+    return _asked(docs, asked).mapInArrow(run, "range int, ids array<long>, marks array<long>, starts array<int>, ends array<int>, data binary")
 
 
 def _settle(contexts: DataFrame, length: int) -> DataFrame:
@@ -350,6 +377,38 @@ def _settle(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.groupBy("range").applyInArrow(run, COVERED)
 
 
+def _settle_strings(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """The strings of the contexts asked for that a smaller doc_id has too, without gathering a q-gram's contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, ends = flat(part.column("text"))
+                many = np.asarray(part.column("starts").value_lengths(), np.int64)
+                row = np.repeat(np.arange(part.num_rows), many)
+                start, end = (part.column(c).flatten().to_numpy().astype(np.int64) for c in ("starts", "ends"))
+                size = end - start
+                strings = size - length + 1
+                owner, where = np.repeat(row, strings), spread(start, strings)
+                cells = data[spread(ends[row] + start, size)]
+                one, two = string_hashes(cells, spread(np.cumsum(size) - size, strings), length)
+                ids, marks = (part.column(c).to_numpy()[owner] for c in ("doc_id", "mark"))
+                order = np.lexsort((ids, two, one))
+                head = np.flatnonzero(_first_of_runs(one[order], two[order]))
+                least = np.empty(len(order), np.int64)
+                least[order] = np.repeat(ids[order][head], np.diff(np.concatenate((head, [len(order)]))))
+                arrays = [pa.array(x) for x in (one, two, ids, marks, where.astype(np.int32), ids > least)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    names = ["one", "two", "doc_id", "mark", "start", "gone"]
+    found = keep(_asked(docs, asked).mapInArrow(run, "one long, two long, doc_id long, mark long, start int, gone boolean"))
+    first = found.filter("not gone")
+    least = first.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    later = first.join(least, ["one", "two"]).filter("doc_id > least")
+    gone = found.filter("gone").select("doc_id", "mark", "start").union(later.select("doc_id", "mark", "start"))
+    return gone.select("doc_id", "mark", F.array("start").alias("starts"), F.array(F.col("start") + length).alias("ends"))
+
+
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Rows (doc_id, mark, starts, ends): intervals of bytes to remove, which may overlap."""
     usable = _keyed(docs).filter("doc_id is not null")
@@ -357,7 +416,9 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     sent = _send(usable, ranges, length, gram)
     met = keep(_meet(sent, length))
     settled = keep(_settle(_contexts(usable, met.filter("kind = 1")), length))
-    return met.filter("kind = 0").select(settled.columns).union(settled)
+    out = met.filter("kind = 0").select(settled.columns).union(settled)
+    hot = met.filter("kind = 2")
+    return out.union(keep(_settle_strings(usable, hot, length))) if hot.limit(1).count() else out
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
