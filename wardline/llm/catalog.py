@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bpe, chat, decontaminate, langid, pii, quality_model, quality_rules, repeats, shingle_join, warc
+from wardline.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    langid,
+    periodic,
+    pii,
+    quality_model,
+    quality_rules,
+    repeats,
+    shingle_join,
+    warc,
+)
 from wardline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +96,9 @@ CHECKS["op10_quality_rules"] = quality_rules.check_sql()
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of the threshold table for every document."""
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, with a tenth of them made periodic."""
+    return periodic.report(table(spark, sf_dir, "documents"))
