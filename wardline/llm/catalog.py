@@ -12,6 +12,7 @@ from wardline.llm import (
     chat,
     decontaminate,
     langid,
+    packing,
     periodic,
     pii,
     quality_model,
@@ -102,3 +103,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, with a tenth of them made periodic."""
     return periodic.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_best_fit_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents packed into sequences of 4096."""
+    return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
