@@ -20,6 +20,7 @@ from wardline.llm import (
     repeats,
     shingle_join,
     warc,
+    whitening,
 )
 from wardline.llm.common import table
 
@@ -109,3 +110,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of all documents packed into sequences of 4096."""
     return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First components of all embeddings, whitened."""
+    return whitening.report(table(spark, sf_dir, "embeddings"))
