@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -189,11 +190,11 @@ class Chunks:
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             lengths = np.fromiter(map(len, made), np.int64, len(made))
             starts = len(self.ids) + np.cumsum(lengths) - lengths
-            ids = np.fromiter((i for m in made for i in m), np.uint32, int(lengths.sum()))
+            ids = np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum()))
             self.ids = np.concatenate([self.ids, ids])
             self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
         many = np.fromiter(map(len, rows), np.int64, len(rows))
-        at = np.fromiter((self.index[w] for r in rows for w in r), np.int64, int(many.sum()))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(rows)), np.int64, int(many.sum()))
         lengths = self.lengths[at]
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(many)))]
         return self.ids[spread(self.starts[at], lengths)], np.diff(ends)
