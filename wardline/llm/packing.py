@@ -22,6 +22,7 @@ length under 1 or over the capacity is an error. Columns that are not named are
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -42,6 +43,11 @@ REMEMBER = 400_000
 #: Between an ASCII letter and ASCII punctuation but the apostrophe.
 _CUT = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
 
+#: One word to the tokenizer, whatever it does to its letters.
+_ONE = re.compile("[a-zÀ-ÖØ-öø-ÿŒœ]+")
+#: Words that are encoded as one line.
+LINE = 500
+
 
 def combination(counts: np.ndarray, room: int) -> tuple[int, list[tuple[int, int]]]:
     """The fullest sum up to room of lengths taken at most so often as counted, and how often each is taken.
@@ -164,7 +170,8 @@ class Chunks:
     """Texts to ids by their chunks between ASCII white space, which this kind of tokenizer drops and never joins.
 
     Chunks are also cut after an ASCII letter that punctuation follows, and put in lower case, as the tokenizer
-    itself does; texts that might hold the name of a special token are left as they are.
+    itself does; texts that might hold the name of a special token are left as they are. Chunks of Latin letters
+    alone are encoded many at once.
     """
 
     def __init__(self, tokenizer: str):
@@ -172,27 +179,44 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        suffix = json.loads(tokenizer)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are one each to the tokenizer: many at once, told apart by the tokens that end a word."""
+        lines = [" ".join(words[i : i + LINE]) for i in range(0, len(words), LINE)]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(made), np.uint32)
+        lengths = np.diff(np.flatnonzero(self.closing[ids]), prepend=-1)
+        if len(lengths) != len(words):
+            raise ValueError("a word of letters is not one word to this tokenizer")
+        return ids, lengths
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
         if len(self.index) > REMEMBER:
             self._forget()
         plain = [t.encode() for t in texts]
         rows = [(t if b"<|" in t else _CUT.sub(b" ", t.lower())).split() for t in plain]
-        new = list(set().union(*rows).difference(self.index))
+        new = set().union(*rows).difference(self.index)
         if new:
-            made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            lengths = np.fromiter(map(len, made), np.int64, len(made))
-            starts = len(self.ids) + np.cumsum(lengths) - lengths
-            ids = np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum()))
-            self.ids = np.concatenate([self.ids, ids])
-            self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+            words = {w: w.decode() for w in new}
+            plain = [w for w, t in words.items() if _ONE.fullmatch(t)] if self.closing.any() else []
+            rest = list(new.difference(plain))
+            ids, lengths = self._words([words[w] for w in plain])
+            made = [e.ids for e in self.tokenizer.encode_batch_fast([words[w] for w in rest], add_special_tokens=False)]
+            ids = np.concatenate([self.ids, ids, np.fromiter(chain.from_iterable(made), np.uint32)])
+            lengths = np.concatenate([lengths, np.fromiter(map(len, made), np.int64, len(made))])
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.ids, self.lengths = ids, np.concatenate([self.lengths, lengths])
+            self.index.update(zip(chain(plain, rest), range(len(self.index), len(self.lengths))))
         many = np.fromiter(map(len, rows), np.int64, len(rows))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(rows)), np.int64, int(many.sum()))
         lengths = self.lengths[at]
