@@ -1,13 +1,15 @@
 """Streams against their batch twins, and the twins against one-by-one rules."""
 
 import random
+import uuid
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from wardline.streaming import lockout, runs, sessions
-from wardline.sources.staging import written
+from wardline.sources.staging import shared_folder, written
 
 BASE = 1_704_067_200_000_000
 
@@ -48,14 +50,34 @@ def test_lockout_matches_one_by_one(spark, split_over):
     assert got == one_by_one(rows)
 
 
-def test_lockout_stream_over_several_batches(spark):
-    rows = sorted(attempts(5, 400), key=lambda r: r[2])
+def test_lockout_stream_takes_shuffled_files_in_event_order(spark):
+    rng = random.Random(5)
+    rows = sorted(attempts(5, 300), key=lambda r: r[2])
+    rows += [(8, 1000 + i, rows[0][2] + i, False) for i in range(4)] + [(8, 1004, rows[0][2] + 9, True), (9, 1005, rows[0][2], False)]
     schema = "user_id long, event_id long, m long, succeeded boolean"
-    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("m").cast("timestamp_ntz")).drop("m")
-    path = written(df.orderBy("ts").coalesce(1))
-    stream = lockout.lockout_stream(runs.parquet_stream(spark, path, df.schema, names="*.parquet", files_per_batch=1))
-    got = {r.event_id: (r.outcome, r.failed_attempts) for r in runs.run_to_parquet(stream).collect()}
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("m").cast("timestamp_ntz"))
+    # a day a file, a fourth of its rows come with the next file, rows of a file in any order
+    number = {r[1]: (r[2] - BASE) // (86400 * 10**6) + (rng.random() < 0.25) for r in rows}
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    for n in sorted(set(number.values())):
+        ids = [i for i, k in number.items() if k == n]
+        df.filter(F.col("event_id").isin(ids)).drop("m").orderBy(F.rand(n)).coalesce(1).write.mode("append").parquet(folder)
+    feed = runs.parquet_stream(spark, folder, df.drop("m").schema, names="*.parquet", files_per_batch=1)
+    feed, tick = runs.with_last_tick(feed, "ts", "2100-01-01 00:00:00")
+    stream = lockout.lockout_stream(feed, lateness="26 hours")
+    got = {r.event_id: (r.outcome, r.failed_attempts) for r in runs.run_to_parquet(stream, then=tick).collect()}
     assert got == one_by_one(rows)
+    # accounts with a clean counter keep no state, nothing waits but the tick
+    state = max(Path(shared_folder(spark).removeprefix("file:"), "streams").iterdir(), key=lambda p: p.stat().st_mtime) / "state"
+    read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(str(state))
+    held = {r["key"]["user_id"]: r["value"]["failures"] for r in read("account").collect()}
+    last = {}
+    for user, event, _, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+        last[user] = got[event][1]
+    assert held == {u: n for u, n in last.items() if n} and 8 not in held and held[9] == 1
+    waiting = read("waiting").collect()
+    assert {r["key"]["user_id"] for r in waiting} == {None}
+
 
 
 def events(spark, *minutes):

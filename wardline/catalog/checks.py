@@ -89,10 +89,12 @@ def r05(h: Hospital) -> DataFrame:
 @query(
     "r06_appointment_time",
     _sql(
-        """case when visit_time is null then 'Appointment time is required.'
-                when cast(substr(visit_time, 1, 2) as int) < 8 then 'Appointments cannot be before 8:00 AM.'
-                when cast(substr(visit_time, 1, 2) as int) >= 20 then 'Appointments cannot be after 8:00 PM.'
-                when visit_date = date '1998-06-15' and cast(visit_time as time) < time '11:45:00'
+        """case when visit_time is null or trim(visit_time) = '' then 'Appointment time is required.'
+                when not regexp_matches(trim(visit_time), '^([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?$')
+                  then 'Appointment time must be given as HH:MM or HH:MM:SS.'
+                when cast(substr(trim(visit_time), 1, 2) as int) < 8 then 'Appointments cannot be before 8:00 AM.'
+                when cast(substr(trim(visit_time), 1, 2) as int) >= 20 then 'Appointments cannot be after 8:00 PM.'
+                when visit_date = date '1998-06-15' and cast(trim(visit_time) as time) < time '11:45:00'
                   then 'For today''s appointments, time must be at least 2 hours from now (earliest allowed: 11:45 AM).' end"""
     ),
 )

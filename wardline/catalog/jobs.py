@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.catalog.oracle import d, m, t
 from wardline.catalog.registry import AS_OF, query
 from wardline.plans import billing, booking, clinical, payments, pharmacy, registry
-from wardline.plans.common import decisions
+from wardline.plans.common import Outcome, decisions
+from wardline.sources.partitions import LAYOUTS, merge_change, open_parts, store_parts
+from wardline.sources.staging import cut, shared_folder
 from wardline.sources.tables import Hospital
 
 _NONE = "cast(null as varchar)"
@@ -80,6 +85,8 @@ _BOOK = """
         when b.appt_date < date '1996-06-15' then 'Appointment date cannot be in the past.'
         when b.appt_date - date '1996-06-15' > 365 then 'Cannot schedule more than 1 year in advance.'
         when b.appt_time is null then 'Appointment time is required.'
+        when not regexp_matches(trim(b.appt_time), '^[0-9][0-9]:[0-9][0-9](:[0-9][0-9])?$')
+          then 'Appointment time must be given as HH:MM or HH:MM:SS.'
         when cast(substr(appt_time, 1, 2) as int) < 8 then 'Appointments cannot be before 8:00 AM.'
         when cast(substr(appt_time, 1, 2) as int) >= 20 then 'Appointments cannot be after 8:00 PM.'
         when b.appt_date = date '1996-06-15' and appt_time < '11:45:00'
@@ -88,7 +95,8 @@ _BOOK = """
         when exists (select 1 from {settled_appointments} a where a.doctor_id = b.doctor_id and a.appt_date = b.appt_date
                      and a.appt_time = b.appt_time and a.status <> 'Cancelled')
           then 'slot conflict: This time slot is already booked for the selected doctor.' end as failed
-    from {booking_requests} b left join {patients} p on p.patient_id = b.patient_id"""
+    from (select * replace (case when trim(appt_time) like '__:__' then trim(appt_time) || ':00' else appt_time end as appt_time)
+          from {booking_requests}) b left join {patients} p on p.patient_id = b.patient_id"""
 
 
 @query(
@@ -142,16 +150,13 @@ def j04b(h: Hospital) -> DataFrame:
     return booking.cancel_appointments(h, h.cancel_requests).tables["appointments"].select("appt_id", "status", "notes")
 
 
-_MOVE = """
-    select r.*, a.doctor_id, case when a.status is null or a.status in ('Completed', 'Cancelled') then 'Appointment is not open.'
+_MOVED = """
+    select r.*, case when a.status is null or a.status in ('Completed', 'Cancelled') then 'Appointment is not open.'
+        when new_date is null then 'Appointment date is required.' when new_time is null then 'Appointment time is required.'
+        when new_time = 'noon' then 'Appointment time must be given as HH:MM or HH:MM:SS.'
         when new_time < '08:00:00' or new_time > '20:00:00' then 'Appointment time must be between 08:00 AM and 08:00 PM.'
-        when exists (select 1 from {appointments} o where o.doctor_id = a.doctor_id and o.appt_date = r.new_date
-                     and o.appt_time = r.new_time and o.status <> 'Cancelled' and o.appt_id <> r.appt_id)
-          then 'Slot conflict: Doctor already booked at this time' end as failed
-    from {move_requests} r left join {appointments} a on a.appt_id = r.appt_id"""
-_MOVED = f"""
-    select *, coalesce(failed, case when appt_id <> first_value(appt_id) over (partition by doctor_id, new_date, new_time, failed is null
-               order by request_ts, request_id) then 'Slot conflict: Doctor already booked at this time' end) as reason from ({_MOVE}) c"""
+        when not w.admitted then 'Slot conflict: Doctor already booked at this time' end as reason
+    from {move_requests} r left join {appointments} a on a.appt_id = r.appt_id left join {move_walk} w on w.request_id = r.request_id"""
 
 
 @query("j05_reschedule_appointments", _result(_MOVED, "reason"))
@@ -159,6 +164,15 @@ def j05(h: Hospital) -> DataFrame:
     return decisions(booking.reschedule_appointments(h, h.move_requests))
 
 
+@query(
+    "j05c_chained_moves",
+    "select r.request_id, w.admitted as accepted from {chain_requests} r join {chain_walk} w on w.request_id = r.request_id",
+)
+def j05c(h: Hospital) -> DataFrame:
+    """Every open appointment asks for the next one's slot, with most doctors the last one first; in rounds to the end."""
+    return decisions(booking.reschedule_appointments(h, h.chain_requests, last=0)).select("request_id", "accepted")
+
+
 @query(
     "j05b_appointments_after_moves",
     f"""select a.appt_id, {d('coalesce(m.new_date, a.appt_date)', 'appt_date')}, coalesce(m.new_time, a.appt_time) as appt_time
@@ -184,6 +198,60 @@ def j06(h: Hospital) -> DataFrame:
     return decisions(booking.complete_appointments(h, h.complete_requests))
 
 
+# Merges into stored tables ------------------------------------------------------------------------
+
+
+def _files(stored: DataFrame, part: str) -> DataFrame:
+    named = stored.select(part, F.input_file_name().alias("file")).distinct()
+    return named.groupBy(part).agg(F.sort_array(F.collect_set("file")).alias("files"))
+
+
+def _merged(h: Hospital, name: str, outcome: Outcome) -> tuple[DataFrame, DataFrame]:
+    """A table stored by partition with an outcome's change merged into it, and which partitions got new files."""
+    path = f"{shared_folder(h.spark)}/merged/{uuid.uuid4().hex}"
+    part = LAYOUTS[name].part
+    store_parts(h.table(name), path, name)
+    before = cut(_files(open_parts(h.spark, path, name), part))
+    merge_change(h.spark, path, name, outcome.changes[name])
+    stored = open_parts(h.spark, path, name)
+    after = _files(stored, part).withColumnRenamed("files", "now")
+    return stored, after.join(before, part, "left").select(part, (~F.col("now").eqNullSafe(F.col("files"))).alias("rewritten"))
+
+
+@query(
+    "m1_merge_one_week",
+    f"""with gone as (select * from ({_CANCELLED}) c where reason is null and appt_id in (
+             select appt_id from {{appointments}} where appt_date between date '1996-06-10' and date '1996-06-16'))
+        select strftime(a.appt_date, '%Y-%m') as appt_month, count(*) as appointments,
+               cast(sum(case when a.status = 'Cancelled' or c.appt_id is not null then 1 else 0 end) as bigint) as cancelled,
+               count(c.appt_id) > 0 as rewritten
+        from {{appointments}} a left join gone c on c.appt_id = a.appt_id group by 1""",
+)
+def m1(h: Hospital) -> DataFrame:
+    """Cancellations of one week's appointments rewrite one month; all other months keep their files."""
+    week = h.appointments.filter(F.col("appt_date").between(date(1996, 6, 10), date(1996, 6, 16)))
+    asked = h.cancel_requests.join(week.select("appt_id"), "appt_id", "left_semi")
+    stored, rewritten = _merged(h, "appointments", booking.cancel_appointments(h, asked))
+    figures = stored.groupBy("appt_month").agg(
+        F.count("*").alias("appointments"), F.count_if(F.col("status") == "Cancelled").alias("cancelled")
+    )
+    return figures.join(rewritten, "appt_month")
+
+
+@query(
+    "m2_merge_moves",
+    f"""select a.appt_id, {d('coalesce(m.new_date, a.appt_date)', 'appt_date')}, coalesce(m.new_time, a.appt_time) as appt_time,
+               strftime(coalesce(m.new_date, a.appt_date), '%Y-%m') as appt_month
+        from {{appointments}} a left join (
+            select * from (select *, row_number() over (partition by appt_id order by request_ts desc, request_id desc) as rn
+                           from ({_MOVED}) d where reason is null) e where rn = 1) m on m.appt_id = a.appt_id""",
+)
+def m2(h: Hospital) -> DataFrame:
+    """Moves take appointments from month to month of the stored table."""
+    stored, _ = _merged(h, "appointments", booking.reschedule_appointments(h, h.move_requests))
+    return stored.select("appt_id", "appt_date", "appt_time", "appt_month")
+
+
 # Billing ------------------------------------------------------------------------------------------
 
 
@@ -428,16 +496,9 @@ def j14(h: Hospital) -> DataFrame:
     return decisions(registry.add_medicines(h, h.medicine_requests), new_id="medicine_id")
 
 
-_PATIENT_UPDATE = f"""
-    select *, coalesce(failed, case when patient_id <> first_value(patient_id) over (partition by clean, failed is null
-               order by request_ts, request_id) then 'This record already exists. Please check for duplicates.' end) as reason
-    from (select r.*, right(regexp_replace(r.phone, '[^0-9]', '', 'g'), 10) as clean,
-            case when r.phone = '12345' then 'Phone must be exactly 10 digits. You entered 5 digit(s).'
-                 when r.email = 'bad@' then 'Invalid email format. Example: name@example.com'
-                 when p.patient_id is null then 'Record not found.'
-                 when exists (select 1 from {{patients}} o where o.phone = right(regexp_replace(r.phone, '[^0-9]', '', 'g'), 10)
-                              and o.patient_id <> r.patient_id) then 'This record already exists. Please check for duplicates.' end as failed
-          from {{patient_update_requests}} r left join {{patients}} p on p.patient_id = r.patient_id) f"""
+_PATIENT_UPDATE = """
+    select r.*, coalesce(failed, case when not w.admitted then 'This record already exists. Please check for duplicates.' end) as reason
+    from {update_clean} r left join {update_walk} w on w.request_id = r.request_id"""
 
 
 @query("j15a_update_patients", _result(_PATIENT_UPDATE, "reason"))

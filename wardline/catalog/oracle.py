@@ -68,7 +68,54 @@ def admission(name: str, source: str, key: str, amount: str, room: str, slack: s
     }
 
 
+def one_at_a_time(name: str) -> dict[str, str]:
+    """Moves row by row within each group that they cannot leave: recursion over the requests of {name}_line
+    (grp, rn, request_id, owner, place, holders at the start) with who has moved and where the moved ones are."""
+    fits = """list_has_all(list_append(w.moved, s.owner), coalesce(s.holders, cast([] as bigint[])))
+              and len([x for x in w.places if x.place = s.place and x.owner <> s.owner]) = 0"""
+    return {
+        f"{name}_walk": f"""
+            select grp, cast(0 as bigint) as rn, cast(null as bigint) as request_id, false as admitted,
+                   cast([] as bigint[]) as moved, cast([] as struct(owner bigint, place varchar)[]) as places
+            from (select distinct grp from {{{name}_line}}) g
+            union all
+            select grp, rn, request_id, ok, case when ok then list_append(moved, owner) else moved end,
+                   case when ok then list_append([x for x in places if x.owner <> o.owner], struct_pack(owner := owner, place := place)) else places end
+            from (select s.grp, s.rn, s.request_id, s.owner, s.place, w.moved, w.places, {fits} as ok
+                  from {name}_walk w join {{{name}_line}} s on s.grp = w.grp and s.rn = w.rn + 1) o""",
+    }
+
+
+def move_line(source: str) -> str:
+    """Well-formed moves of open appointments, numbered within their doctor, with who holds the slot at the start."""
+    return f"""
+        select a.doctor_id as grp, r.request_id, r.appt_id as owner, cast(r.new_date as varchar) || ' ' || r.new_time as place, o.holders,
+               row_number() over (partition by a.doctor_id order by r.request_ts, r.request_id) as rn
+        from {{{source}}} r join {{appointments}} a on a.appt_id = r.appt_id
+        left join (select doctor_id, appt_date, appt_time, list(appt_id) as holders from {{appointments}}
+                   where status <> 'Cancelled' group by doctor_id, appt_date, appt_time) o
+          on o.doctor_id = a.doctor_id and o.appt_date = r.new_date and o.appt_time = r.new_time
+        where a.status not in ('Completed', 'Cancelled') and r.new_date is not null
+          and r.new_time between '08:00:00' and '20:00:00'"""
+
+
 JOBS: dict[str, str] = {
+    "move_line": move_line("move_requests"),
+    **one_at_a_time("move"),
+    "chain_line": move_line("chain_requests"),
+    **one_at_a_time("chain"),
+    "update_clean": """
+        select r.*, right(regexp_replace(r.phone, '[^0-9]', '', 'g'), 10) as clean,
+               case when r.phone = '12345' then 'Phone must be exactly 10 digits. You entered 5 digit(s).'
+                    when r.email = 'bad@' then 'Invalid email format. Example: name@example.com'
+                    when p.patient_id is null then 'Record not found.' end as failed
+        from {patient_update_requests} r left join {patients} p on p.patient_id = r.patient_id""",
+    "update_line": """
+        select (r.patient_id - r.patient_id % 25) as grp, r.request_id, r.patient_id as owner, r.clean as place, o.holders,
+               row_number() over (partition by r.patient_id - r.patient_id % 25 order by r.request_ts, r.request_id) as rn
+        from {update_clean} r left join (select phone, list(patient_id) as holders from {patients} group by phone) o on o.phone = r.clean
+        where r.failed is null""",
+    **one_at_a_time("update"),
     "charges": """
         select appt_id, 'Consultation' as service_type, 'Doctor Consultation Fee' as description, 1 as quantity,
                opd_fee as unit_price, opd_fee as total, appt_id as source_id, 1 as place

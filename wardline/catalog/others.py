@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.catalog.oracle import d, m, t
@@ -9,7 +11,7 @@ from wardline.catalog.registry import AS_OF, query
 from wardline.functions.ordering import up, with_sequence
 from wardline.operators import audit, visibility
 from wardline.plans import clinical, pharmacy
-from wardline.sources.staging import written
+from wardline.sources.staging import cut, shared_folder, written
 from wardline.sources.tables import Hospital
 from wardline.streaming import live, lockout, runs, sessions
 
@@ -176,7 +178,25 @@ def t1(h: Hospital) -> DataFrame:
 
 @query("t1b_login_lockout_stream", _LOCKOUT)
 def t1b(h: Hospital) -> DataFrame:
-    return runs.run_to_parquet(lockout.lockout_stream(lockout.login_attempts(_event_stream(h))))
+    """One file: everything waits until the feed has ended and the watermark has passed it."""
+    attempts, tick = runs.with_last_tick(lockout.login_attempts(_event_stream(h)), "ts", "2100-01-01 00:00:00")
+    return runs.run_to_parquet(lockout.lockout_stream(attempts), then=tick).filter("user_id is not null")
+
+
+@query("t1d_login_lockout_shuffled", _LOCKOUT)
+def t1d(h: Hospital) -> DataFrame:
+    """The feed by four days a file, one file in a micro-batch, its rows in any order; a third of a file's rows come with the next."""
+    attempts = lockout.login_attempts(h.events)
+    days = F.datediff(F.to_date("ts"), attempts.agg(F.to_date(F.min("ts"))).scalar())
+    file = F.floor(days / 4) + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)
+    laid = cut(attempts.withColumn("file", F.least(file, F.lit(8)).cast("int")))
+    folder = f"{shared_folder(h.spark)}/feeds/{uuid.uuid4().hex}"
+    for number in range(9):
+        part = laid.filter(F.col("file") == number).drop("file").orderBy(F.xxhash64("event_id"))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    feed = runs.parquet_stream(h.spark, folder, attempts.schema, names="*.parquet", files_per_batch=1)
+    feed, tick = runs.with_last_tick(feed, "ts", "2100-01-01 00:00:00")
+    return runs.run_to_parquet(lockout.lockout_stream(feed, lateness="5 days"), then=tick).filter("user_id is not null")
 
 
 @query("t1c_login_lockout_slices", _LOCKOUT)

@@ -24,6 +24,9 @@ AMOUNT_MIN, AMOUNT_MAX = 0.01, 10_000_000
 STOCK_MAX = 1_000_000
 DAYS_MAX = 365
 OPENING_HOUR, CLOSING_HOUR = 8, 20
+TIME_PATTERN = r"^([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?$"
+NO_TIME = "Appointment time is required."
+BAD_TIME = "Appointment time must be given as HH:MM or HH:MM:SS."
 LEAD_HOURS = 2
 TEXT_MAX = 1000
 MODES_WITH_REFERENCE = ("Card", "UPI")
@@ -85,12 +88,23 @@ def appointment_date(value: str | Column, as_of: AsOf) -> Column:
     )
 
 
+def time_form(value: str | Column) -> Column:
+    """A time of day is given, with two digits for each of its parts."""
+    return first_failure((blank(value), NO_TIME), (~strip(value).rlike(TIME_PATTERN), BAD_TIME))
+
+
+def clock(value: str | Column) -> Column:
+    """A well-formed time with its seconds."""
+    v = strip(value)
+    return F.when(F.length(v) == 5, F.concat(v, F.lit(":00"))).otherwise(v)
+
+
 def appointment_time(value: str | Column, appt_date: str | Column | None, as_of: AsOf) -> Column:
-    """Within opening hours; on the as-of day at least two hours ahead, by wall-clock minutes."""
-    v = _c(value)
-    hour = F.substring_index(v, ":", 1).cast("int")
+    """Well-formed and within opening hours; on the as-of day at least two hours ahead, by wall-clock minutes."""
+    v = clock(value)
+    hour = F.substring(v, 1, 2).try_cast("int")
     checks = [
-        (v.isNull(), "Appointment time is required."),
+        time_form(value),
         (hour < OPENING_HOUR, "Appointments cannot be before 8:00 AM."),
         (hour >= CLOSING_HOUR, "Appointments cannot be after 8:00 PM."),
     ]

@@ -1,8 +1,7 @@
 """Appointments: book, cancel, move and complete, for whole request tables.
 
 A batch is decided against the appointments as they stand when it starts plus what earlier requests of
-the batch, in (request_ts, request_id) order, have taken. A slot given up within a batch opens with the
-next one.
+the batch, in (request_ts, request_id) order, have done: moves also give up slots for later ones.
 """
 
 from __future__ import annotations
@@ -11,9 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions.ordering import first_of, highest, with_sequence
 from wardline.functions.dates import AsOf
-from wardline.functions.rules import CLOSING_HOUR, OPENING_HOUR, appointment_date, appointment_time
+from wardline.functions.rules import CLOSING_HOUR, OPENING_HOUR, appointment_date, appointment_time, clock, time_form
 from wardline.functions.text import blank, strip
-from wardline.plans.common import REASON, Outcome, first_failure, known, patched
+from wardline.plans.common import REASON, Change, Outcome, changed, first_failure, known
+from wardline.plans.moves import LAST_ROWS, admit_moves
 from wardline.sources.staging import cut
 from wardline.sources.tables import Hospital, conform
 
@@ -33,7 +33,6 @@ REASON_MIN = 5
 TYPES = ("OPD", "IPD", "Emergency")
 NO_TYPE = "Unknown appointment type."
 NO_DATE = "Appointment date is required."
-NO_TIME = "Appointment time is required."
 SLOT = ["doctor_id", "appt_date", "appt_time"]
 ORDER = ["request_ts", "request_id"]
 
@@ -55,10 +54,11 @@ def book_appointments(
     date may not be past nor over a year ahead, and on the day itself the time is two hours ahead. A date, a
     time and a known type are required always.
     """
-    hour = F.substring("appt_time", 1, 2).cast("int")
+    requests = requests.withColumn("appt_time", clock("appt_time"))
+    hour = F.substring("appt_time", 1, 2).try_cast("int")
     form = [
         (F.col("appt_date").isNull(), NO_DATE),
-        (F.col("appt_time").isNull(), NO_TIME),
+        time_form("appt_time"),
         ((hour < OPENING_HOUR) | (hour >= CLOSING_HOUR), HOURS),
     ]
     if as_of is not None:
@@ -124,56 +124,39 @@ def cancel_appointments(h: Hospital, requests: DataFrame, *, strict: bool = True
     accepted = checked.filter(F.col(REASON).isNull()).drop(REASON)
     note = F.max_by(strip("reason_text"), F.struct(*ORDER)).alias("notes")
     changes = accepted.groupBy("appt_id").agg(note).withColumn("status", F.lit("Cancelled"))
-    return Outcome(
-        accepted,
-        checked.filter(F.col(REASON).isNotNull()).select("request_id", REASON),
-        {"appointments": patched(h.appointments, changes, "appt_id", ["status", "notes"])},
-    )
+    rejected = checked.filter(F.col(REASON).isNotNull()).select("request_id", REASON)
+    return changed(accepted, rejected, "appointments", h.appointments, Change(changes, "appt_id", ["status", "notes"]))
 
 
-def reschedule_appointments(h: Hospital, requests: DataFrame) -> Outcome:
+def reschedule_appointments(h: Hospital, requests: DataFrame, *, last: int = LAST_ROWS) -> Outcome:
     """requests: request_id, request_ts, appt_id, new_date, new_time (08:00 to 20:00, both included).
 
-    A slot is taken by any other live appointment or by an earlier accepted move of another appointment;
-    an appointment moved twice ends where its last accepted move put it.
+    A slot is taken while another live appointment holds it: one that was there from the start and has not been
+    moved by an earlier request, or one that an earlier request moved there. An appointment moved twice ends where
+    its last accepted move put it.
     """
     current = h.appointments.select("appt_id", "doctor_id", "status")
     checked = requests.join(current, "appt_id", "left").withColumnsRenamed(
         {"new_date": "appt_date", "new_time": "appt_time"}
-    )
-    # How many live appointments hold the wanted slot, and which one if it is a single one.
-    holders = (
-        h.appointments.filter(F.col("status") != "Cancelled")
-        .groupBy(*SLOT)
-        .agg(F.min("appt_id").alias("_low"), F.max("appt_id").alias("_high"))
-    )
-    checked = checked.join(holders, SLOT, "left")
-    others = F.coalesce((F.col("_low") != F.col("appt_id")) | (F.col("_high") != F.col("appt_id")), F.lit(False))
+    ).withColumn("appt_time", clock("appt_time"))
     static = first_failure(
         (F.coalesce(~_open(), F.lit(True)), NOT_OPEN),
+        (F.col("appt_date").isNull(), NO_DATE),
+        time_form("appt_time"),
         ((F.col("appt_time") < "08:00:00") | (F.col("appt_time") > "20:00:00"), MOVE_HOURS),
-        (others, MOVE_TAKEN),
     )
-    checked = cut(checked.withColumn(REASON, static).drop("_low", "_high", "status"))
+    checked = cut(checked.withColumn(REASON, static).drop("status"))
+    holders = h.appointments.filter(F.col("status") != "Cancelled").select("appt_id", *SLOT)
     valid = checked.filter(F.col(REASON).isNull())
-    # The earliest valid mover owns the slot; its own later moves to the same slot are fine.
-    owner = valid.groupBy(*SLOT).agg(F.min_by("appt_id", F.struct(*ORDER)).alias("appt_id"))
-    won = (
-        valid.select(*SLOT, "appt_id", "request_id")
-        .join(owner, [*SLOT, "appt_id"], "left_semi")
-        .select("request_id")
-    )
+    won = admit_moves(valid, holders, place=SLOT, owner="appt_id", order=ORDER, row_id="request_id", last=last)
     decided = known(checked, won, "request_id", "_won").withColumn(
         REASON, F.coalesce(REASON, F.when(~F.col("_won"), MOVE_TAKEN))
     )
     accepted = decided.filter(F.col(REASON).isNull()).drop(REASON, "_won")
     final = F.max_by(F.struct("appt_date", "appt_time"), F.struct(*ORDER)).alias("_slot")
     changes = accepted.groupBy("appt_id").agg(final).select("appt_id", "_slot.*")
-    return Outcome(
-        accepted,
-        decided.filter(F.col(REASON).isNotNull()).select("request_id", REASON),
-        {"appointments": patched(h.appointments, changes, "appt_id", ["appt_date", "appt_time"])},
-    )
+    rejected = decided.filter(F.col(REASON).isNotNull()).select("request_id", REASON)
+    return changed(accepted, rejected, "appointments", h.appointments, Change(changes, "appt_id", ["appt_date", "appt_time"]))
 
 
 def complete_appointments(h: Hospital, requests: DataFrame) -> Outcome:
@@ -191,8 +174,5 @@ def complete_appointments(h: Hospital, requests: DataFrame) -> Outcome:
     )
     accepted = decided.filter(F.col(REASON).isNull()).drop(REASON, "_won")
     changes = accepted.select("appt_id", F.lit("Completed").alias("status"))
-    return Outcome(
-        accepted,
-        decided.filter(F.col(REASON).isNotNull()).select("request_id", REASON),
-        {"appointments": patched(h.appointments, changes, "appt_id", ["status"])},
-    )
+    rejected = decided.filter(F.col(REASON).isNotNull()).select("request_id", REASON)
+    return changed(accepted, rejected, "appointments", h.appointments, Change(changes, "appt_id", ["status"]))

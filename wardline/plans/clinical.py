@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wardline.functions import rules
 from wardline.functions.ordering import first_of, highest, with_sequence
 from wardline.functions.text import blank, sanitize_string, strip
-from wardline.plans.common import REASON, Outcome, first_failure, known, patched
+from wardline.plans.common import REASON, Change, Outcome, changed, first_failure, known
 from wardline.plans.registry import _appended
 from wardline.schema import ENUMS
 from wardline.sources.staging import cut
@@ -48,11 +48,8 @@ def apply_lab_results(h: Hospital, requests: DataFrame, *, mode: str = "technici
         F.lit("Done").alias("status"), F.col("request_ts").alias("result_date"),
     )
     columns = ["result_value", "is_abnormal", "status", "result_date"]
-    return Outcome(
-        accepted,
-        decided.filter(F.col(REASON).isNotNull()).select("request_id", REASON),
-        {"lab_orders": patched(h.lab_orders, accepted, "order_id", columns)},
-    )
+    rejected = decided.filter(F.col(REASON).isNotNull()).select("request_id", REASON)
+    return changed(accepted, rejected, "lab_orders", h.lab_orders, Change(accepted, "order_id", columns))
 
 
 def abnormal_alerts(results: DataFrame) -> DataFrame:

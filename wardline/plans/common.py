@@ -10,13 +10,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 REASON = "reason"
 
 
+@dataclass(frozen=True)
+class Change:
+    """Rows, unique per key, with the values that columns of the stored rows end with."""
+
+    rows: DataFrame
+    key: str
+    columns: Sequence[str]
+
+
 @dataclass
 class Outcome:
-    """What a job decided, and the new images of the tables it touched."""
+    """What a job decided, the new images of the tables it touched, and the changes that lead to them."""
 
     accepted: DataFrame
     rejected: DataFrame
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    changes: dict[str, Change] = field(default_factory=dict)
+
+
+def changed(accepted: DataFrame, rejected: DataFrame, table: str, before: DataFrame, change: Change) -> Outcome:
+    """The outcome of a job that changes rows of one table."""
+    image = patched(before, change.rows, change.key, change.columns)
+    return Outcome(accepted, rejected, {table: image}, {table: change})
 
 
 def first_failure(*checks: tuple[Column, str | Column] | Column) -> Column:

@@ -17,22 +17,40 @@ All of it is decided in rounds over tenures, rows "this owner holds this place s
 The earliest request that is open is always decided, and a ring of owners who want each other's places has none
 that comes first to a free one, so it is refused like it is one by one. A place that changes hands k times within
 the batch, or a request that waits for several owners, takes further rounds. A round handles the places that are
-still contested only; keys are never gathered, contenders shrink to one row a place by aggregation.
+still contested only; keys are never gathered, contenders shrink to one row a place by aggregation. Once what is
+left is few rows altogether, it is taken one by one in a single task, which saves the last rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.functions.ordering import with_sequence
 from wardline.sources.staging import cut
 
+# The walk travels to the executors by value: these need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Rows (requests and holders of contested places) up to which what is left is taken one by one.
+LAST_ROWS = 100_000
+
 
 def admit_moves(
-    moves: DataFrame, holders: DataFrame, *, place: Sequence[str], owner: str, order: Sequence[str], row_id: str
+    moves: DataFrame,
+    holders: DataFrame,
+    *,
+    place: Sequence[str],
+    owner: str,
+    order: Sequence[str],
+    row_id: str,
+    last: int = LAST_ROWS,
 ) -> DataFrame:
     """row_id of the admitted moves. moves: row_id, order, owner and place; holders: owner and place, now.
 
@@ -45,30 +63,67 @@ def admit_moves(
         F.col(row_id).alias("row"), F.col(owner).alias("owner"), target, *(F.col(c).alias(r) for c, r in zip(order, ranks))
     )
     numbered = cut(with_sequence(asked, [F.col(r) for r in ranks], "seq").drop(*ranks))
-    live = numbered.select("seq", "owner", "place", F.lit(None).cast("boolean").alias("ok"))
+    live = numbered.select("seq", "owner", "place", F.lit(None).cast("boolean").alias("ok"), F.lit(True).alias("fresh"))
     held = holders.select(target, F.col(owner).alias("holder")).distinct().withColumn("since", F.lit(0).cast("long"))
-    tenures = held.join(numbered.select("place").distinct(), "place", "left_semi")
+    tenures = cut(held.join(numbered.select("place").distinct(), "place", "left_semi"))
     admitted: list[DataFrame] = []
     while True:
-        decided, tenures = _round(live, tenures)
-        admitted.append(decided.filter("ok").select("seq"))
-        live = _contested(live, decided, tenures)
+        contested = live.filter("ok is null").select("place")
+        if live.count() + tenures.join(contested, "place", "left_semi").count() <= last:
+            admitted.append(cut(_walked(live, tenures, contested)))
+            break
+        live = _round(live, tenures)
+        new = live.filter("fresh and ok").select("seq", "owner", "place")
+        admitted.append(new.select("seq"))
+        live = live.filter("ok is null or ok")
         if live.filter("ok is null").isEmpty():
             break
+        tenures = tenures.unionByName(new.select("place", F.col("owner").alias("holder"), F.col("seq").alias("since")))
     return numbered.join(reduce(DataFrame.unionByName, admitted), "seq", "left_semi").select(F.col("row").alias(row_id))
 
 
-def _round(live: DataFrame, tenures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What this round decides (seq, ok), and the tenures after it. live: requests that are open or admitted."""
-    asked = live.filter("ok is null")
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (seq, owner, place, ok) by seq; those of seq 0 say who is where. Returns the open ones that are admitted."""
+    held, places = defaultdict(set), defaultdict(set)
+    for batch in batches:
+        admitted = []
+        for seq, owner, place, ok in zip(*(batch[c].tolist() for c in ("seq", "owner", "place", "ok"))):
+            if not seq:
+                held[place].add(owner)
+                places[owner].add(place)
+            elif ok or held[place] <= {owner}:
+                for left in places[owner]:
+                    held[left].discard(owner)
+                places[owner] = {place}
+                held[place].add(owner)
+                if not ok:
+                    admitted.append(seq)
+        yield pd.DataFrame({"seq": pd.Series(admitted, dtype="int64")})
+
+
+def _walked(live: DataFrame, tenures: DataFrame, contested: DataFrame) -> DataFrame:
+    """The open requests that are admitted, of few rows, taken one by one."""
+    start = tenures.filter("since = 0").join(contested, "place", "left_semi").withColumnsRenamed({"holder": "owner", "since": "seq"})
+    rows = live.select("seq", "owner", "place", F.coalesce("ok", F.lit(False)).alias("ok")).unionByName(start.withColumn("ok", F.lit(True)))
+    plain = rows.select("seq", F.col("owner").cast("string"), F.to_json("place").alias("place"), "ok")
+    return plain.repartition(1).sortWithinPartitions("seq").mapInPandas(_walk, "seq long")
+
+
+def _round(live: DataFrame, tenures: DataFrame) -> DataFrame:
+    """Requests after one more round. ok: NULL while open; fresh: decided in this round.
+
+    Of those from before, only open ones are kept, and admitted ones of owners who ask or hold still.
+    """
+    asked = live.filter("ok is null").select("seq", "owner", "place")
     step = live.select(F.col("owner").alias("holder"), F.col("place").alias("to"), F.col("seq").alias("at"), "ok")
+    contested = asked.select("place")
     ends = (
-        tenures.join(asked.select("place").distinct(), "place", "left_semi")
+        tenures.join(contested, "place", "left_semi")
         .join(step, (tenures["holder"] == step["holder"]) & (F.col("to") != F.col("place")) & (F.col("at") > F.col("since")), "left")
         .groupBy("place", tenures["holder"], "since")
         .agg(F.min(F.when(F.col("at").isNotNull(), F.struct("at", "ok"))).alias("next"))
+        .select("place", "holder", "next.at", F.coalesce("next.ok", F.lit(False)).alias("left"))
     )
-    ends = cut(ends.select("place", "holder", "since", "next.at", F.coalesce("next.ok", F.lit(False)).alias("left")))
     other = F.col("holder") != F.col("owner")
     still = other & ~F.col("left")
     judged = cut(
@@ -80,46 +135,35 @@ def _round(live: DataFrame, tenures: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.max(F.when(still, F.struct("at", "holder"))).alias("wait"),
         )
     )
-    first = F.min_by(F.struct("seq", "owner", "open", "wait"), "seq").alias("first")
-    firsts = judged.filter("not refused").groupBy("place").agg(first).select("place", "first.*")
-    sure = judged.filter("refused").select("seq", "owner", "place", F.lit(False).alias("ok")).unionByName(
-        firsts.filter("open = 0").select("seq", "owner", "place", F.lit(True).alias("ok"))
+    firsts = judged.filter("not refused").groupBy("place").agg(F.min_by(F.struct("seq", "open", "wait"), "seq").alias("first"))
+    firsts = firsts.select("place", "first.*")
+    sure = judged.filter("refused").select("seq", F.lit(False).alias("new")).unionByName(
+        firsts.filter("open = 0").select("seq", F.lit(True).alias("new"))
     )
-    waiting = firsts.filter("open = 1").select("seq", "owner", "place", "wait.*")
     between = step.select(F.col("holder").alias("_holder"), "to", F.col("at").alias("_at"))
-    links = cut(
-        waiting.join(
-            between,
-            (F.col("holder") == F.col("_holder")) & (F.col("to") != F.col("place")) & (F.col("_at") > F.col("at")) & (F.col("_at") < F.col("seq")),
-            "left_anti",
-        ).select("seq", "owner", "place", F.col("at").alias("like"))
+    meanwhile = (
+        (F.col("holder") == F.col("_holder")) & (F.col("to") != F.col("place")) & (F.col("_at") > F.col("at")) & (F.col("_at") < F.col("seq"))
+    )
+    waiting = firsts.filter("open = 1").select("seq", "place", "wait.*").join(between, meanwhile, "left_anti")
+    links = _followed(waiting.select("seq", F.col("at").alias("like")))
+    resolved = links.join(sure.withColumnRenamed("seq", "like"), "like").select("seq", "new")
+    known = live.drop("fresh").join(sure.unionByName(resolved), "seq", "left")
+    owners = asked.select("owner").unionByName(
+        tenures.join(contested, "place", "left_semi").select(F.col("holder").alias("owner"))
+    )
+    concerned = owners.distinct().withColumn("concerned", F.lit(True))
+    return cut(
+        known.join(concerned, "owner", "left")
+        .filter("new is not null or concerned")
+        .select("seq", "owner", "place", F.coalesce("ok", "new").alias("ok"), F.col("new").isNotNull().alias("fresh"))
     )
-    if not links.isEmpty():
-        links = _followed(links)
-        roots = sure.select(F.col("seq").alias("like"), "ok")
-        sure = sure.unionByName(links.join(roots, "like").select("seq", "owner", "place", "ok"))
-    decided = cut(sure)
-    taken = decided.filter("ok").select("place", F.col("owner").alias("holder"), F.col("seq").alias("since"))
-    return decided, ends.filter("not left").select("place", "holder", "since").unionByName(taken)
 
 
 def _followed(links: DataFrame) -> DataFrame:
-    """Links whose `like` is no link itself any more, by doubling."""
+    """Links (seq, like) whose `like` is no link itself any more, by doubling."""
+    links = cut(links)
     while True:
         onward = links.select(F.col("seq").alias("like"), F.col("like").alias("_next"))
         if links.join(onward, "like", "left_semi").isEmpty():
             return links
-        links = cut(
-            links.join(onward, "like", "left").select("seq", "owner", "place", F.coalesce("_next", "like").alias("like"))
-        )
-
-
-def _contested(live: DataFrame, decided: DataFrame, tenures: DataFrame) -> DataFrame:
-    """Requests that later rounds look at: open ones, and admitted ones of owners who ask or hold still."""
-    known = live.join(decided.select("seq", F.col("ok").alias("_new")), "seq", "left")
-    known = known.withColumn("ok", F.coalesce("ok", "_new")).drop("_new").filter("ok is null or ok")
-    asking = known.filter("ok is null")
-    concerned = asking.select("owner").unionByName(
-        tenures.join(asking.select("place").distinct(), "place", "left_semi").select(F.col("holder").alias("owner"))
-    )
-    return cut(known.join(concerned.distinct(), "owner", "left_semi"))
+        links = cut(links.join(onward, "like", "left").select("seq", F.coalesce("_next", "like").alias("like")))

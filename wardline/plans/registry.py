@@ -12,7 +12,8 @@ from wardline.functions.dates import AsOf
 from wardline.functions.ordering import first_of, highest, with_sequence
 from wardline.functions.text import blank, sanitize_email, sanitize_phone, sanitize_string, strip
 from wardline.schema import ENUMS
-from wardline.plans.common import REASON, Outcome, first_failure, known, patched
+from wardline.plans.common import REASON, Change, Outcome, changed, first_failure, known
+from wardline.plans.moves import admit_moves
 from wardline.sources.staging import cut
 from wardline.sources.tables import Hospital, conform
 
@@ -78,7 +79,7 @@ def register_patients(h: Hospital, requests: DataFrame, *, as_of: AsOf | None =
             "emergency_contact": _sanitized("emergency_contact", sanitize_string("emergency_contact")),
         }
     )
-    phones = h.patients.select("phone")
+    phones = h.patients.select("phone").distinct()
     emails = h.patients.filter(F.col("email").isNotNull()).select("email").distinct()
     marked = cut(known(known(clean, phones, "phone", "_phone_known"), emails, "email", "_email_known"))
     left = marked.filter(F.col("_form").isNull() & ~F.col("_phone_known") & ~F.col("_email_known")).select("phone", "email", *ORDER)
@@ -126,27 +127,18 @@ def _appended(table: DataFrame, new: DataFrame) -> DataFrame:
 def update_patients(h: Hospital, requests: DataFrame) -> Outcome:
     """requests: request_id, request_ts, patient_id, phone, email, address, emergency_contact, status.
 
-    Blank optional fields become NULL. A phone held by another patient, or claimed earlier in the batch
-    for another, is refused; of several accepted changes to one patient the last one stays.
+    Blank optional fields become NULL. A phone that another patient has at that time is refused: one from the
+    start that no earlier request has changed, or one that an earlier request gave. Of several accepted changes to
+    one patient the last one stays.
     """
     columns = ["phone", "email", "address", "emergency_contact", "status"]
-    owners = h.patients.select(F.col("phone").alias("_clean"), F.col("patient_id").alias("_owner"))
-    checked = (
-        known(requests, h.patients, "patient_id", "_known")
-        .withColumn("_clean", sanitize_phone("phone"))
-        .join(owners, "_clean", "left")
-    )
-    static = first_failure(
-        rules.phone("phone"),
-        rules.email("email"),
-        (~F.col("_known"), NO_RECORD),
-        (F.coalesce(F.col("_owner") != F.col("patient_id"), F.lit(False)), DUPLICATE),
-    )
-    checked = cut(checked.withColumn(REASON, static).drop("_known", "_owner"))
+    checked = known(requests, h.patients, "patient_id", "_known").withColumn("_clean", sanitize_phone("phone"))
+    static = first_failure(rules.phone("phone"), rules.email("email"), (~F.col("_known"), NO_RECORD))
+    checked = cut(checked.withColumn(REASON, static).drop("_known"))
+    holders = h.patients.filter(F.col("phone").isNotNull()).select("patient_id", F.col("phone").alias("_clean"))
     valid = checked.filter(F.col(REASON).isNull())
-    owner = valid.groupBy("_clean").agg(F.min_by("patient_id", F.struct(*ORDER)).alias("patient_id"))
-    won = valid.select("_clean", "patient_id", "request_id").join(owner, ["_clean", "patient_id"], "left_semi")
-    decided = known(checked, won.select("request_id"), "request_id", "_won").withColumn(
+    won = admit_moves(valid, holders, place=["_clean"], owner="patient_id", order=ORDER, row_id="request_id")
+    decided = known(checked, won, "request_id", "_won").withColumn(
         REASON, F.coalesce(REASON, F.when(~F.col("_won"), DUPLICATE))
     )
     accepted = decided.filter(F.col(REASON).isNull()).withColumns(
@@ -158,11 +150,9 @@ def update_patients(h: Hospital, requests: DataFrame) -> Outcome:
         }
     ).drop("_clean", "_won", REASON)
     present = [c for c in columns if c in h.patients.columns]
-    return Outcome(
-        accepted,
-        decided.filter(F.col(REASON).isNotNull()).select("request_id", REASON),
-        {"patients": patched(h.patients, last_change(accepted, "patient_id", present), "patient_id", present)},
-    )
+    rejected = decided.filter(F.col(REASON).isNotNull()).select("request_id", REASON)
+    change = Change(last_change(accepted, "patient_id", present), "patient_id", present)
+    return changed(accepted, rejected, "patients", h.patients, change)
 
 
 def last_change(changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -334,8 +324,5 @@ def _changed(h: Hospital, checked: DataFrame, reason: Column, table: str, key: s
     decided = checked.withColumn(REASON, reason).drop("_known")
     accepted = decided.filter(F.col(REASON).isNull()).drop(REASON)
     typed = accepted.withColumns({c: F.col(c).cast(types[c]) for c in columns})
-    return Outcome(
-        accepted,
-        decided.filter(F.col(REASON).isNotNull()).select("request_id", REASON),
-        {table: patched(h.table(table), last_change(typed, key, columns), key, columns)},
-    )
+    rejected = decided.filter(F.col(REASON).isNotNull()).select("request_id", REASON)
+    return changed(accepted, rejected, table, h.table(table), Change(last_change(typed, key, columns), key, columns))

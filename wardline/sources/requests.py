@@ -35,7 +35,8 @@ REQUESTS: dict[str, str] = {
     "booking_requests": """
         select appt_id as request_id, created_at as request_ts,
                patient_id + case when appt_id % 50 = 0 then 10000000000 else 0 end as patient_id, doctor_id, appt_date,
-               case when appt_id % 37 <> 0 then concat(lpad(cast(7 + appt_id % 14 as string), 2, '0'), ':00:00') end as appt_time,
+               case when appt_id % 41 = 0 then 'noon' when appt_id % 53 = 0 then '9:5' when appt_id % 59 = 0 then ' 10:00'
+                    when appt_id % 37 <> 0 then concat(lpad(cast(7 + appt_id % 14 as string), 2, '0'), ':00:00') end as appt_time,
                case when appt_id % 43 = 0 then 'Weird' else appt_type end as appt_type,
                case when appt_id % 2 = 0 then ' first visit ' else '' end as notes
         from {appointments} where status = 'Pending'""",
@@ -53,7 +54,19 @@ REQUESTS: dict[str, str] = {
         from {appointments}
         union all
         select appt_id * 2 + 1, created_at + interval 2 hour, appt_id, appt_date, '10:00:00'
-        from {appointments} where appt_id % 4 = 0""",
+        from {appointments} where appt_id % 4 = 0
+        union all
+        select appt_id * 2 + 20000000000, created_at + interval 3 hour, appt_id,
+               case when appt_id % 2 = 0 then appt_date end, case when appt_id % 3 = 0 then '10:00:00' when appt_id % 5 = 0 then 'noon' end
+        from {appointments} where appt_id % 50 = 7 or appt_id % 50 = 8""",
+    "chain_requests": """
+        select appt_id as request_id,
+               case when doctor_id % 3 = 0 then row_number() over (partition by doctor_id order by appt_date, appt_time, appt_id)
+                    else row_number() over (partition by doctor_id order by appt_date desc, appt_time desc, appt_id desc) end as request_ts,
+               appt_id,
+               coalesce(lead(appt_date) over (partition by doctor_id order by appt_date, appt_time, appt_id), date '2001-01-01') as new_date,
+               coalesce(lead(appt_time) over (partition by doctor_id order by appt_date, appt_time, appt_id), '09:30:00') as new_time
+        from {appointments} where status not in ('Cancelled', 'Completed')""",
     "complete_requests": """
         select appt_id as request_id, created_at as request_ts, appt_id,
                doctor_id + case when appt_id % 7 = 0 then 1 else 0 end as doctor_id
@@ -118,8 +131,8 @@ REQUESTS: dict[str, str] = {
         select o_orderkey as request_id, o_orderdate as request_ts,
                o_custkey + case when o_orderkey % 70 = 0 then 10000000000 else 0 end as patient_id,
                case o_orderkey % 6 when 0 then cast(6000000000 + o_custkey * 7 as string) when 1 then '12345'
-                    when 2 then cast(6000000000 + (o_custkey + 1) * 7 as string)
-                    else concat('+91-', cast(9000000000 + o_orderkey % 3000 as string)) end as phone,
+                    when 2 then cast(6000000000 + (o_custkey - o_custkey % 25 + (o_custkey + 1) % 25) * 7 as string)
+                    else concat('+91-', cast(9000000000 + (o_custkey - o_custkey % 25) * 40 + o_orderkey % 300 as string)) end as phone,
                case o_orderkey % 4 when 0 then '' when 1 then 'bad@' else concat('New', cast(o_custkey as string), '@Mail.example') end as email,
                case when o_orderkey % 3 = 0 then ' ' else concat('House  ', cast(o_orderkey as string)) end as address,
                ' Kin  1 ' as emergency_contact,
@@ -178,7 +191,9 @@ REQUESTS: dict[str, str] = {
                     else date '1930-01-01' + cast((c_custkey * 37) % 23000 as int) end as date_of_birth,
                case c_custkey % 6 when 0 then null when 1 then date '1998-06-14' when 2 then date '1998-06-15' when 3 then date '1999-06-15'
                     when 4 then date '1999-06-16' else date '1998-06-15' + cast(c_custkey % 400 as int) end as visit_date,
-               case when c_custkey % 13 = 0 then null else concat(lpad(cast(c_custkey % 24 as string), 2, '0'),
+               case when c_custkey % 13 = 0 then null when c_custkey % 31 = 0 then 'noon' when c_custkey % 37 = 0 then ' '
+                    when c_custkey % 41 = 0 then '9:5' when c_custkey % 43 = 0 then '24:00:00' when c_custkey % 47 = 0 then ' 12:30'
+                    else concat(lpad(cast(c_custkey % 24 as string), 2, '0'),
                     case when c_custkey % 2 = 0 then ':00:00' else ':30:00' end) end as visit_time,
                case c_custkey % 8 when 0 then null when 1 then 'ab' when 2 then '9lives' when 3 then 'has space' when 4 then repeat('u', 51)
                     when 5 then ' padded_name ' else concat('user_', cast(c_custkey as string)) end as username,

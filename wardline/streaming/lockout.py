@@ -3,7 +3,8 @@
 A success clears the counter. Attempts during a lock are ignored. The counter is not cleared when a lock
 runs out, so the next failure locks again.
 
-The stream keeps (failures, locked_until) per account. The batch twin walks each account's attempts in
+The stream keeps (failures, locked_until) per account and holds attempts back until the watermark has passed
+them, so that their order is that of the events. The batch twin walks each account's attempts in
 order; accounts with very many attempts are cut into time slices. A slice is first turned into rows
 "state at entry -> state at exit" for every state that can matter: five counter classes when unlocked,
 or the attempt at which a lock from before runs out. The rows that really occur are found by joins with
@@ -19,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from wardline.sources.staging import cut
 
@@ -36,7 +39,9 @@ SPLIT_OVER = 200_000
 SLICE_HOURS = 6
 _SLICE = SLICE_HOURS * 3600 * 1_000_000
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "user_id long, event_id long, at long, outcome string, failed_attempts long, locked_until long"
+_COLUMNS = [part.split()[0] for part in OUTPUT.split(", ")]
 
 
 def login_attempts(events: DataFrame) -> DataFrame:
@@ -207,19 +212,69 @@ def _shaped(df: DataFrame) -> DataFrame:
     )
 
 
-def lockout_stream(attempts: DataFrame) -> DataFrame:
-    """The same over a stream. Attempts of one micro-batch are taken in (ts, event_id) order per account."""
+class InOrder(StatefulProcessor):
+    """Releases the attempts of an account in (at, event_id) order once the watermark has passed them.
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        failures, locked = state.get if state.exists else (0, _OPEN)
-        pdf = pd.concat(list(batches)).sort_values(["at", "event_id"]).reset_index(drop=True)
+    State per account: attempts that wait, (failures, locked_until), and the one timer, which stands at the earliest
+    attempt that waits. An account that nothing waits for and whose counter is clean keeps no state.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, succeeded boolean")
+        self.account = handle.getValueState("account", "failures long, locked long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _set_timer(self, earliest: int) -> None:
+        due = earliest // 1000 + 1
+        if self.timer.exists():
+            set_to = self.timer.get()[0]
+            if set_to <= due:
+                return
+            self.handle.deleteTimer(set_to)
+        self.handle.registerTimer(due)
+        self.timer.update((due,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            self.waiting.appendList(list(zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["succeeded"].tolist())))
+            self._set_timer(int(pdf["at"].min()))
+        yield pd.DataFrame(columns=_COLUMNS)
+
+    def handleExpiredTimer(
+        self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get())
+        ready, later = [r for r in rows if r[0] < passed], [r for r in rows if r[0] >= passed]
+        failures, locked = self.account.get() if self.account.exists() else (0, _OPEN)
         results = []
-        for at, succeeded in zip(pdf["at"].tolist(), pdf["succeeded"].tolist()):
+        for at, event_id, succeeded in ready:
             outcome, failures, locked = attempt(failures, locked, at, succeeded)
-            results.append((outcome, failures, locked))
-        state.update((failures, locked))
-        decided = pd.DataFrame(results, columns=["outcome", "failed_attempts", "locked_until"])
-        yield pd.concat([pdf[["user_id", "event_id", "at"]], decided], axis=1)
+            results.append((key[0], event_id, at, outcome, failures, locked))
+        self.timer.clear()
+        if later:
+            self.waiting.put(later)
+            self._set_timer(later[0][0])
+        else:
+            self.waiting.clear()
+        if failures:
+            self.account.update((failures, locked))
+        else:
+            self.account.clear()
+        yield pd.DataFrame(results, columns=_COLUMNS)
 
-    keyed = attempts.select("user_id", "event_id", _micros("ts").alias("at"), "succeeded").groupBy("user_id")
-    return _shaped(keyed.applyInPandasWithState(advance, OUTPUT, "failures long, locked long", "append", "NoTimeout"))
+    def close(self) -> None:
+        pass
+
+
+def lockout_stream(attempts: DataFrame, *, lateness: str = "10 minutes") -> DataFrame:
+    """The same over a stream, in event order whatever micro-batch an attempt comes with.
+
+    An attempt is decided when the watermark, `lateness` behind the newest attempt, has passed it; later ones than that
+    are dropped by the watermark. Waiting attempts of an account are sorted together. State is kept in RocksDB.
+    """
+    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    keyed = timed.select("user_id", "event_id", "ts", _micros("ts").alias("at"), "succeeded").groupBy("user_id")
+    return _shaped(keyed.transformWithStateInPandas(InOrder(), OUTPUT, "append", "eventtime"))

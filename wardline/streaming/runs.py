@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -10,6 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from wardline.functions.dates import AsOf, stamp
 from wardline.sources.staging import shared_folder
 
+
 def parquet_stream(
     spark: SparkSession, folder: str, schema: StructType, *, names: str = "*", files_per_batch: int = 1000
 ) -> DataFrame:
@@ -18,22 +20,45 @@ def parquet_stream(
     return reader.option("pathGlobFilter", names).parquet(folder)
 
 
-def run_to_parquet(stream: DataFrame, *, mode: str = "append") -> DataFrame:
-    """Process everything available, then return the sink's content. Needs no later batch to be complete."""
+def run_to_parquet(stream: DataFrame, *, mode: str = "append", then: Callable[[], None] | None = None) -> DataFrame:
+    """Process everything available, then return the sink's content.
+
+    With `then`, the query ends, that is called (it may add files to the sources), and the query goes on from its
+    checkpoint.
+    """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/state")
-        .outputMode(mode)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    for before in (None, then) if then else (None,):
+        if before:
+            before()
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/state")
+            .outputMode(mode)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def with_last_tick(stream: DataFrame, stamp: str, newest: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream with a source that is empty at first, and what adds one row to it: its time is `newest`, the rest null.
+
+    A feed that ends leaves its last rows behind the watermark; a row from after its end moves it past them.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/ticks/{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(folder)
+
+    def add() -> None:
+        columns = [F.lit(newest if f.name == stamp else None).cast(f.dataType).alias(f.name) for f in stream.schema]
+        spark.range(1).select(*columns).write.mode("append").parquet(folder)
+
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder)), add
+
+
 def run_latest(stream: DataFrame, key: str) -> DataFrame:
     """Process everything available in update mode and return each key's last figures.
 
