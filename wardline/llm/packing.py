@@ -142,7 +142,8 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     table = pieces.sparkSession.sparkContext.broadcast(places(planned(histogram, capacity)).tobytes())
     earlier = Window.partitionBy("_length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("_task", "_length", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
-    joined = numbered.withColumn("_length", F.col(length)).join(first, ["_task", "_length"])
+    # no broadcast: a written count is small on disk, but there is one for each task and length
+    joined = numbered.withColumn("_length", F.col(length)).join(first.hint("merge"), ["_task", "_length"])
     source = joined.select(*(f"`{c}`" for c in names), (F.col("_first") + F.col("_place")).alias("_number"))
     schema = pieces.select("*", *(F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset"))).schema
 
