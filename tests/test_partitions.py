@@ -3,11 +3,12 @@
 import os
 
 import mini
+from pyspark.sql import functions as F
 
 from wardline.plans import booking
 from wardline.plans.common import Change
 from wardline.sources import partitions
-from wardline.sources.partitions import append_parts, merge_change, open_parts, put_in_place, store_parts
+from wardline.sources.partitions import append_parts, merge_change, open_parts, put_in_place, store_parts, with_parts
 
 
 def files(path):
@@ -91,3 +92,53 @@ def test_buckets_and_appends(spark, tmp_path):
     held = set(files(path))
     append_parts(h.patients.withColumn("patient_id", h.patients["patient_id"] + 100), path, "patients")
     assert held <= set(files(path)) and open_parts(spark, path, "patients").count() == 6
+
+
+def test_wanted_months_prune_the_scan_when_the_query_runs(spark, tmp_path):
+    from wardline.operators.reports import slot_availability
+
+    path, table = str(tmp_path / "appts"), year(spark)
+    store_parts(table, path, "appointments")
+    h = with_parts(mini.build(spark), "appointments", path)
+    asked = spark.createDataFrame(
+        [(1, 1, "1998-06-01", "09:00:00"), (2, 1, "1998-06-01", "10:00:00"), (3, 1, "1998-07-02", "09:00:00"), (4, 1, None, "09:00:00"), (5, 1, "2005-01-01", "09:00:00")],
+        "request_id long, doctor_id long, appt_date string, appt_time string",
+    ).withColumn("appt_date", F.col("appt_date").cast("date"))
+    free = slot_availability(h, asked)
+    assert {r["request_id"]: r["available"] for r in free.collect()} == {1: False, 2: True, 3: False, 4: True, 5: True}
+    plan = free._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    read, scans = [], spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(free._jdf.queryExecution().executedPlan().collectLeaves())
+    leaves = list(scans)
+    while leaves:
+        leaf = leaves.pop()
+        if "QueryStage" in leaf.nodeName() or leaf.nodeName() == "AdaptiveSparkPlan":
+            inner = leaf.plan() if "QueryStage" in leaf.nodeName() else leaf.executedPlan()
+            leaves += list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(inner.collectLeaves()))
+        elif "parquet" in leaf.nodeName():
+            read.append(leaf.metrics().apply("numPartitions").value())
+    assert read == [2]  # of twelve months
+
+
+def test_booking_and_moves_by_month_equal_those_of_the_plain_table(spark, tmp_path):
+    path = str(tmp_path / "appts")
+    plain = mini.build(spark)
+    store_parts(plain.appointments, path, "appointments")
+    stored = with_parts(plain, "appointments", path)
+    asked = mini.requests(
+        spark, "request_id long, request_ts timestamp, patient_id long, doctor_id long, appt_date date, appt_time string, appt_type string, notes string",
+        (1, 1, 1, 1, "1998-06-15", "10:00", "OPD", ""), (2, 2, 1, 1, "1998-06-16", " 11:00:00", "OPD", ""), (3, 3, 1, 1, "1998-06-20", "noon", "OPD", ""), (4, 4, 1, 1, "1998-06-20", "9:5", "OPD", ""),
+    )
+    moves = mini.requests(
+        spark, "request_id long, request_ts timestamp, appt_id long, new_date date, new_time string",
+        (1, 1, 2, "1998-06-18", "20:00:00"), (2, 2, 5, "1998-06-15", "10:00:00"), (3, 3, 2, None, "10:00:00"), (4, 4, 2, "1998-06-15", None), (5, 5, 2, "1998-06-17", "11:00"), (6, 6, 2, "1998-06-15", "noon"),
+    )
+    for job, rows in ((booking.book_appointments, asked), (booking.reschedule_appointments, moves)):
+        one, other = job(plain, rows), job(stored, rows)
+        assert sorted(one.rejected.collect()) == sorted(other.rejected.collect())
+        assert sorted(map(str, one.tables["appointments"].collect())) == sorted(map(str, other.tables["appointments"].collect()))
+    # the slot that the first move gives up is taken by the second, whose old slot the fifth gets
+    assert sorted(r["request_id"] for r in one.accepted.collect()) == [1, 2, 5]
+    assert {r["request_id"]: r["reason"] for r in one.rejected.collect()} == {
+        3: "Appointment date is required.", 4: "Appointment time is required.", 6: "Appointment time must be given as HH:MM or HH:MM:SS.",
+    }

@@ -11,6 +11,7 @@ from wardline.catalog.registry import AS_OF, query
 from wardline.functions.ordering import up, with_sequence
 from wardline.operators import audit, visibility
 from wardline.plans import clinical, pharmacy
+from wardline.sources.sinks import read_audit
 from wardline.sources.staging import cut, shared_folder, written
 from wardline.sources.tables import Hospital
 from wardline.streaming import live, lockout, runs, sessions
@@ -321,3 +322,26 @@ def t6(h: Hospital) -> DataFrame:
     return log.groupBy("table_name", "operation").agg(
         F.count("*").alias("entries"), F.countDistinct("log_id").alias("numbers")
     )
+
+
+@query(
+    "t6b_audit_stream_redelivered",
+    f"""select table_name, operation, count(*) as entries, count(*) as numbers from ({_CHANGES}) c group by table_name, operation""",
+)
+def t6b(h: Hospital) -> DataFrame:
+    """A feed that delivers half its changes twice, and after a restart a third of them once more: one entry each."""
+    when = F.timestamp_add("HOUR", (F.col("record_id") % 40).cast("int"), F.lit(f"{AS_OF} 08:00:00").cast("timestamp_ntz"))
+    changes = _changes(h).drop("changed_by").withColumn("changed_at", when)
+    feed = cut(with_sequence(changes, [up("table_name"), up("record_id")], "change_id"))
+    folder = written(feed.unionByName(feed.filter("change_id % 2 = 0")).repartition(4, F.xxhash64("change_id", F.rand(7))))
+    base = f"{shared_folder(h.spark)}/logs/{uuid.uuid4().hex}"
+
+    def run() -> None:
+        stream = runs.parquet_stream(h.spark, folder, feed.schema, names="*.parquet", files_per_batch=1)
+        runs.run_to_audit_log(runs.audit_stream(stream, lateness="3 days"), f"{base}/log", checkpoint=f"{base}/state")
+
+    run()
+    feed.filter("change_id % 3 = 0").write.mode("append").parquet(folder)
+    run()
+    log = read_audit(h.spark, f"{base}/log")
+    return log.groupBy("table_name", "operation").agg(F.count("*").alias("entries"), F.countDistinct("log_id").alias("numbers"))

@@ -13,7 +13,8 @@ from wardline.catalog.registry import AS_OF, query
 from wardline.operators import dashboards, reports, search, trends, worklists
 from wardline.sources.sql import create_views
 from wardline.sources.sinks import append_audit, read_audit, write_snapshot
-from wardline.sources.staging import shared_folder
+from wardline.sources.partitions import store_parts, with_parts
+from wardline.sources.staging import cut, shared_folder
 from wardline.sources.tables import Hospital, conform, open_hospital, select_one, select_rows, shown
 
 from wardline.schema import KEYS, TABLES
@@ -21,6 +22,12 @@ from wardline.schema import KEYS, TABLES
 DAY = f"date '{AS_OF}'"
 
 
+def stored_by_month(h: Hospital) -> Hospital:
+    path = f"{shared_folder(h.spark)}/by_month/{uuid.uuid4().hex}"
+    store_parts(conform(h.appointments, "appointments"), path, "appointments")
+    return with_parts(h, "appointments", path)
+
+
 # Sources and sinks --------------------------------------------------------------------------------
 
 
@@ -107,6 +114,39 @@ def io6(h: Hospital) -> DataFrame:
     return read_audit(h.spark, path).groupBy("table_name", "operation").agg(F.count("*").alias("entries"))
 
 
+@query(
+    "io6b_audit_sink_once",
+    f"""select {d('changed_at', 'changed_on')}, count(*) as entries, count(*) as numbers from (
+            select timestamp '1998-06-15 00:00:00' + to_hours(cast(bill_id % 100 as int)) as changed_at from {{bills}} where status <> 'Unpaid') b
+        group by cast(changed_at as date)""",
+)
+def io6b(h: Hospital) -> DataFrame:
+    """A log that gets every change in two deliveries and a part of them in a third."""
+    from wardline.operators.audit import row_changes
+
+    when = F.timestamp_add("HOUR", (F.col("record_id") % 100).cast("int"), F.lit("1998-06-15 00:00:00").cast("timestamp_ntz"))
+    log = row_changes("bills", h.new_bills, h.bills, as_of=AS_OF).withColumns({"log_id": F.col("record_id"), "changed_at": when})
+    entries, path = cut(conform(log, "audit_log")), f"{shared_folder(h.spark)}/audit/{uuid.uuid4().hex}"
+    for delivery in (entries.filter("log_id % 3 = 0"), entries, entries.unionByName(entries.limit(10))):
+        append_audit(delivery, path, once=True)
+    return read_audit(h.spark, path).groupBy(F.col("changed_on").cast("string").alias("changed_on")).agg(
+        F.count("*").alias("entries"), F.countDistinct("log_id").alias("numbers")
+    )
+
+
+@query(
+    "q06b_slots_by_month",
+    f"""select s.request_id, s.doctor_id, {d('s.appt_date')}, s.appt_time,
+               not exists (select 1 from {{appointments}} a where a.doctor_id = s.doctor_id and a.appt_date = s.appt_date
+                           and a.appt_time = s.appt_time and a.status <> 'Cancelled') as available
+        from {{slot_requests}} s where s.appt_date between date '1996-05-20' and date '1996-07-10'""",
+)
+def q06b(h: Hospital) -> DataFrame:
+    """The slots of seven weeks against appointments stored by month: the scan reads three months."""
+    asked = h.slot_requests.filter(F.col("appt_date").between("1996-05-20", "1996-07-10"))
+    return reports.slot_availability(stored_by_month(h), asked)
+
+
 # Reports and per-key functions --------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from wardline.functions.dates import AsOf, completed_years, day, years_by_days
 from wardline.functions.money import sum_money_or_zero
 from wardline.functions.ordering import down, up
+from wardline.sources.partitions import live_slots
 from wardline.sources.tables import Hospital
 
 
@@ -93,9 +94,7 @@ def patient_age(h: Hospital, *, as_of: AsOf) -> DataFrame:
 def slot_availability(h: Hospital, slots: DataFrame) -> DataFrame:
     """slots: doctor_id, appt_date, appt_time. Free when no live appointment holds the slot."""
     slot = ["doctor_id", "appt_date", "appt_time"]
-    held = (
-        h.appointments.filter(F.col("status") != "Cancelled").select(*slot).distinct().withColumn("_held", F.lit(True))
-    )
+    held = live_slots(h, slots).select(*slot).distinct().withColumn("_held", F.lit(True))
     return slots.join(held, slot, "left").withColumn("available", F.col("_held").isNull()).drop("_held")
 
 

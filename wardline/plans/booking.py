@@ -14,6 +14,7 @@ from wardline.functions.rules import CLOSING_HOUR, OPENING_HOUR, appointment_dat
 from wardline.functions.text import blank, strip
 from wardline.plans.common import REASON, Change, Outcome, changed, first_failure, known
 from wardline.plans.moves import LAST_ROWS, admit_moves
+from wardline.sources.partitions import live_slots
 from wardline.sources.staging import cut
 from wardline.sources.tables import Hospital, conform
 
@@ -41,10 +42,6 @@ def _open() -> Column:
     return ~F.col("status").isin("Completed", "Cancelled")
 
 
-def _held_slots(h: Hospital) -> DataFrame:
-    return h.appointments.filter(F.col("status") != "Cancelled").select(*SLOT).distinct()
-
-
 def book_appointments(
     h: Hospital, requests: DataFrame, *, as_of: AsOf | None = None, require_active: bool = False
 ) -> Outcome:
@@ -65,7 +62,7 @@ def book_appointments(
         form = [appointment_date("appt_date", as_of), appointment_time("appt_time", "appt_date", as_of)]
     patients = h.patients.select("patient_id", F.col("status").alias("_patient"))
     active = h.doctors.filter(F.col("status") == "Active").select("doctor_id", F.lit(True).alias("_active"))
-    held = _held_slots(h).withColumn("_held", F.lit(True))
+    held = live_slots(h, requests).select(*SLOT).distinct().withColumn("_held", F.lit(True))
     checked = (
         requests.join(patients, "patient_id", "left").join(active, "doctor_id", "left").join(held, SLOT, "left")
     )
@@ -146,8 +143,8 @@ def reschedule_appointments(h: Hospital, requests: DataFrame, *, last: int = LAS
         ((F.col("appt_time") < "08:00:00") | (F.col("appt_time") > "20:00:00"), MOVE_HOURS),
     )
     checked = cut(checked.withColumn(REASON, static).drop("status"))
-    holders = h.appointments.filter(F.col("status") != "Cancelled").select("appt_id", *SLOT)
     valid = checked.filter(F.col(REASON).isNull())
+    holders = live_slots(h, valid).select("appt_id", *SLOT)
     won = admit_moves(valid, holders, place=SLOT, owner="appt_id", order=ORDER, row_id="request_id", last=last)
     decided = known(checked, won, "request_id", "_won").withColumn(
         REASON, F.coalesce(REASON, F.when(~F.col("_won"), MOVE_TAKEN))

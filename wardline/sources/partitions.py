@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from wardline.plans.common import Change, patched
 from wardline.schema import TABLES
 from wardline.sources.staging import cut
+from wardline.sources.tables import Hospital
 
 BUCKETS = 64
 NO_MONTH = "none"
@@ -55,6 +56,27 @@ def open_parts(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def with_parts(h: Hospital, name: str, path: str) -> Hospital:
+    """The hospital with a table read from its partitions, and beside it the same with its partition column."""
+    stored = open_parts(h.spark, path, name)
+    return h.replaced(**{name: stored.drop(LAYOUTS[name].part), f"{name}_parts": stored})
+
+
+def live_slots(h: Hospital, wanted: DataFrame) -> DataFrame:
+    """Live appointments that may hold one of the wanted slots (appt_date).
+
+    Where the appointments are stored by month, Spark prunes the months by those that are wanted, when the query runs.
+    """
+    live = F.col("status") != "Cancelled"
+    if "appointments_parts" not in h:
+        return h.appointments.filter(live)
+    layout = LAYOUTS["appointments"]
+    # as a comparison, which Spark takes for selective enough to prune by; months sort before the mark of none
+    months = wanted.select(layout.value().alias(layout.part)).filter(F.col(layout.part) < NO_MONTH).distinct()
+    # broadcast: a row a month of the calendar at most
+    return h.appointments_parts.filter(live).join(F.broadcast(months), layout.part, "left_semi").drop(layout.part)
+
+
 def _laid_out(rows: DataFrame, name: str) -> DataFrame:
     layout = LAYOUTS[name]
     rows = rows.select(*TABLES[name].fieldNames()).withColumn(layout.part, layout.value())

@@ -6,23 +6,42 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from wardline.schema import TABLES
+from wardline.sources.staging import cut
 
 
-def append_audit(entries: DataFrame, path: str) -> None:
+def append_audit(entries: DataFrame, path: str, *, once: bool = False) -> None:
     """Add entries to the audit log. There is no update and no delete: files are only ever added.
 
     The log is laid out by day of change, so a day's query reads a day's files. Rebalancing gathers a day's
     entries into files of the advisory size and splits a day that holds most of them.
+
+    With `once`, an entry whose log_id the log has already on its day is left out, so that a delivery may be repeated,
+    whole or in part; the days of the delivery are all that is read of the log. A change keeps its number and its time
+    when it is delivered again. One writer at a time.
     """
+    laid = entries.withColumn("changed_on", F.to_date("changed_at"))
+    if once:
+        laid = cut(laid.dropDuplicates(["log_id"]))
+        days = [row[0] for row in laid.select("changed_on").distinct().collect()]  # at most the days of the delivery
+        if not days:
+            return
+        if _exists(entries.sparkSession, path):
+            log = read_audit(entries.sparkSession, path)
+            same_days = F.col("changed_on").isin([d for d in days if d]) | (F.col("changed_on").isNull() & F.lit(None in days))
+            laid = laid.join(log.filter(same_days).select("log_id"), "log_id", "left_anti")
     (
-        entries.withColumn("changed_on", F.to_date("changed_at"))
-        .hint("rebalance", "changed_on")
+        laid.hint("rebalance", "changed_on")
         .write.mode("append")
         .partitionBy("changed_on")
         .parquet(path)
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     laid_out = StructType([*TABLES["audit_log"].fields, StructField("changed_on", DateType())])
     return spark.read.schema(laid_out).parquet(path)

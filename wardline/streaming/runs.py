@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from wardline.functions.dates import AsOf, stamp
+from wardline.sources.sinks import append_audit
 from wardline.sources.staging import shared_folder
 
 
@@ -86,13 +87,30 @@ def run_latest(stream: DataFrame, key: str) -> DataFrame:
     return updates.groupBy(key).agg(newest).select(key, "_row.*")
 
 
-def audit_stream(feed: DataFrame, *, as_of: AsOf) -> DataFrame:
+def audit_stream(feed: DataFrame, *, as_of: AsOf | None = None, lateness: str | None = None) -> DataFrame:
     """A change feed (change_id, table_name, operation, record_id, old_values, new_values) as audit entries.
 
-    One entry per change, under the feed's own number: equal changes are two entries. That a repeated batch
-    adds nothing is the sink's part (`run_to_parquet` lists the files of finished batches only).
+    One entry per change, under the feed's own number: equal changes are two entries. Entries carry the feed's
+    changed_at or, with as_of, that moment. With `lateness`, a change that is delivered again within that time of its
+    changed_at is dropped by its number, and so is any change, also a new one, that comes later than that behind the
+    newest. Without it nothing is lost, and what comes twice is left to `append_audit(once=True)`.
     """
+    if lateness is not None:
+        timed = feed.withColumn("_at", F.col("changed_at").cast("timestamp")).withWatermark("_at", lateness)
+        feed = timed.dropDuplicatesWithinWatermark(["change_id"]).drop("_at")
     return feed.select(
         F.col("change_id").alias("log_id"), "table_name", "operation", "record_id", "old_values", "new_values",
-        F.lit(None).cast("long").alias("changed_by"), stamp(as_of).alias("changed_at"),
+        F.lit(None).cast("long").alias("changed_by"),
+        (F.col("changed_at").cast("timestamp_ntz") if as_of is None else stamp(as_of)).alias("changed_at"),
     )
+
+
+def run_to_audit_log(stream: DataFrame, path: str, *, checkpoint: str) -> None:
+    """Append everything available to the audit log, each log_id once; a repeated micro-batch adds nothing."""
+    query = (
+        stream.writeStream.foreachBatch(lambda batch, _: append_audit(batch, path, once=True))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
