@@ -8,8 +8,8 @@ the probabilities of a text are the means over its windows, weighted by bytes.
 For prediction the embedding and the filters are folded into tables from byte pairs to filter responses.
 
 Sample: of the labelled rows, those with the smallest hash of doc_id in each of `per_language` hash classes
-of a language, at most `languages` languages by number of rows; `windows` windows of each text, spread over
-all of it. It is independent of row order and of partitions.
+of a language, fewer where many languages share the `total`; `windows` windows of each text, spread over all
+of it. It is independent of row order and of partitions.
 
 Defined results: a text that is null, empty or without a letter is `und` with score 0; without a labelled
 row every text is `und` with score 0; equal texts get equal results; ties go to the first language by name.
@@ -163,24 +163,29 @@ class Predictor:
 
 
 def sample(
-    docs: DataFrame, usable: Column, per_language: int = 512, languages: int = 64, windows: int = 4
+    docs: DataFrame, usable: Column, per_language: int = 512, total: int = 1 << 15, windows: int = 4
 ) -> tuple[list[bytes], list[str]]:
-    """Windows and languages of a bounded sample of labelled rows."""
+    """Windows and languages of a bounded sample of labelled rows, every language among them.
+
+    A language gets `per_language` rows, or an equal share of `total` where there are too many languages for that, and
+    one at least. What the driver collects is at most `per_language` ids of each language.
+    """
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     mixed = F.xxhash64("doc_id")
     chosen = (
         rows.groupBy("lang", F.pmod(mixed, F.lit(per_language)).alias("class"))
-        .agg(F.min(F.struct(F.xxhash64(F.lit(1), "doc_id"), "doc_id"))["doc_id"].alias("doc_id"), F.count("*").alias("n"))
+        .agg(F.min(F.struct(F.xxhash64(F.lit(1), "doc_id"), "doc_id"))["doc_id"].alias("doc_id"))
         .collect()
     )
-    sizes: dict[str, int] = {}
+    ids: dict[str, list[tuple[int, int]]] = {}
     for r in chosen:
-        sizes[r["lang"]] = sizes.get(r["lang"], 0) + r["n"]
-    best = set(sorted(sizes, key=lambda name: (-sizes[name], name))[:languages])
-    keys = sorted({(r["lang"], r["doc_id"]) for r in chosen if r["lang"] in best and r["doc_id"] is not None})
+        if r["doc_id"] is not None:
+            ids.setdefault(r["lang"], []).append((r["class"], r["doc_id"]))
+    share = min(per_language, max(1, total // max(len(ids), 1)))
+    keys = sorted((name, doc_id) for name, mine in ids.items() for _, doc_id in sorted(mine)[:share])
     if not keys:
         return [], []
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(keys, "lang string, doc_id long"))  # per_language x languages
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(keys, "lang string, doc_id long"))  # total, or one a language
     data = F.encode("text", "UTF-8")
     spare = F.greatest(F.length(data) - WINDOW, F.lit(0))
     cuts = [F.substring(data, (1 + F.floor(spare * i / max(windows - 1, 1))).cast("int"), F.lit(WINDOW)) for i in range(windows)]
