@@ -183,3 +183,23 @@ def test_sequences_are_dense_and_ordered(spark):
     df = spark.range(5000).withColumn("k", F.xxhash64("id")).repartition(9)
     rows = with_sequence(df, [F.col("k")], "n", 10).orderBy("k").collect()
     assert [r.n for r in rows] == list(range(11, 5011))
+
+
+def test_screening_in_one_pass_equals_the_scan(spark, tmp_path):
+    from wardline.operators.quality import quality_scan, screen
+
+    df = spark.createDataFrame([(i, [None, "ann@mail.example", "no"][i % 3], f"{i % 5}") for i in range(100)], "i int, e string, d string").repartition(4)
+    checks = {"email": rules.email("e"), "days": rules.duration_days("d")}
+    scan, got = quality_scan(df, checks), screen(df, checks, str(tmp_path / "out"))
+    assert got.rows == 100 and got.failures == {r["rule"]: r["failures"] for r in scan.failures.collect()}
+    assert sorted(map(tuple, got.valid.collect())) == sorted(map(tuple, scan.valid.collect()))
+    assert sorted(map(str, got.quarantined.collect())) == sorted(map(str, scan.quarantined.collect()))
+    nothing = screen(df.filter("false"), checks, str(tmp_path / "none"))
+    assert nothing.rows == 0 and nothing.failures == {"email": 0, "days": 0} and nothing.valid.collect() == []
+
+
+def test_a_value_that_is_no_time_has_its_own_reason(spark):
+    df = spark.createDataFrame([(1, "noon"), (2, ""), (3, "9:5"), (4, " 12:30 "), (5, "24:00:00"), (6, "12:60"), (7, "\u0661\u0662:30")], "i int, v string")
+    got = {r.i: r.p for r in df.select("i", rules.appointment_time("v", None, "1998-06-15").alias("p")).collect()}
+    bad = "Appointment time must be given as HH:MM or HH:MM:SS."
+    assert got == {1: bad, 2: "Appointment time is required.", 3: bad, 4: None, 5: bad, 6: bad, 7: bad}

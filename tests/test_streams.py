@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.streaming import lockout, runs, sessions
+from wardline.sources.sinks import read_audit
 from wardline.sources.staging import shared_folder, written
 
 BASE = 1_704_067_200_000_000
@@ -105,3 +106,57 @@ def test_fixed_sessions(spark):
     df = spark.createDataFrame([("a", 1, datetime(2024, 1, 1, 10))], "session_id string, user_id long, created_at timestamp_ntz")
     assert sessions.fixed_sessions(df, as_of="2024-01-01 10:29:59").first().is_active
     assert not sessions.fixed_sessions(df, as_of="2024-01-01 10:30:00").first().is_active
+
+
+def test_rows_too_late_are_kept_apart_and_a_repeated_batch_replaces_itself(spark):
+    from wardline.streaming.live import revenue_with_late
+
+    split = revenue_with_late(f"{shared_folder(spark)}/late-{uuid.uuid4().hex}", late="1 day")
+
+    def batch(*rows):
+        df = spark.createDataFrame([(t, str(a)) for t, a in rows], "t string, a string")
+        return df.select(F.col("t").cast("timestamp_ntz").alias("payment_date"), F.col("a").cast("decimal(12,2)").alias("amount_paid"))
+
+    def state():
+        totals = {str(r["day"]): (float(r["revenue"]), r["payments"]) for r in split.totals(spark).collect()}
+        return totals, sorted(float(r["amount_paid"]) for r in split.too_late(spark).collect())
+
+    first = batch(("2024-01-01 10:00:00", 1), ("2024-01-05 00:00:00", 2), ("2024-01-01 11:00:00", 4))
+    second = batch(("2024-01-03 23:59:59", 8), ("2024-01-04 00:00:00", 16), (None, 32), ("2024-01-09 12:00:00", 64))
+    third = batch(("2024-01-04 00:00:00", 128), ("2024-01-09 13:00:00", 256))
+    split.take(first, 0)
+    assert state() == ({"2024-01-01": (5.0, 2), "2024-01-05": (2.0, 1)}, [])
+    split.take(second, 1)
+    split.take(second, 1)
+    split.take(third, 2)
+    want = {"2024-01-01": (5.0, 2), "2024-01-04": (16.0, 1), "2024-01-05": (2.0, 1), "2024-01-09": (320.0, 2)}
+    assert state() == (want, [8.0, 32.0, 128.0])
+    split.take(third, 2)
+    assert state() == (want, [8.0, 32.0, 128.0])
+
+
+def test_changes_delivered_again_make_no_second_entry(spark):
+    folder = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    schema = "change_id long, table_name string, operation string, record_id long, old_values string, new_values string, changed_at timestamp_ntz"
+
+    def deliver(*ids):
+        rows = [(i, "bills", "UPDATE", i % 3, None, "{}", f"2024-01-0{1 + i % 4} 08:00:00") for i in ids]
+        df = spark.createDataFrame(rows, schema.replace("timestamp_ntz", "string"))
+        df.withColumn("changed_at", F.col("changed_at").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{folder}/feed")
+
+    def run(**options):
+        feed = runs.parquet_stream(spark, f"{folder}/feed", spark.createDataFrame([], schema).schema, names="*.parquet", files_per_batch=1)
+        runs.run_to_audit_log(runs.audit_stream(feed, **options), f"{folder}/log", checkpoint=f"{folder}/state")
+        return sorted(r["log_id"] for r in read_audit(spark, f"{folder}/log").collect())
+
+    deliver(1, 2, 3, 3, 2)
+    deliver(3, 4, 1)
+    assert run() == [1, 2, 3, 4]
+    deliver(1, 5, 4)
+    assert run() == [1, 2, 3, 4, 5]
+    # the checkpoint is lost: the whole feed comes again
+    feed = runs.parquet_stream(spark, f"{folder}/feed", spark.createDataFrame([], schema).schema, names="*.parquet")
+    runs.run_to_audit_log(runs.audit_stream(feed), f"{folder}/log", checkpoint=f"{folder}/state2")
+    entries = read_audit(spark, f"{folder}/log").collect()
+    assert sorted(r["log_id"] for r in entries) == [1, 2, 3, 4, 5]
+    assert {r["log_id"]: r["changed_on"].day for r in entries} == {i: 1 + i % 4 for i in range(1, 6)}

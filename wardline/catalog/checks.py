@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wardline.catalog.registry import AS_OF, query
 from wardline.functions import rules, text
 from wardline.functions.errors import friendly_error
-from wardline.operators.quality import constraint_findings, quality_scan
+from wardline.operators.quality import constraint_findings, quality_scan, screen
+from wardline.sources.staging import shared_folder
 from wardline.sources.tables import Hospital
 
 NOW = datetime(1998, 6, 15, 9, 45)
@@ -358,6 +360,38 @@ def r16b(h: Hospital) -> DataFrame:
     return constraint_findings(h, tables.split())
 
 
+_SCREEN = """
+    select row_id, full_name is null or length(trim(full_name)) < 2 or length(trim(full_name)) > 100
+                     or not regexp_matches(trim(full_name), '^[A-Za-z .''-]+$') as name_bad,
+           date_of_birth is null or date_of_birth >= date '1998-06-15' or (date '1998-06-15' - date_of_birth) // 365 > 120 as dob_bad,
+           dosage is null or trim(dosage) = '' or length(trim(dosage)) > 50 as dosage_bad from {intake}"""
+
+
+def _screen_rules() -> dict[str, Column]:
+    return {
+        "name": rules.name("full_name"),
+        "date_of_birth": rules.date_of_birth("date_of_birth", AS_OF),
+        "dosage": rules.dosage("dosage"),
+    }
+
+
+@query(
+    "r18_screened_in_one_pass",
+    f"""with p as ({_SCREEN})
+        select row_id, case when name_bad or dob_bad or dosage_bad then 'quarantined' else 'valid' end as outcome,
+               cast(name_bad as int) + cast(dob_bad as int) + cast(dosage_bad as int) as messages,
+               (select count(*) filter (name_bad) from p) as bad_names, (select count(*) from p) as seen from p""",
+)
+def r18(h: Hospital) -> DataFrame:
+    """Every intake row with the outcome that it was written under, and two of the counts taken while writing."""
+    got = screen(h.intake, _screen_rules(), f"{shared_folder(h.spark)}/screened/{uuid.uuid4().hex}")
+    good = got.valid.select("row_id", F.lit("valid").alias("outcome"), F.lit(0).alias("messages"))
+    bad = got.quarantined.select("row_id", F.lit("quarantined").alias("outcome"), F.size("errors").alias("messages"))
+    return good.unionByName(bad).withColumns(
+        {"bad_names": F.lit(got.failures["name"]).cast("long"), "seen": F.lit(got.rows).cast("long")}
+    )
+
+
 @query(
     "r17_quality_scan",
     """with p as (

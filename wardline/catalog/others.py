@@ -267,6 +267,31 @@ def t4b(h: Hospital) -> DataFrame:
     return runs.run_latest(stream, "day").select("day", "revenue", "payments")
 
 
+_HELD_BACK = "event_id % 50 = 0 and cast(ts as date) < date '2024-01-11'"
+
+
+@query(
+    "t4e_revenue_with_late_rows",
+    f"""select {d('ts', 'day')}, coalesce(cast(cast(sum(cast(value as decimal(12,2))) filter (not ({_HELD_BACK})) as decimal(18,2)) as double), 0) as revenue,
+               count(*) filter (not ({_HELD_BACK})) as payments, count(*) filter ({_HELD_BACK}) as late
+        from {{events}} where event_type = 'purchase' group by cast(ts as date)""",
+)
+def t4e(h: Hospital) -> DataFrame:
+    """Payments by ten days a file; one in fifty of the first ten days comes with the last file, weeks late."""
+    sold = h.events.filter(F.col("event_type") == "purchase").withColumn("held", F.expr(_HELD_BACK))
+    file = F.when(F.col("held"), 2).otherwise(F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)))
+    laid = cut(sold.withColumn("file", file))
+    receipts = _receipts(laid)
+    base = f"{shared_folder(h.spark)}/late/{uuid.uuid4().hex}"
+    for number in range(3):
+        _receipts(laid.filter(F.col("file") == number)).coalesce(1).write.mode("append").parquet(f"{base}/feed")
+    split = live.revenue_with_late(base, late="2 days")
+    split.run(runs.parquet_stream(h.spark, f"{base}/feed", receipts.schema, names="*.parquet", files_per_batch=1))
+    late = split.too_late(h.spark).groupBy(F.to_date("payment_date").alias("day")).agg(F.count("*").alias("late"))
+    both = split.totals(h.spark).join(late, "day", "full")
+    return both.select("day", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("revenue", "payments", "late")))
+
+
 @query(
     "t4c_daily_appointments",
     f"""select {d('appt_date', 'day')}, count(*) as total, count(*) filter (status = 'Completed') as completed,

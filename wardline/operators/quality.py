@@ -6,12 +6,16 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wardline.schema import ENUMS, KEYS, LENGTHS, TABLES
 from wardline.sources.tables import Hospital
 
 
+VALID, QUARANTINED = "valid", "quarantined"
+
+
 @dataclass
 class Scan:
     valid: DataFrame
@@ -34,6 +38,37 @@ def quality_scan(df: DataFrame, rules: Mapping[str, Column]) -> Scan:
     )
 
 
+@dataclass
+class Screened:
+    """Both outcomes of a screening as read from its folder, rows seen, and failures per rule."""
+
+    valid: DataFrame
+    quarantined: DataFrame
+    rows: int
+    failures: dict[str, int]
+
+
+def screen(df: DataFrame, rules: Mapping[str, Column], path: str) -> Screened:
+    """Write a table once, parted into valid and quarantined rows (these with their messages), counting on the way.
+
+    The input is read a single time: the counters are metrics of the write, gathered by its tasks. The rows that the
+    files have are compared with the rows counted, so that a count that a repeated task has spoilt is an error.
+    """
+    counters = [F.count_if(rule.isNotNull()).alias(name) for name, rule in rules.items()]
+    errors = F.array_compact(F.array(*rules.values()))
+    seen = Observation()
+    marked = df.observe(seen, F.count(F.lit(1)).alias("_rows"), *counters).withColumn("errors", errors)
+    outcome = F.when(F.size("errors") == 0, VALID).otherwise(QUARANTINED)
+    marked.withColumn("outcome", outcome).write.mode("errorifexists").partitionBy("outcome").parquet(path)
+    counts = dict(seen.get)
+    rows = counts.pop("_rows")
+    stored = df.sparkSession.read.schema(StructType([*marked.schema.fields, StructField("outcome", StringType())])).parquet(path)
+    if stored.count() != rows:  # from the files' footers
+        raise RuntimeError("rows counted differ from rows written")
+    part = lambda name: stored.filter(F.col("outcome") == name).drop("outcome")
+    return Screened(part(VALID).drop("errors"), part(QUARANTINED), rows, counts)
+
+
 # Foreign keys, unique columns and value checks of the data model.
 FOREIGN_KEYS = (
     ("patients", "insurance_id", "insurance"),
