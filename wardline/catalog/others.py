@@ -11,6 +11,7 @@ from wardline.catalog.registry import AS_OF, query
 from wardline.functions.ordering import up, with_sequence
 from wardline.operators import audit, visibility
 from wardline.plans import clinical, pharmacy
+from wardline.sources.images import write_image
 from wardline.sources.sinks import read_audit
 from wardline.sources.staging import cut, shared_folder, written
 from wardline.sources.tables import Hospital
@@ -47,6 +48,19 @@ def a1(h: Hospital) -> DataFrame:
     return _changes(h).select("table_name", "operation", "record_id")
 
 
+@query("a1b_image_changes", f"select * from ({_CHANGES}) c where table_name = 'appointments'")
+def a1b(h: Hospital) -> DataFrame:
+    """The appointments of both days stored as images, and compared by the digests of their buckets."""
+    base = f"{shared_folder(h.spark)}/images/{uuid.uuid4().hex}"
+    later = h.appointments.filter(F.col("status") != "Cancelled").withColumn(
+        "status", F.when(F.col("status") == "Pending", "Confirmed").otherwise(F.col("status"))
+    )
+    write_image(h.appointments, f"{base}/old", "appt_id")
+    write_image(later, f"{base}/new", "appt_id")
+    changes = audit.image_changes(h.spark, "appointments", f"{base}/old", f"{base}/new", as_of=AS_OF)
+    return changes.select("table_name", "operation", "record_id")
+
+
 _LOG = f"""
     select table_name, operation, record_id, row_number() over (order by table_name, record_id) as log_id,
            timestamp '{AS_OF} 08:00:00' + to_hours(cast(record_id % 40 as int)) as changed_at,

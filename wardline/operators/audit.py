@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardline.functions.dates import AsOf, on_day, stamp
 from wardline.functions.ordering import down, top
 from wardline.schema import KEYS
+from wardline.sources.images import differing_buckets, read_image
 from wardline.sources.tables import Hospital
 
 
@@ -38,6 +39,15 @@ def row_changes(name: str, old: DataFrame, new: DataFrame, *, as_of: AsOf, chang
     )
 
 
+def image_changes(
+    spark: SparkSession, name: str, old: str, new: str, *, as_of: AsOf, changed_by: Column | None = None
+) -> DataFrame:
+    """The same between two stored images (`sources/images.py`): only buckets that differ are read and joined."""
+    buckets = differing_buckets(spark, old, new)
+    before, after = (read_image(spark, path, buckets) for path in (old, new))
+    return row_changes(name, before, after, as_of=as_of, changed_by=changed_by)
+
+
 def audit_entries(
     h: Hospital, log: DataFrame, *, on: AsOf, table: str | None = None, operation: str | None = None, n: int = 100
 ) -> DataFrame:
