@@ -214,14 +214,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float =
     lengths = list(range(1, size + 1))
     items = keep(_rows(benchmark, "item_id", lengths, None, True))
     used = [r[0] for r in items.select(F.size("slots")).distinct().collect()]  # at most `size` of them
+    short = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS  # rows: equal items repeat their hashes
     distinct = items.select("h").distinct()
-    few = distinct.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    few = short or distinct.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     wanted = None
     if few:
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in distinct.collect()], np.int64)))
     found = _rows(docs, "doc_id", sorted(used) or [size], wanted, False)
     side = items.select("h", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    met = found.join(F.broadcast(side) if few else side, "h")
+    met = found.join(F.broadcast(side) if short else side.hint("merge"), "h")
     # a slot of the item that meets a plain word met its own value
     own = lambda p: F.when(p["slots"] == 0, p["item_slots"]).otherwise(p["slots"])
     pair = lambda p, i: F.struct((F.col("item_place") + i).alias("at"), p["item_slots"].alias("a"), own(p).alias("b"))
