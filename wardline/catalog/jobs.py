@@ -34,26 +34,32 @@ def _first(condition: str, key: str, reason: str) -> str:
 # Registration -------------------------------------------------------------------------------------
 
 
-@query(
-    "j01_register_patients",
-    """with decided as (
-         select k.request_id, k.request_ts, r.request_id is not null as is_in,
-                case when r.request_id is not null then null when k.problem is not null then k.problem
-                     when k.phone_known or exists (select 1 from {registration_rounds} o where o.state = 'in' and o.phone = k.phone
-                          and (o.request_ts < k.request_ts or (o.request_ts = k.request_ts and o.request_id < k.request_id)))
-                       then 'A patient with phone number ' || k.phone || ' already exists.'
-                     else 'A patient with email ' || k.email || ' is already registered.' end as reason
-         from {registration_known} k left join (select request_id from {registration_rounds} where state = 'in') r
-           on r.request_id = k.request_id)
-       select request_id, is_in as accepted, reason,
-              case when is_in then (select max(patient_id) from {patients})
-                   + row_number() over (partition by is_in order by request_ts, request_id) end as new_id
-       from decided""",
-)
+_REGISTERED = """with decided as (
+     select k.request_id, k.request_ts, r.request_id is not null as is_in,
+            case when r.request_id is not null then null when k.problem is not null then k.problem
+                 when k.phone_known or exists (select 1 from {registration_rounds} o where o.state = 'in' and o.phone = k.phone
+                      and (o.request_ts < k.request_ts or (o.request_ts = k.request_ts and o.request_id < k.request_id)))
+                   then 'A patient with phone number ' || k.phone || ' already exists.'
+                 else 'A patient with email ' || k.email || ' is already registered.' end as reason
+     from {registration_known} k left join (select request_id from {registration_rounds} where state = 'in') r
+       on r.request_id = k.request_id)
+   select request_id, is_in as accepted, reason,
+          case when is_in then (select max(patient_id) from {patients})
+               + row_number() over (partition by is_in order by request_ts, request_id) end as new_id
+   from decided"""
+
+
+@query("j01_register_patients", _REGISTERED)
 def j01(h: Hospital) -> DataFrame:
     return decisions(registry.register_patients(h, h.registration_requests, as_of=AS_OF), new_id="patient_id")
 
 
+@query("j01b_registration_rounds", _REGISTERED)
+def j01b(h: Hospital) -> DataFrame:
+    """The same without the last task that takes few requests one by one."""
+    return decisions(registry.register_patients(h, h.registration_requests, as_of=AS_OF, last=0), new_id="patient_id")
+
+
 @query(
     "j02_upsert_insurance",
     """with cleaned as (select *, trim(policy_number) as policy, trim(provider_name) as provider from {insurance_requests}),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,6 +11,7 @@ from wardline.functions.dates import AsOf
 from wardline.functions.ordering import first_of, highest, with_sequence
 from wardline.functions.text import blank, sanitize_email, sanitize_phone, sanitize_string, strip
 from wardline.schema import ENUMS
+from wardline.plans.claims import LAST_ROWS, admit_claims
 from wardline.plans.common import REASON, Change, Outcome, changed, first_failure, known
 from wardline.plans.moves import admit_moves
 from wardline.sources.staging import cut
@@ -58,16 +58,16 @@ def registration_form(as_of: AsOf) -> list[tuple[Column, str] | Column]:
     ]
 
 
-def register_patients(h: Hospital, requests: DataFrame, *, as_of: AsOf | None = None) -> Outcome:
+def register_patients(
+    h: Hospital, requests: DataFrame, *, as_of: AsOf | None = None, last: int = LAST_ROWS
+) -> Outcome:
     """requests: request_id, request_ts and the patient columns.
 
     With as_of, requests that fail the form are refused first; a phone number is required always.
 
     In arrival order, a request is admitted when neither its phone nor its e-mail belongs to a patient
-    or to an earlier admitted request. A refused request reserves nothing, so the two keys interact; the
-    admitted set is found in rounds. Each round admits every request that is the earliest left for both
-    its keys and drops all that share a key with an admitted one; what is left shrinks quickly, and the
-    requests that share no key with another are settled by the first round.
+    or to an earlier admitted request. A refused request reserves nothing, so the two keys interact; see
+    plans/claims.py for how that is decided, and for last.
     """
     form = [(blank("phone"), NO_PHONE)] if as_of is None else registration_form(as_of)
     clean = requests.withColumn("_form", first_failure(*form)).withColumns(
@@ -82,19 +82,9 @@ def register_patients(h: Hospital, requests: DataFrame, *, as_of: AsOf | None =
     phones = h.patients.select("phone").distinct()
     emails = h.patients.filter(F.col("email").isNotNull()).select("email").distinct()
     marked = cut(known(known(clean, phones, "phone", "_phone_known"), emails, "email", "_email_known"))
-    left = marked.filter(F.col("_form").isNull() & ~F.col("_phone_known") & ~F.col("_email_known")).select("phone", "email", *ORDER)
-    admitted: list[DataFrame] = []
-    while True:
-        by_phone = first_of(left, ["phone"], ORDER, "request_id")
-        by_email = first_of(left.filter(F.col("email").isNotNull()), ["email"], ORDER, "request_id")
-        ready = known(known(left, by_phone, "request_id", "_p"), by_email, "request_id", "_e")
-        wave = cut(ready.filter(F.col("_p") & (F.col("_e") | F.col("email").isNull())).select("phone", "email", *ORDER))
-        admitted.append(wave)
-        taken = wave.filter(F.col("email").isNotNull()).select("email")
-        left = cut(left.join(wave.select("phone"), "phone", "left_anti").join(taken, "email", "left_anti"))
-        if left.isEmpty():
-            break
-    accepted_keys = reduce(DataFrame.unionByName, admitted)
+    free = marked.filter(F.col("_form").isNull() & ~F.col("_phone_known") & ~F.col("_email_known"))
+    won = admit_claims(free, keys=["phone", "email"], order=ORDER, row_id="request_id", last=last)
+    accepted_keys = cut(free.select("phone", *ORDER).join(won, "request_id", "left_semi"))
     owner = accepted_keys.select("phone", F.struct(*ORDER).alias("_holder"))
     decided = known(marked, accepted_keys.select("request_id"), "request_id", "_in").join(owner, "phone", "left")
     phone_taken = F.col("_phone_known") | F.coalesce(F.col("_holder") < F.struct(*ORDER), F.lit(False))
