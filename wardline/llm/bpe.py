@@ -27,7 +27,9 @@ from wardline.llm.common import flat, list_array, slices, spread
 #: Matches of more bytes than this are encoded one by one.
 LONG = 256
 #: Cells of a padded matrix that are held at once.
-CELLS = 1 << 21
+CELLS = 1 << 19
+#: Bytes of text whose matches are held at once; a longer text is handled alone and whole.
+TEXT_BYTES = 1 << 20
 #: Distinct matches that a worker remembers between slices.
 REMEMBER = 400_000
 
@@ -234,7 +236,7 @@ def encode(df: DataFrame, text: str, rank_file: str, pattern: str, ids: str = "i
         vocabulary = shared.value
         encoder = Encoder(vocabulary, pattern)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, TEXT_BYTES):
                 flat_ids, counts = encoder.encode(part.column(text).fill_null("").to_pylist())
                 columns = [part.column(c) for c in kept] + [list_array(pa.array(flat_ids, pa.int32()), counts)]
                 if decoded:
