@@ -5,12 +5,13 @@ import uuid
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from wardline.streaming import lockout, runs, sessions
 from wardline.sources.sinks import read_audit
-from wardline.sources.staging import shared_folder, written
+from wardline.sources.staging import cut, shared_folder, written
 
 BASE = 1_704_067_200_000_000
 
@@ -51,6 +52,32 @@ def test_lockout_matches_one_by_one(spark, split_over):
     assert got == one_by_one(rows)
 
 
+def test_slices_are_left_as_a_walk_would_leave_them_whatever_the_batches():
+    rng = random.Random(5)
+    day = [(7, part, part * lockout._SLICE + at, at, rng.random() < 0.2)
+           for part in (0, 1, 3) for at in sorted(rng.sample(range(0, lockout._SLICE, 60_000_000), 40))]
+    columns = ["user_id", "slice", "at", "event_id", "succeeded"]
+    for size in (1, 17, 1000):
+        batches = [pd.DataFrame(day[i : i + size], columns=columns) for i in range(0, len(day), size)]
+        exits = pd.concat(lockout._exits(iter(batches)))
+        clean = exits[exits["entry"] == 0].set_index("slice")
+        for part in (0, 1, 3):
+            failures, locked = 0, -1
+            for _, _, at, _, ok in [r for r in day if r[1] == part]:
+                _, failures, locked = lockout.attempt(failures, locked, at, ok)
+            assert (clean.loc[part, "count"], clean.loc[part, "lock"]) == (failures, locked)
+            assert len(exits[exits["slice"] == part]) >= lockout.MAX_FAILURES
+
+
+def test_slices_do_not_take_a_group_of_pandas_each(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(lockout, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    rows = [(u, i, datetime(2024, 1, 1 + i // 2, 8 * (i % 2)), False) for u in range(3) for i in range(8)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp_ntz, succeeded boolean")
+    assert lockout.lockouts(df, split_over=3).count() == 24
+    assert plans and not any("FlatMapGroupsInPandas" in p for p in plans)
+
+
 def test_lockout_stream_takes_shuffled_files_in_event_order(spark):
     rng = random.Random(5)
     rows = sorted(attempts(5, 300), key=lambda r: r[2])

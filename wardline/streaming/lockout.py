@@ -13,10 +13,10 @@ doubling distance, and then all slices are walked side by side, each from its tr
 
 from __future__ import annotations
 
+import bisect
 import sys
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -97,17 +97,14 @@ _EXITS = "user_id long, slice long, entry int, start_at long, reset boolean, cou
 _NEVER = 1 << 62
 
 
-def _slice_exits(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exit state of one slice for each entry that can matter.
+def _slice_exits(user: int, part: int, at: list[int], ok: list[bool]) -> list[tuple]:
+    """Exit state of one slice, its attempts in order, for each entry that can matter.
 
     Entries 0 to 4 are the counter classes of an unlocked account. Entry 4 + i is an account whose running
     lock ends before attempt i; a lock from before the slice ends within its first half hour.
     """
-    pdf = pdf.sort_values(["at", "event_id"])
-    at, ok = pdf["at"].to_numpy(), pdf["succeeded"].to_numpy()
-    n, user, part = len(at), pdf["user_id"].iloc[0], pdf["slice"].iloc[0]
-    after = np.searchsorted(at, at + _LOCK, side="left")
-    window = int(np.searchsorted(at, part * _SLICE + _LOCK, side="left"))
+    n = after = len(at)
+    window = bisect.bisect_left(at, part * _SLICE + _LOCK)
     # exits[i][c]: (reset?, count or increment, lock) for class c before attempt i; i runs backwards.
     exits = {n: [(False, 0, _OPEN)] * MAX_FAILURES}
     for i in range(n - 1, -1, -1):
@@ -117,23 +114,55 @@ def _slice_exits(pdf: pd.DataFrame) -> pd.DataFrame:
             exits[i] = [(True, count, lock)] * MAX_FAILURES
         else:
             row = [(r, c if r else c + 1, lock) for r, c, lock in follow[1:]]
-            j = int(after[i])
-            reset, count, lock = exits[j][_TOP]
-            row.append((reset, count if reset else count + 1, int(at[i]) + _LOCK if j == n else lock))
+            until = at[i] + _LOCK
+            while after > 0 and at[after - 1] >= until:
+                after -= 1
+            reset, count, lock = exits[after][_TOP]
+            row.append((reset, count if reset else count + 1, until if after == n else lock))
             exits[i] = row
-    rows = [(user, part, c, int(at[0]) if c == _TOP else None, *exits[0][c]) for c in range(MAX_FAILURES)]
+    rows = [(user, part, c, at[0] if c == _TOP else None, *exits[0][c]) for c in range(MAX_FAILURES)]
     for i in range(1, window + 1):
-        rows.append((user, part, _TOP + i, int(at[i]) if i < n else _NEVER, *exits[i][_TOP]))
-    return pd.DataFrame(rows, columns=["user_id", "slice", "entry", "start_at", "reset", "count", "lock"])
+        rows.append((user, part, _TOP + i, at[i] if i < n else _NEVER, *exits[i][_TOP]))
+    return rows
 
 
-def _counters(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry state of every slice of one account, from the one exit per slice that applies."""
-    failures, locked, rows = 0, _OPEN, []
-    for user, part, reset, count, lock in pdf.sort_values("slice").itertuples(index=False):
-        rows.append((user, part, failures, locked))
-        failures, locked = (count if reset else failures + count), lock
-    return pd.DataFrame(rows, columns=["user_id", "slice", "entry_failures", "entry_locked"])
+def _exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Exits of every slice of attempts sorted by (user_id, slice, at, event_id); one slice is held at a time."""
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        pdf = pd.DataFrame(rows, columns=["user_id", "slice", "entry", "start_at", "reset", "count", "lock"], dtype=object)
+        whole = {c: "int64" for c in ("user_id", "slice", "entry", "count", "lock")}
+        return pdf.astype({**whole, "start_at": "Int64", "reset": bool})
+
+    place, held_at, held_ok = None, [], []
+    for batch in batches:
+        rows = []
+        for user, part, at, ok in zip(*(batch[c].tolist() for c in ("user_id", "slice", "at", "succeeded"))):
+            if place != (user, part):
+                if held_at:
+                    rows += _slice_exits(*place, held_at, held_ok)
+                place, held_at, held_ok = (user, part), [], []
+            held_at.append(at)
+            held_ok.append(ok)
+        yield frame(rows)
+    if held_at:
+        yield frame(_slice_exits(*place, held_at, held_ok))
+
+
+def _counters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entry state of every slice, from the one exit per slice that applies, sorted by (user_id, slice)."""
+    account, failures, locked = None, 0, _OPEN
+    for batch in batches:
+        entered, until = [], []
+        for user, reset, count, lock in zip(*(batch[c].tolist() for c in ("user_id", "reset", "count", "lock"))):
+            if account != user:
+                account, failures, locked = user, 0, _OPEN
+            entered.append(failures)
+            until.append(locked)
+            failures, locked = (count if reset else failures + count), lock
+        yield pd.DataFrame(
+            {"user_id": batch["user_id"], "slice": batch["slice"], "entry_failures": entered, "entry_locked": until}
+        )
 
 
 def _entries(sliced: DataFrame) -> DataFrame:
@@ -144,7 +173,8 @@ def _entries(sliced: DataFrame) -> DataFrame:
     are found by jumps of 1, 2, 4, ... slices, so the number of joins grows with the logarithm of the
     number of slices and no account passes one task. A lock is shorter than a slice and never outlasts the next.
     """
-    exits = cut(sliced.groupBy("user_id", "slice").applyInPandas(_slice_exits, _EXITS))
+    laid = sliced.repartition("user_id", "slice").sortWithinPartitions("user_id", "slice", "at", "event_id")
+    exits = cut(laid.mapInPandas(_exits, _EXITS))
     in_order = W.partitionBy("user_id").orderBy("slice")
     slices = exits.filter("entry = 0").select("user_id", "slice", F.lead("slice").over(in_order).alias("to_slice"))
     leaving = exits.join(slices.filter("to_slice is not null"), ["user_id", "slice"])
@@ -183,9 +213,8 @@ def _entries(sliced: DataFrame) -> DataFrame:
         )
         reached = cut(reached.unionByName(onward))
     path = exits.join(reached, ["user_id", "slice", "entry"], "left_semi").select("user_id", "slice", "reset", "count", "lock")
-    return path.groupBy("user_id").applyInPandas(
-        _counters, "user_id long, slice long, entry_failures long, entry_locked long"
-    )
+    in_turn = path.repartition("user_id").sortWithinPartitions("user_id", "slice")
+    return in_turn.mapInPandas(_counters, "user_id long, slice long, entry_failures long, entry_locked long")
 
 
 def lockouts(attempts: DataFrame, *, split_over: int = SPLIT_OVER) -> DataFrame:
