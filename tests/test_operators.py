@@ -96,6 +96,21 @@ def test_search_matches_a_nested_loop(spark, h):
     assert got == expected and len(got) > 8
 
 
+def test_search_joins_the_first_of_a_pattern_only_and_never_broadcasts_grams(spark, monkeypatch):
+    people = spark.range(300).select("id", F.format_string("Ann %09d", "id").alias("name"))
+    asked = spark.range(40).select("id", F.lit("%0000%").alias("shape")).withColumnRenamed("id", "term")
+    pairs = search.like_pairs(people, "name", asked, "shape", order=[F.col("name")], n=3)
+    assert sorted((r.term, r.id) for r in pairs.collect()) == [(t, i) for t in range(40) for i in range(3)]
+    one = spark.createDataFrame([("%00000017%",), ("%017%",)], "shape string")
+    grams = one.select("shape", search._pattern_grams(F.col("shape")).alias("g")).collect()
+    assert {len(g) for r in grams for g in r.g if r.shape == "%00000017%"} == {8}
+    for limit, kind in ((search.BROADCAST_PATTERNS, "ResolvedHint (strategy=broadcast)"), (0, "ResolvedHint (strategy=merge)")):
+        monkeypatch.setattr(search, "BROADCAST_PATTERNS", limit)
+        found = search.like_pairs(people, "name", one, "shape")
+        assert kind in found._jdf.queryExecution().analyzed().toString()
+        assert {r.id for r in found.collect()} == {17, *range(170, 180)}
+
+
 def test_user_links(h):
     got = {r.user_id: r.doctor_id for r in search.link_users_to_doctors(h).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: None, 5: None}

@@ -1,18 +1,22 @@
 """Substring search for a table of patterns, as equi-joins on character grams.
 
 A LIKE between two tables would be a nested loop over all pairs. Here a pattern is looked up through
-one gram of its literal text, the one that the searched rows contain least often; the LIKE itself then
-decides on the rows that share this gram. The result equals the nested loop: a row that matches a
-pattern contains every gram of the pattern's literal text. Patterns without two literal characters in a
-row use the empty gram, which every row has.
+one gram of its literal text, the one that the searched rows contain least often among the longest it
+has; the LIKE itself then decides on the rows that share this gram. The result equals the nested loop: a
+row that matches a pattern contains every gram of the pattern's literal text. Long grams keep the rows
+that share one few when rows and patterns grow together. Patterns without two literal characters in a
+row use the empty gram, which every row has. Terms with the same pattern share its rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions.ordering import top_per, up
 from wardline.functions.text import plain_pattern, strip
+from wardline.sources.staging import cut
 from wardline.sources.tables import Hospital
 
 
@@ -22,32 +26,52 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
+# Up to so many patterns go to every task; beyond that both sides are shuffled by gram.
+BROADCAST_PATTERNS = 200_000
+
+# Lengths of grams, the longest first: the shorter ones are for patterns without longer literal text.
+_SIZES = (8, 5, 3, 2)
+
+
 def _row_grams(text: Column) -> Column:
-    return F.concat(_grams(text, 3), _grams(text, 2), F.array(F.lit("")))
+    return F.concat(*(_grams(text, size) for size in _SIZES), F.array(F.lit("")))
 
 
 def _pattern_grams(pattern: Column) -> Column:
     runs = F.split(pattern, r"[%_\\]")
-    triples = F.array_distinct(F.flatten(F.transform(runs, lambda r: _grams(r, 3))))
-    pairs = F.array_distinct(F.flatten(F.transform(runs, lambda r: _grams(r, 2))))
-    return (
-        F.when(F.size(triples) > 0, triples).when(F.size(pairs) > 0, pairs).otherwise(F.array(F.lit("")))
-    )
 
+    def grams(size: int) -> Column:
+        return F.array_distinct(F.flatten(F.transform(runs, lambda r: _grams(r, size))))
+
+    chosen = F.array(F.lit(""))
+    for size in reversed(_SIZES):
+        chosen = F.when(F.size(grams(size)) > 0, grams(size)).otherwise(chosen)
+    return chosen
 
-def like_pairs(rows: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """Inner join of rows and patterns on `text LIKE pattern`; both sides keep their columns."""
+
+def like_pairs(
+    rows: DataFrame, text: str, patterns: DataFrame, pattern: str, *, order: Sequence[Column] = (), n: int | None = None
+) -> DataFrame:
+    """Inner join of rows and patterns on `text LIKE pattern`; both sides keep their columns.
+
+    With n, only the first n rows of a pattern by `order` are joined, before patterns that occur more than once are.
+    """
     wanted = patterns.filter(F.col(pattern).isNotNull())
     asked = wanted.select(pattern).distinct().withColumn("_gram", F.explode(_pattern_grams(F.col(pattern))))
-    carried = rows.filter(F.col(text).isNotNull()).withColumn("_gram", F.explode(_row_grams(F.col(text))))
+    # a few files of short rows become many grams: they are dealt out first
+    carried = rows.filter(F.col(text).isNotNull()).repartition(text).withColumn("_gram", F.explode(_row_grams(F.col(text))))
     relevant = carried.select("_gram").join(asked.select("_gram").distinct(), "_gram", "left_semi")
     often = relevant.groupBy("_gram").agg(F.count("*").alias("_often"))
-    key = (
+    key = cut(
         asked.join(often, "_gram", "left")
         .groupBy(pattern)
         .agg(F.min_by("_gram", F.struct(F.coalesce("_often", F.lit(0)), F.col("_gram"))).alias("_gram"))
     )
-    found = carried.join(key, "_gram").filter(F.expr(f"`{text}` like `{pattern}`")).drop("_gram")
+    # Spark takes the grams for as small as the rows that they come from, and would broadcast them.
+    side = "broadcast" if key.count() <= BROADCAST_PATTERNS else "merge"
+    found = carried.join(key.hint(side), "_gram").filter(F.expr(f"`{text}` like `{pattern}`")).drop("_gram")
+    if n is not None:
+        found = top_per(found, pattern, order, n).drop("rank")
     return found.join(wanted, pattern)
 
 
@@ -68,9 +92,12 @@ def search_patients(
         # the first n of all are among the first n of each way of finding them
         return found.select(*keep) if n is None else top_per(found.select(*keep), "term_id", order, n).drop("rank")
 
-    hits = first(like_pairs(base.withColumn("_text", F.lower("full_name")), "_text", by_name, "_pattern")).unionByName(
-        first(like_pairs(base.withColumn("_text", F.col("phone")), "_text", by_phone, "_pattern"))
-    )
+    def found(text: Column, patterns: DataFrame) -> DataFrame:
+        # a term has one pattern, so the first n of the pattern are the first n of the term
+        pairs = like_pairs(base.withColumn("_text", text), "_text", patterns, "_pattern", order=order, n=n)
+        return pairs.select(*keep)
+
+    hits = found(F.lower("full_name"), by_name).unionByName(found(F.col("phone"), by_phone))
     if match_id:
         hits = hits.unionByName(first(base.withColumn("_id", F.col("patient_id").cast("string")).join(by_id, "_id")))
     hits = hits.distinct()
