@@ -4,7 +4,7 @@ from datetime import date
 
 import mini
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from wardline.functions import rules, text
 from wardline.functions.dates import completed_years, years_by_days
@@ -213,6 +213,19 @@ def test_screening_in_one_pass_equals_the_scan(spark, tmp_path):
     assert nothing.rows == 0 and nothing.failures == {"email": 0, "days": 0} and nothing.valid.collect() == []
 
 
+def test_screening_writes_both_outcomes_without_a_sort(spark, tmp_path, monkeypatch):
+    name, at_write, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, *a, **k: at_write.append(int(spark.conf.get(name))) or write(w, *a, **k))
+    before = spark.conf.get(name)
+    df = spark.range(100).coalesce(1)
+    got = quality.screen(df, {"odd": F.when(F.col("id") % 2 == 1, "odd")}, str(tmp_path / "out"))
+    assert at_write == [2] and spark.conf.get(name) == before
+    assert (got.valid.count(), got.quarantined.count(), got.failures) == (50, 50, {"odd": 50})
+    with pytest.raises(Exception):
+        quality.screen(df, {"odd": F.when(F.col("id") % 2 == 1, "odd")}, str(tmp_path / "out"))
+    assert spark.conf.get(name) == before
+
+
 def test_a_value_that_is_no_time_has_its_own_reason(spark):
     df = spark.createDataFrame([(1, "noon"), (2, ""), (3, "9:5"), (4, " 12:30 "), (5, "24:00:00"), (6, "12:60"), (7, "\u0661\u0662:30")], "i int, v string")
     got = {r.i: r.p for r in df.select("i", rules.appointment_time("v", None, "1998-06-15").alias("p")).collect()}

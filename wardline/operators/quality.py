@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from wardline.schema import ENUMS, KEYS, LENGTHS, TABLES
@@ -48,18 +49,31 @@ class Screened:
     failures: dict[str, int]
 
 
+@contextmanager
+def _open_files(spark: SparkSession, number: int) -> Iterator[None]:
+    """Up to so many files of a partitioned write are open in a task; the session's own number comes back afterwards."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, max(number, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def screen(df: DataFrame, rules: Mapping[str, Column], path: str) -> Screened:
     """Write a table once, parted into valid and quarantined rows (these with their messages), counting on the way.
 
-    The input is read a single time: the counters are metrics of the write, gathered by its tasks. The rows that the
-    files have are compared with the rows counted, so that a count that a repeated task has spoilt is an error.
+    The input is read a single time: the counters are metrics of the write, gathered by its tasks. A task keeps both
+    files open, so that its rows need no sort by outcome. The rows that the files have are compared with the rows counted, so that a count that a repeated task has spoilt is an error.
     """
     counters = [F.count_if(rule.isNotNull()).alias(name) for name, rule in rules.items()]
     errors = F.array_compact(F.array(*rules.values()))
     seen = Observation()
     marked = df.observe(seen, F.count(F.lit(1)).alias("_rows"), *counters).withColumn("errors", errors)
     outcome = F.when(F.size("errors") == 0, VALID).otherwise(QUARANTINED)
-    marked.withColumn("outcome", outcome).write.mode("errorifexists").partitionBy("outcome").parquet(path)
+    with _open_files(df.sparkSession, 2):
+        marked.withColumn("outcome", outcome).write.mode("errorifexists").partitionBy("outcome").parquet(path)
     counts = dict(seen.get)
     rows = counts.pop("_rows")
     stored = df.sparkSession.read.schema(StructType([*marked.schema.fields, StructField("outcome", StringType())])).parquet(path)
