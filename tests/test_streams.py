@@ -108,6 +108,27 @@ def test_lockout_stream_takes_shuffled_files_in_event_order(spark):
 
 
 
+def test_lockout_stream_in_buckets_of_accounts(spark):
+    rng = random.Random(7)
+    big = 2**53
+    rows = [(big + 2 * rng.randint(0, 40) + 1, big + i, BASE + rng.randint(0, 5 * 86400) * 10**6, rng.random() < 0.2) for i in range(900)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, m long, succeeded boolean")
+    df = df.select("user_id", "event_id", F.timestamp_micros("m").cast("timestamp_ntz").alias("ts"), "succeeded")
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    for day in range(6):
+        part = df.filter(F.datediff("ts", F.lit("2024-01-01")) == day - F.when(F.col("event_id") % 4 == 0, 1).otherwise(0))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    feed = runs.parquet_stream(spark, folder, df.schema, names="*.parquet", files_per_batch=1)
+    feed, tick = runs.with_last_tick(feed, "ts", "2100-01-01 00:00:00")
+    stream = lockout.lockout_stream(feed, lateness="50 hours", buckets=3)
+    got = sorted(map(str, runs.run_to_parquet(stream, then=tick).collect()))
+    state = max(Path(shared_folder(spark).removeprefix("file:"), "streams").iterdir(), key=lambda p: p.stat().st_mtime) / "state"
+    held = spark.read.format("statestore").option("stateVarName", "accounts").load(str(state))
+    assert 1 <= held.count() <= 3
+    sent = spark.read.schema(df.schema).parquet(folder)
+    assert got == sorted(map(str, lockout.lockouts(sent).collect())) and len(got) > 700
+
+
 def events(spark, *minutes):
     start = datetime(2024, 1, 1, 10, 0)
     rows = [(user, i, start + timedelta(minutes=m)) for i, (user, m) in enumerate(minutes)]

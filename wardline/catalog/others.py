@@ -195,7 +195,7 @@ def t1(h: Hospital) -> DataFrame:
 def t1b(h: Hospital) -> DataFrame:
     """One file: everything waits until the feed has ended and the watermark has passed it."""
     attempts, tick = runs.with_last_tick(lockout.login_attempts(_event_stream(h)), "ts", "2100-01-01 00:00:00")
-    return runs.run_to_parquet(lockout.lockout_stream(attempts), then=tick).filter("user_id is not null")
+    return runs.run_to_parquet(lockout.lockout_stream(attempts, buckets=256), then=tick).filter("user_id is not null")
 
 
 @query("t1d_login_lockout_shuffled", _LOCKOUT)
@@ -211,7 +211,7 @@ def t1d(h: Hospital) -> DataFrame:
         part.coalesce(1).write.mode("append").parquet(folder)
     feed = runs.parquet_stream(h.spark, folder, attempts.schema, names="*.parquet", files_per_batch=1)
     feed, tick = runs.with_last_tick(feed, "ts", "2100-01-01 00:00:00")
-    return runs.run_to_parquet(lockout.lockout_stream(feed, lateness="5 days"), then=tick).filter("user_id is not null")
+    return runs.run_to_parquet(lockout.lockout_stream(feed, lateness="5 days", buckets=256), then=tick).filter("user_id is not null")
 
 
 @query("t1c_login_lockout_slices", _LOCKOUT)

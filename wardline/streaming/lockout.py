@@ -17,6 +17,7 @@ import bisect
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -297,13 +298,95 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def lockout_stream(attempts: DataFrame, *, lateness: str = "10 minutes") -> DataFrame:
+# Rows of state, packed: a bucket of accounts reads and writes each of its states as a whole, not row by row.
+_WAITING = [("user", "<i8"), ("no_user", "?"), ("at", "<i8"), ("event", "<i8"), ("no_event", "?"), ("ok", "?")]
+_ACCOUNTS = [("user", "<i8"), ("no_user", "?"), ("failures", "<i8"), ("locked", "<i8")]
+
+
+def _packed(columns: list, layout: list[tuple[str, str]]) -> np.ndarray:
+    rows = np.empty(len(columns[0]), dtype=layout)
+    for (name, _), column in zip(layout, columns):
+        rows[name] = column
+    return rows
+
+
+class BucketsInOrder(InOrder):
+    """The same for a bucket of accounts at a time: the calls to the state are those of the buckets, not of the accounts.
+
+    State per bucket: attempts that wait, (failures, locked_until) of its accounts whose counter is not clean, the timer.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.accounts = handle.getValueState("accounts", "rows binary")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        chunks = [_packed([pdf[name] for name, _ in _WAITING], _WAITING) for pdf in rows]
+        self.waiting.appendList([(chunk.tobytes(),) for chunk in chunks])
+        self._set_timer(int(min(chunk["at"].min() for chunk in chunks)))
+        yield pd.DataFrame(columns=_COLUMNS)
+
+    def handleExpiredTimer(
+        self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = np.concatenate([np.frombuffer(chunk, dtype=_WAITING) for (chunk,) in self.waiting.get()])
+        later, ready = rows[rows["at"] >= passed], rows[rows["at"] < passed]
+        ready = ready[np.lexsort((ready["event"], ~ready["no_event"], ready["at"]))]
+        known = np.frombuffer(self.accounts.get()[0], dtype=_ACCOUNTS).tolist() if self.accounts.exists() else []
+        state = {(user, no_user): (failures, locked) for user, no_user, failures, locked in known}
+        outcomes, counted, until = [], [], []
+        for user, no_user, at, _, _, succeeded in ready.tolist():
+            outcome, failures, locked = attempt(*state.get((user, no_user), (0, _OPEN)), at, succeeded)
+            state[user, no_user] = failures, locked
+            outcomes.append(outcome)
+            counted.append(failures)
+            until.append(locked)
+        self.timer.clear()
+        if len(later):
+            self.waiting.put([(later.tobytes(),)])
+            self._set_timer(int(later["at"].min()))
+        else:
+            self.waiting.clear()
+        kept = [(*account, failures, locked) for account, (failures, locked) in state.items() if failures]
+        if kept:
+            self.accounts.update((np.array(kept, dtype=_ACCOUNTS).tobytes(),))
+        else:
+            self.accounts.clear()
+        yield pd.DataFrame(
+            {
+                "user_id": pd.arrays.IntegerArray(ready["user"].astype("int64"), ready["no_user"].copy()),
+                "event_id": pd.arrays.IntegerArray(ready["event"].astype("int64"), ready["no_event"].copy()),
+                "at": ready["at"].astype("int64"),
+                "outcome": outcomes,
+                "failed_attempts": counted,
+                "locked_until": until,
+            }
+        )
+
+
+def lockout_stream(attempts: DataFrame, *, lateness: str = "10 minutes", buckets: int | None = None) -> DataFrame:
     """The same over a stream, in event order whatever micro-batch an attempt comes with.
 
     An attempt is decided when the watermark, `lateness` behind the newest attempt, has passed it; later ones than that
     are dropped by the watermark. Waiting attempts of an account are sorted together. State is kept in RocksDB.
+
+    With `buckets`, state is held per bucket of accounts, which many accounts need: an account of its own costs some
+    milliseconds a micro-batch. Attempts that wait in a bucket are sorted together; the number stays with the checkpoint.
     """
     attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    keyed = timed.select("user_id", "event_id", "ts", _micros("ts").alias("at"), "succeeded").groupBy("user_id")
-    return _shaped(keyed.transformWithStateInPandas(InOrder(), OUTPUT, "append", "eventtime"))
+    attempts = timed.select("user_id", "event_id", "ts", _micros("ts").alias("at"), "succeeded")
+    if buckets is None:
+        return _shaped(attempts.groupBy("user_id").transformWithStateInPandas(InOrder(), OUTPUT, "append", "eventtime"))
+    keyed = attempts.select(
+        F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"),
+        "ts",
+        "at",
+        *(F.coalesce(c, F.lit(0)).alias(name) for c, name in (("user_id", "user"), ("event_id", "event"))),
+        *(F.col(c).isNull().alias(name) for c, name in (("user_id", "no_user"), ("event_id", "no_event"))),
+        F.coalesce("succeeded", F.lit(False)).alias("ok"),
+    ).groupBy("bucket")
+    return _shaped(keyed.transformWithStateInPandas(BucketsInOrder(), OUTPUT, "append", "eventtime"))
