@@ -66,3 +66,24 @@ def test_a_wanted_place_that_changes_hands(spark):
     holders = [(o, 500 + o) for o in range(100)]
     assert run(spark, rows, holders) == one_by_one(rows, holders)
     assert run(spark, [], holders) == run(spark, [], holders, 9) == []
+
+
+def test_many_small_components_need_no_round(spark, monkeypatch):
+    monkeypatch.setattr(moves, "_round", lambda *a: pytest.fail("a round"))
+    rng = random.Random(11)
+    # 40 groups of 5 owners whose 6 places change hands often; owners alone; a place with two holders
+    holders = [(10 * g + o, 10 * g + o) for g in range(40) for o in range(5)] + [(9000 + g, 10 * g) for g in range(3)]
+    rows = []
+    for i in range(1200):
+        g = rng.randrange(40)
+        rows.append((i, rng.randint(0, 400), 10 * g + rng.randrange(5), 10 * g + rng.randrange(6)))
+    rows += [(5000 + i, i, 7000 + i, 8000 + i) for i in range(30)]
+    assert run(spark, rows, holders, 60) == one_by_one(rows, holders)
+
+
+def test_small_components_beside_a_large_one(spark):
+    rng = random.Random(12)
+    holders = [(o, o) for o in range(30)] + [(100 + o, 100 + o) for o in range(40)]
+    rows = [(i, rng.randint(0, 90), rng.randrange(30), rng.randrange(32)) for i in range(90)]
+    rows += [(500 + i, rng.randint(0, 90), 100 + 4 * (i % 10) + rng.randrange(4), 100 + 4 * (i % 10) + rng.randrange(4)) for i in range(90)]
+    assert run(spark, rows, holders, 30) == one_by_one(rows, holders)

@@ -19,6 +19,10 @@ that comes first to a free one, so it is refused like it is one by one. A place
 the batch, or a request that waits for several owners, takes further rounds. A round handles the places that are
 still contested only; keys are never gathered, contenders shrink to one row a place by aggregation. Once what is
 left is few rows altogether, it is taken one by one in a single task, which saves the last rounds.
+
+Requests that share neither owners nor places, directly or through others, never wait for each other. So a batch of
+more rows is first split into connected components: those of few rows are taken one by one, side by side in many
+tasks, and rounds are left to the rows of large components.
 """
 
 from __future__ import annotations
@@ -33,12 +37,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.functions.ordering import with_sequence
+from wardline.plans.components import components, small_and_large
 from wardline.sources.staging import cut
 
 # The walk travels to the executors by value: these need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows (requests and holders of contested places) up to which what is left is taken one by one.
+#: Rows (requests and holders of contested places) up to which what is left, or a component of it, is taken one by one.
 LAST_ROWS = 100_000
 
 
@@ -67,11 +72,20 @@ def admit_moves(
     held = holders.select(target, F.col(owner).alias("holder")).distinct().withColumn("since", F.lit(0).cast("long"))
     tenures = cut(held.join(numbered.select("place").distinct(), "place", "left_semi"))
     admitted: list[DataFrame] = []
+    split = 0
     while True:
         contested = live.filter("ok is null").select("place")
-        if live.count() + tenures.join(contested, "place", "left_semi").count() <= last:
+        rows = live.count() + tenures.join(contested, "place", "left_semi").count()
+        if rows <= last:
             admitted.append(cut(_walked(live, tenures, contested)))
             break
+        if last and (not split or 2 * rows <= split):  # components break apart as rounds decide
+            split = rows
+            done, live = _apart(live, tenures, last)
+            admitted.append(done)
+            if live.filter("ok is null").isEmpty():
+                break
+            continue
         live = _round(live, tenures)
         new = live.filter("fresh and ok").select("seq", "owner", "place")
         admitted.append(new.select("seq"))
@@ -83,11 +97,14 @@ def admit_moves(
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (seq, owner, place, ok) by seq; those of seq 0 say who is where. Returns the open ones that are admitted."""
-    held, places = defaultdict(set), defaultdict(set)
+    """Rows (label, seq, owner, place, ok) by label and seq; those of seq 0 say who is where. Returns the open ones that
+    are admitted; rows of different labels have nothing to do with each other."""
+    held, places, label = defaultdict(set), defaultdict(set), None
     for batch in batches:
         admitted = []
-        for seq, owner, place, ok in zip(*(batch[c].tolist() for c in ("seq", "owner", "place", "ok"))):
+        for own, seq, owner, place, ok in zip(*(batch[c].tolist() for c in ("label", "seq", "owner", "place", "ok"))):
+            if own != label:
+                held, places, label = defaultdict(set), defaultdict(set), own
             if not seq:
                 held[place].add(owner)
                 places[owner].add(place)
@@ -101,14 +118,34 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"seq": pd.Series(admitted, dtype="int64")})
 
 
+def _rows(live: DataFrame, tenures: DataFrame, contested: DataFrame) -> DataFrame:
+    """What a walk takes: requests, and with seq 0 who holds contested places at the start."""
+    start = tenures.filter("since = 0").join(contested, "place", "left_semi").withColumnsRenamed({"holder": "owner", "since": "seq"})
+    asked = live.select("seq", "owner", "place", F.coalesce("ok", F.lit(False)).alias("ok"))
+    return asked.unionByName(start.withColumn("ok", F.lit(True)))
+
+
 def _walked(live: DataFrame, tenures: DataFrame, contested: DataFrame) -> DataFrame:
     """The open requests that are admitted, of few rows, taken one by one."""
-    start = tenures.filter("since = 0").join(contested, "place", "left_semi").withColumnsRenamed({"holder": "owner", "since": "seq"})
-    rows = live.select("seq", "owner", "place", F.coalesce("ok", F.lit(False)).alias("ok")).unionByName(start.withColumn("ok", F.lit(True)))
-    plain = rows.select("seq", F.col("owner").cast("string"), F.to_json("place").alias("place"), "ok")
+    plain = _plain(_rows(live, tenures, contested).withColumn("label", F.lit(0)))
     return plain.repartition(1).sortWithinPartitions("seq").mapInPandas(_walk, "seq long")
 
 
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.select("label", "seq", F.col("owner").cast("string"), F.to_json("place").alias("place"), "ok")
+
+
+def _apart(live: DataFrame, tenures: DataFrame, last: int) -> tuple[DataFrame, DataFrame]:
+    """The open requests that are admitted in components of at most `last` rows, and the requests of larger ones."""
+    contested = live.filter("ok is null").select("place").distinct()
+    rows = cut(_rows(live, tenures, contested).withColumn("node", F.xxhash64("owner")))
+    labels = components(rows.select("node", F.xxhash64("place").alias("mark")))
+    alone, small, large = small_and_large(rows, "node", labels, last)
+    walked = _plain(small).repartition("label").sortWithinPartitions("label", "seq").mapInPandas(_walk, "seq long")
+    done = cut(alone.filter("not ok").select("seq").unionByName(walked))  # nobody else has to do with the places
+    return done, cut(live.join(large.filter("seq > 0").select("seq"), "seq", "left_semi"))
+
+
 def _round(live: DataFrame, tenures: DataFrame) -> DataFrame:
     """Requests after one more round. ok: NULL while open; fresh: decided in this round.
 
