@@ -4,11 +4,14 @@ import random
 import uuid
 from datetime import datetime, timedelta
 from pathlib import Path
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wardline.catalog import others
+from wardline.sources import sinks
 from wardline.streaming import lockout, runs, sessions
 from wardline.sources.sinks import read_audit
 from wardline.sources.staging import cut, shared_folder, written
@@ -208,3 +211,36 @@ def test_changes_delivered_again_make_no_second_entry(spark):
     entries = read_audit(spark, f"{folder}/log").collect()
     assert sorted(r["log_id"] for r in entries) == [1, 2, 3, 4, 5]
     assert {r["log_id"]: r["changed_on"].day for r in entries} == {i: 1 + i % 4 for i in range(1, 6)}
+
+
+def test_a_delivery_is_compared_by_its_numbers_alone(spark, monkeypatch):
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    seen, one = [], sinks.cut
+    monkeypatch.setattr(sinks, "cut", lambda df: seen.append(df.columns) or one(df))
+
+    def deliver(*entries):
+        rows = [(i, "bills", "UPDATE", i, None, text, None, f"2024-01-0{1 + (i or 0) % 4} 08:00:00") for i, text in entries]
+        schema = "log_id long, table_name string, operation string, record_id long, old_values string, new_values string, changed_by long, changed_at string"
+        df = spark.createDataFrame(rows, schema).coalesce(1).withColumn("changed_at", F.col("changed_at").cast("timestamp_ntz"))
+        sinks.append_audit(df, path, once=True)
+        return sorted((r["log_id"] or 0, r["new_values"]) for r in read_audit(spark, path).collect())
+
+    assert deliver((1, "a"), (2, "a")) == [(1, "a"), (2, "a")]
+    assert deliver((3, "b"), (1, "b"), (3, "c"), (5, "b")) == [(1, "a"), (2, "a"), (3, "b"), (5, "b")]
+    # entries without a number are one a delivery, as before
+    assert deliver((None, "d"), (None, "e"), (5, "d")) == [(0, "d"), (1, "a"), (2, "a"), (3, "b"), (5, "b")]
+    assert deliver((2, "f")) == deliver((2, "g"), (1, "g")) == [(0, "d"), (1, "a"), (2, "a"), (3, "b"), (5, "b")]
+    assert deliver((None, "h"))[:2] == [(0, "d"), (0, "h")]
+    assert all(columns == ["_row"] for columns in seen[1::2]) and len(seen) == 12
+
+
+def test_micro_batches_take_a_share_of_the_files(spark):
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    feed = spark.range(90)
+    feed.repartition(9).write.parquet(folder)
+    h = SimpleNamespace(spark=spark)
+    stream = others._in_batches(h, folder, feed)
+    counts = []
+    query = stream.writeStream.foreachBatch(lambda batch, _: counts.append(batch.count())).trigger(availableNow=True)
+    query.option("checkpointLocation", f"{folder}-state").start().awaitTermination()
+    assert sum(counts) == 90 and len([c for c in counts if c]) == 3

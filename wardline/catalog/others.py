@@ -348,6 +348,12 @@ def t5(h: Hospital) -> DataFrame:
     return runs.run_to_parquet(low).unionByName(runs.run_to_parquet(odd))
 
 
+def _in_batches(h: Hospital, folder: str, feed: DataFrame, batches: int = 4) -> DataFrame:
+    """The files of a feed as a stream of about so many micro-batches, each with as many tasks as its files and splits give."""
+    files = len(h.spark.read.schema(feed.schema).parquet(folder).inputFiles())
+    return runs.parquet_stream(h.spark, folder, feed.schema, names="*.parquet", files_per_batch=-(-files // batches))
+
+
 @query(
     "t6_audit_stream",
     f"""select table_name, operation, 2 * count(*) as entries, 2 * count(*) as numbers from ({_CHANGES}) c group by table_name, operation""",
@@ -355,8 +361,9 @@ def t5(h: Hospital) -> DataFrame:
 def t6(h: Hospital) -> DataFrame:
     """A change feed streamed into the append-only log in several micro-batches; every change occurs twice."""
     once = _changes(h).drop("changed_by", "changed_at")
-    feed = with_sequence(once.unionByName(once), [up("table_name"), up("record_id")], "change_id")
-    stream = runs.parquet_stream(h.spark, written(feed.repartition(4, "change_id")), feed.schema, names="*.parquet", files_per_batch=1)
+    numbered = with_sequence(once, [up("table_name"), up("record_id")], "change_id").withColumn("change_id", 2 * F.col("change_id"))
+    feed = numbered.withColumn("change_id", F.col("change_id") - 1).unionByName(numbered)
+    stream = _in_batches(h, written(feed), feed)
     log = runs.run_to_parquet(runs.audit_stream(stream, as_of=AS_OF))
     return log.groupBy("table_name", "operation").agg(
         F.count("*").alias("entries"), F.countDistinct("log_id").alias("numbers")
@@ -371,12 +378,12 @@ def t6b(h: Hospital) -> DataFrame:
     """A feed that delivers half its changes twice, and after a restart a third of them once more: one entry each."""
     when = F.timestamp_add("HOUR", (F.col("record_id") % 40).cast("int"), F.lit(f"{AS_OF} 08:00:00").cast("timestamp_ntz"))
     changes = _changes(h).drop("changed_by").withColumn("changed_at", when)
-    feed = cut(with_sequence(changes, [up("table_name"), up("record_id")], "change_id"))
-    folder = written(feed.unionByName(feed.filter("change_id % 2 = 0")).repartition(4, F.xxhash64("change_id", F.rand(7))))
+    feed = with_sequence(changes, [up("table_name"), up("record_id")], "change_id")
+    folder = written(feed.unionByName(feed.filter("change_id % 2 = 0")))
     base = f"{shared_folder(h.spark)}/logs/{uuid.uuid4().hex}"
 
     def run() -> None:
-        stream = runs.parquet_stream(h.spark, folder, feed.schema, names="*.parquet", files_per_batch=1)
+        stream = _in_batches(h, folder, feed)
         runs.run_to_audit_log(runs.audit_stream(stream, lateness="3 days"), f"{base}/log", checkpoint=f"{base}/state")
 
     run()

@@ -21,14 +21,20 @@ def append_audit(entries: DataFrame, path: str, *, once: bool = False) -> None:
     """
     laid = entries.withColumn("changed_on", F.to_date("changed_at"))
     if once:
-        laid = cut(laid.dropDuplicates(["log_id"]))
+        laid = cut(laid.withColumn("_row", F.monotonically_increasing_id()))
         days = [row[0] for row in laid.select("changed_on").distinct().collect()]  # at most the days of the delivery
         if not days:
             return
+        rows = told = laid.select("log_id", "_row")
         if _exists(entries.sparkSession, path):
             log = read_audit(entries.sparkSession, path)
             same_days = F.col("changed_on").isin([d for d in days if d]) | (F.col("changed_on").isNull() & F.lit(None in days))
-            laid = laid.join(log.filter(same_days).select("log_id"), "log_id", "left_anti")
+            there = log.filter(same_days & F.col("log_id").isNotNull())
+            told = rows.unionByName(there.select("log_id", F.lit(-1).cast("long").alias("_row")))
+        # Numbers alone are compared; whole entries are only joined if some of them are to be left out.
+        first = told.groupBy(F.col("log_id").alias("_id")).agg(F.min("_row").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+        left_out = cut(rows.join(first, F.col("log_id").eqNullSafe(F.col("_id"))).filter("_row <> _first").select("_row"))
+        laid = (laid if left_out.isEmpty() else laid.join(left_out, "_row", "left_anti")).drop("_row")
     (
         laid.hint("rebalance", "changed_on")
         .write.mode("append")
