@@ -17,6 +17,9 @@ it or lies between two that the first round decides. Deeper knots of keys with m
 of which settles at least the first request left of every connected knot. Once few rows are left altogether, they are
 taken one by one in a single task, which saves the last rounds.
 
+A batch of more rows is first split into connected components: requests that share a key, directly or through others.
+Components of few rows are taken one by one, side by side in many tasks; rounds are left to larger ones.
+
 Defined results: a null key claims nothing, a request without any key is admitted; ties of the order go by the next
 column of it, and of rows equal in all of them any one comes first; no requests give no rows.
 """
@@ -24,7 +27,7 @@ column of it, and of rows equal in all of them any one comes first; no requests
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -32,12 +35,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.functions.ordering import top_per, with_sequence
+from wardline.plans.components import components, small_and_large
 from wardline.sources.staging import cut
 
 # The walk travels to the executors by value: these need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Requests up to which what is left is taken one by one.
+#: Requests up to which what is left, or a component of it, is taken one by one.
 LAST_ROWS = 100_000
 
 
@@ -55,7 +59,13 @@ def admit_claims(
     numbered = cut(with_sequence(asked, [F.col(r) for r in ranks], "seq").drop(*ranks))
     left = numbered.drop("row")
     admitted: list[DataFrame] = []
+    split = 0
     while (rows := left.count()) > last:
+        if last and (not split or 2 * rows <= split):  # components break apart as rounds decide
+            split = rows
+            done, left = _apart(left, names, last)
+            admitted.append(done)
+            continue
         wave, left = _round(left, names)
         admitted.append(wave)
     if rows or not admitted:
@@ -107,17 +117,35 @@ def _followed(links: DataFrame) -> DataFrame:
 
 def _walked(left: DataFrame, names: Sequence[str]) -> DataFrame:
     """seq of the admitted ones among few requests, taken one by one."""
+    rows = left.select("seq", *names, F.lit(0).alias("label"))
+    return cut(rows.repartition(1).sortWithinPartitions("seq").mapInPandas(_walk(names), "seq long"))
+
+
+def _apart(left: DataFrame, names: Sequence[str], last: int) -> tuple[DataFrame, DataFrame]:
+    """seq of those admitted in components of at most `last` requests, and the requests of larger ones."""
+    rows = left.withColumn("node", F.xxhash64("seq"))
+    claims = rows.select("node", F.posexplode(F.array(*names)).alias("kind", "key")).filter("key is not null")
+    labels = components(claims.select("node", F.xxhash64("kind", "key").alias("mark")))
+    alone, small, large = small_and_large(rows, "node", labels, last)
+    walked = small.repartition("label").sortWithinPartitions("label", "seq").mapInPandas(_walk(names), "seq long")
+    return cut(alone.select("seq").unionByName(walked)), cut(large.select(*left.columns))
+
+
+def _walk(names: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     names = list(names)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         taken: set[tuple[int, str]] = set()
+        label = None
         for batch in batches:
             admitted = []
-            for seq, *keys in zip(*(batch[c].tolist() for c in ["seq", *names])):
+            for own, seq, *keys in zip(*(batch[c].tolist() for c in ["label", "seq", *names])):
+                if own != label:
+                    taken, label = set(), own
                 claims = {(kind, key) for kind, key in enumerate(keys) if isinstance(key, str)}
                 if taken.isdisjoint(claims):
                     taken |= claims
                     admitted.append(seq)
             yield pd.DataFrame({"seq": pd.Series(admitted, dtype="int64")})
 
-    return cut(left.select("seq", *names).repartition(1).sortWithinPartitions("seq").mapInPandas(walk, "seq long"))
+    return walk
