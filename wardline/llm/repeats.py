@@ -16,8 +16,9 @@ Strings are judged on the input, overlaps count, and no string crosses documents
    and the new numbers serve the next refinement, which reaches twice as far. The strings of a final bucket
    are equal; those that are not of its smallest doc_id are covered.
    Of a q-gram with many such contexts the strings themselves are dealt out instead, by wide hashes made of
-   (bucket, bucket at a later offset) in the same steps; strings that are equal in a slice are sent once, and
-   the smallest doc_id of each is a partial aggregate. So a passage in many surroundings spreads over tasks.
+   (bucket, bucket at a later offset) in the same steps; strings that are equal in a slice are sent once, the others
+   of it go on as runs, and the smallest doc_id of each is a partial aggregate. So a passage in many surroundings
+   spreads over tasks. Either way only strings that take in a shared half are compared.
 4. The intervals go to their documents, which are rewritten.
 
 Contexts are told apart by 64 bits beside the bucket. Texts of over PIECE bytes are walked in pieces that
@@ -198,9 +199,10 @@ def _send(docs: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _meet(sent: DataFrame, length: int) -> DataFrame:
+def _meet(sent: DataFrame, length: int, gram_size: int) -> DataFrame:
     """What equal contexts cover (kind 0), and the contexts to be fetched, with the part that each is sorted in (kind 1)
-    or of q-grams that have too many for that (kind 2)."""
+    or of q-grams that have too many for that (kind 2). Of those, only strings that take in a shared half are asked for."""
+    half = (length - gram_size + 1) // 2
 
     def run(table: pa.Table) -> pa.Table:
         r = table.column("range")[0].as_py()
@@ -225,18 +227,22 @@ def _meet(sent: DataFrame, length: int) -> DataFrame:
         many = np.diff(np.concatenate((head, [len(order)])))
         covered = doc > np.repeat(doc[head], many)
         # half contexts that several different contexts of a q-gram share
-        asked = np.zeros(len(head), bool)
+        shared = {}
         for side in ("left", "right"):
             mine = entries[side][order[head]]
             pair = gram[head].astype(np.uint64) << np.uint64(32) | mine
             _, back, times = np.unique(pair, return_inverse=True, return_counts=True)
-            asked |= (times[back] > 1) & (mine != 0)
-        fetch = np.repeat(asked, many) & ~covered
+            shared[side] = np.empty(len(order), bool)
+            shared[side][order] = np.repeat((times[back] > 1) & (mine != 0), many)
+        fetch = (shared["left"] | shared["right"])[order] & ~covered
         number = np.cumsum(_first_of_runs(gram)) - 1
         hot = np.bincount(number, fetch)[number] > HOT_CONTEXTS
         for kind, chosen in ((0, order[covered]), (1, order[fetch & ~hot]), (2, order[fetch & hot])):
-            start = entries["start"][chosen].astype(np.int64)
-            end = start + entries["more"][chosen] + length
+            start, at, more = (entries[c][chosen].astype(np.int64) for c in ("start", "at", "more"))
+            end = start + more + length
+            if kind:
+                end = np.where(shared["right"][chosen], end, start + np.minimum(more, at - half) + length)
+                start = np.where(shared["left"][chosen], start, start + np.maximum(0, at + gram_size + half - length))
             # rows of one document: by id and mark
             key = _mixed(ids[chosen].view(np.uint64)) ^ marks[chosen].view(np.uint64)
             rows, starts, ends, places = _by_document(key, start, end, r * PARTS + entries["gram"][chosen] % PARTS)
@@ -397,16 +403,23 @@ def _settle_strings(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame
                 head = np.flatnonzero(_first_of_runs(one[order], two[order]))
                 least = np.empty(len(order), np.int64)
                 least[order] = np.repeat(ids[order][head], np.diff(np.concatenate((head, [len(order)]))))
-                arrays = [pa.array(x) for x in (one, two, ids, marks, where.astype(np.int32), ids > least)]
+                gone = ids > least
+                # what is settled goes on as runs of neighbouring strings, only the rest as strings
+                heads = _first_of_runs(np.repeat(np.arange(len(strings)), strings), gone) & gone
+                rows = np.flatnonzero(~gone | heads)
+                last = rows.copy()
+                last[gone[rows]] = np.flatnonzero(gone & np.concatenate((heads[1:] | ~gone[1:], [True]))[: len(gone)])
+                arrays = [pa.array(x[rows]) for x in (one, two, ids, marks, where.astype(np.int32))]
+                arrays += [pa.array((where[last] + length).astype(np.int32)), pa.array(gone[rows])]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    names = ["one", "two", "doc_id", "mark", "start", "gone"]
-    found = keep(_asked(docs, asked).mapInArrow(run, "one long, two long, doc_id long, mark long, start int, gone boolean"))
+    names = ["one", "two", "doc_id", "mark", "start", "end", "gone"]
+    found = keep(_asked(docs, asked).mapInArrow(run, "one long, two long, doc_id long, mark long, start int, end int, gone boolean"))
     first = found.filter("not gone")
     least = first.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     later = first.join(least, ["one", "two"]).filter("doc_id > least")
-    gone = found.filter("gone").select("doc_id", "mark", "start").union(later.select("doc_id", "mark", "start"))
-    return gone.select("doc_id", "mark", F.array("start").alias("starts"), F.array(F.col("start") + length).alias("ends"))
+    gone = found.filter("gone").select("doc_id", "mark", "start", "end").union(later.select("doc_id", "mark", "start", "end"))
+    return gone.select("doc_id", "mark", F.array("start").alias("starts"), F.array("end").alias("ends"))
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -414,7 +427,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     usable = _keyed(docs).filter("doc_id is not null")
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = _send(usable, ranges, length, gram)
-    met = keep(_meet(sent, length))
+    met = keep(_meet(sent, length, gram))
     settled = keep(_settle(_contexts(usable, met.filter("kind = 1")), length))
     out = met.filter("kind = 0").select(settled.columns).union(settled)
     hot = met.filter("kind = 2")
