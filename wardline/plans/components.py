@@ -1,4 +1,4 @@
-"""Connected components, and requests that are walked one by one per component, all components side by side.
+"""Connected components of requests, so that small ones can be walked one by one, all of them side by side.
 
 Requests of different components never wait for each other. So a batch of any size whose components are small is
 decided in one pass, however long its chains are.
