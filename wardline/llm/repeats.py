@@ -9,16 +9,18 @@ Strings are judged on the input, overlaps count, and no string crosses documents
    A task sends for each anchor hashes of the q-gram and the context, never text, and settles at once what
    an equal context of a smaller doc_id in its own batch covers whole.
 2. In a bucket, an anchor with the same context as one of smaller doc_id is covered whole. This settles the
-   inside of long repeats. What is left are contexts that differ but may share strings: a shared string
-   takes in half of the free bytes on one side of the q-gram, so one of two half contexts has to be equal.
-3. For these the bytes are fetched, and a suffix array of the contexts, sorted to depth `length`, is built by
+   inside of long repeats. What is left are contexts that differ but may share strings. A context's strings lie in
+   cells, by how many of their bytes precede the q-gram, and all strings of a cell have a window of bytes in common:
+   a string can only be shared where the window of its cell is, and covered only where that stands in two documents.
+3. For these cells the bytes are fetched, and a suffix array of them, sorted to depth `length`, is built by
    bucket-pointer refinement: buckets of equal first bytes are split by the bucket numbers at a later offset,
    and the new numbers serve the next refinement, which reaches twice as far. The strings of a final bucket
    are equal; those that are not of its smallest doc_id are covered.
-   Of a q-gram with many such contexts the strings themselves are dealt out instead, by wide hashes made of
+   The windows are dealt out over the parts of a range, not the q-grams, so a frequent q-gram spreads over them.
+   Of a window in many surroundings the strings themselves are dealt out instead, by wide hashes made of
    (bucket, bucket at a later offset) in the same steps; strings that are equal in a slice are sent once, the others
    of it go on as runs, and the smallest doc_id of each is a partial aggregate. So a passage in many surroundings
-   spreads over tasks. Either way only strings that take in a shared half are compared.
+   spreads over tasks.
 4. The intervals go to their documents, which are rewritten.
 
 Contexts are told apart by 64 bits beside the bucket. Texts of over PIECE bytes are walked in pieces that
@@ -42,9 +44,11 @@ from wardline.llm.common import CACHE_BYTES, flat, keep, list_array, slices, spr
 LENGTH = 50
 GRAM = 16
 PIECE = 4 << 20
-#: Parts of a range, by the q-gram, whose contexts are sorted separately.
+#: Cells of a context's strings.
+CELLS = 3
+#: Parts of a range, by the window, whose contexts are sorted separately.
 PARTS = 8
-#: Contexts of one q-gram up to which they are sorted together (about 4 KB each); beyond, their strings are dealt out.
+#: Contexts of one window up to which they are sorted together (about 4 KB each); beyond, their strings are dealt out.
 HOT_CONTEXTS = 1_000
 
 _PLACE = np.uint64((1 << 24) - 1)
@@ -52,9 +56,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _C, _D = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _CODES = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
-#: What a task sends for an anchor: rest of the q-gram's hash, hash of the context, hashes of its halves,
+#: What a task sends for an anchor: rest of the q-gram's hash, hash of the context, hashes of its cells' windows (0: none),
 #: number of the document in the block, begin of the context, place of the q-gram in it and strings less one.
-ENTRY = np.dtype([("gram", "u4"), ("context", "u8"), ("left", "u4"), ("right", "u4"), ("doc", "u2"), ("start", "u4"), ("at", "u1"), ("more", "u1")])
+ENTRY = np.dtype([("gram", "u4"), ("context", "u8"), ("windows", "u4", CELLS), ("doc", "u2"), ("start", "u4"), ("at", "u1"), ("more", "u1")])
 
 COVERED = "doc_id long, mark long, starts array<int>, ends array<int>"
 
@@ -65,12 +69,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def cell_edges(length: int, gram: int) -> list[int]:
+    """The strings of cell i have at least edges[i] and under edges[i + 1] bytes before the q-gram."""
+    return [(length - gram + 1) * i // CELLS for i in range(CELLS + 1)]
+
+
 class Walker:
     """Finds the anchors of texts; keeps the powers that the hashes need."""
 
     def __init__(self, length: int, gram: int):
         self.length, self.gram = length, gram
-        self.half = (length - gram + 1) // 2
+        self.edges = cell_edges(length, gram)
         self.up = self.down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -81,13 +90,13 @@ class Walker:
             self.down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, inverse, np.uint64))))
 
     def anchors(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Per anchor: full hash, context hash, half hashes, text, begin in the text, place in the context, strings - 1."""
+        """Per anchor: full hash, context hash, window hashes, text, begin in the text, place in the context, strings - 1."""
         n, length, gram = len(data), self.length, self.gram
         free = length - gram
         sizes = np.diff(ends)
         many = np.maximum(sizes - length + 1, 0)
         if not many.sum():
-            return tuple(np.zeros(0, t) for t in ("u8", "u8", "u4", "u4", "i8", "i8", "i8", "i8"))
+            return (*(np.zeros(0, "u8"),) * 2, np.zeros((0, CELLS), "u4"), *(np.zeros(0, "i8"),) * 4)
         self._powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_CODES[data] * self.up[:n], out=sums[1:])
@@ -106,13 +115,13 @@ class Walker:
         place, start = place[first], begins[first]
         part = lambda a, b: _mixed((sums[b] - sums[a]) * self.down[a])
         context = part(start, start + more + length) ^ ((place - start) << 8 | more).astype(np.uint64) * _D
-        half, right = self.half, place + gram
-        has_left, has_right = place - start >= half, start + more + length - right >= half
-        left = np.where(has_left, (part(np.where(has_left, place - half, place), place) >> np.uint64(32)) | np.uint64(1), 0)
-        right = np.where(has_right, (part(right, np.where(has_right, right + half, right)) >> np.uint64(32)) | np.uint64(1), 0)
+        windows = np.zeros((len(place), CELLS), "u4")
+        for cell, (low, high) in enumerate(zip(self.edges, self.edges[1:])):
+            has = np.flatnonzero((low < high) & (place - start >= low) & (place - start - more < high))
+            windows[has, cell] = (part(place[has] - low, place[has] - (high - 1) + length) >> np.uint64(32)) | np.uint64(1)
         owner = np.searchsorted(ends, start, "right") - 1
         # the least of many hashes is small: mixed again, the ranges get equal shares
-        return _mixed(grams[place]), _mixed(context), left.astype("u4"), right.astype("u4"), owner, start - ends[owner], place - start, more
+        return _mixed(grams[place]), _mixed(context), windows, owner, start - ends[owner], place - start, more
 
     def texts(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Anchors of a flat byte array, long texts in pieces."""
@@ -159,11 +168,11 @@ def _send(docs: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 for part in slices(batch, "text", CACHE_BYTES):
                     for found in walker.texts(*flat(part.column("text"))):
-                        parts.append((*found[:4], found[4] + row, *found[5:]))
+                        parts.append((*found[:3], found[3] + row, *found[4:]))
                     row += part.num_rows
                 if not parts:
                     continue
-                grams, context, left, right, owner, start, at, more = (np.concatenate(x) for x in zip(*parts))
+                grams, context, windows, owner, start, at, more = (np.concatenate(x) for x in zip(*parts))
                 key = _mixed(grams) ^ context
             order = np.lexsort((ids[owner], key))
             key, doc = key[order], ids[owner[order]]
@@ -175,8 +184,8 @@ def _send(docs: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
             spot = pa.array((ids[rows] % ranges).astype(np.int32))
             yield pa.RecordBatch.from_arrays([spot, none, none, none, pa.array(ids[rows]), pa.array(marks[rows]), starts, ends], names)
             entries = np.zeros(len(stay), ENTRY)
-            for name, values in (("gram", grams), ("context", context), ("left", left), ("right", right), ("doc", owner), ("start", start), ("at", at), ("more", more)):
-                entries[name] = values[stay].astype(ENTRY[name])
+            for name, values in (("gram", grams), ("context", context), ("windows", windows), ("doc", owner), ("start", start), ("at", at), ("more", more)):
+                entries[name] = values[stay].astype(ENTRY[name].base)
             place = (((grams[stay] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(place, kind="stable")
             cuts = np.searchsorted(place[order], np.arange(ranges + 1))
@@ -200,9 +209,9 @@ def _send(docs: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
 
 
 def _meet(sent: DataFrame, length: int, gram_size: int) -> DataFrame:
-    """What equal contexts cover (kind 0), and the contexts to be fetched, with the part that each is sorted in (kind 1)
-    or of q-grams that have too many for that (kind 2). Of those, only strings that take in a shared half are asked for."""
-    half = (length - gram_size + 1) // 2
+    """What equal contexts cover (kind 0), and the cells of contexts to be fetched, with the part that each is sorted in
+    (kind 1) or of windows that have too many contexts for that (kind 2)."""
+    edges = np.array(cell_edges(length, gram_size))
 
     def run(table: pa.Table) -> pa.Table:
         r = table.column("range")[0].as_py()
@@ -226,26 +235,34 @@ def _meet(sent: DataFrame, length: int, gram_size: int) -> DataFrame:
         head = np.flatnonzero(_first_of_runs(gram, context))
         many = np.diff(np.concatenate((head, [len(order)])))
         covered = doc > np.repeat(doc[head], many)
-        # half contexts that several different contexts of a q-gram share
-        shared = {}
-        for side in ("left", "right"):
-            mine = entries[side][order[head]]
-            pair = gram[head].astype(np.uint64) << np.uint64(32) | mine
-            _, back, times = np.unique(pair, return_inverse=True, return_counts=True)
-            shared[side] = np.empty(len(order), bool)
-            shared[side][order] = np.repeat((times[back] > 1) & (mine != 0), many)
-        fetch = (shared["left"] | shared["right"])[order] & ~covered
-        number = np.cumsum(_first_of_runs(gram)) - 1
-        hot = np.bincount(number, fetch)[number] > HOT_CONTEXTS
-        for kind, chosen in ((0, order[covered]), (1, order[fetch & ~hot]), (2, order[fetch & hot])):
+        stay = order[~covered]
+        asked = {kind: [(np.zeros(0, np.int64), 0)] for kind in (1, 2)}
+        for cell in range(CELLS):
+            some = stay[entries["windows"][stay, cell] > 0]
+            pair = entries["gram"][some].astype(np.uint64) << np.uint64(32) | entries["windows"][some, cell]
+            by = np.argsort(pair)
+            some, first = some[by], np.flatnonzero(_first_of_runs(pair[by]))
+            if not len(first):
+                continue
+            size = np.diff(np.concatenate((first, [len(some)])))
+            several = np.minimum.reduceat(ids[some], first) < np.maximum.reduceat(ids[some], first)
+            hot = size > HOT_CONTEXTS
+            for kind, windows in ((1, several & ~hot), (2, several & hot)):
+                asked[kind].append((some[np.repeat(windows, size)], cell))
+        for kind in range(3):
+            chosen = np.concatenate([x for x, _ in asked[kind]]) if kind else order[covered]
             start, at, more = (entries[c][chosen].astype(np.int64) for c in ("start", "at", "more"))
             end = start + more + length
+            window = np.zeros(len(chosen), np.uint32)
             if kind:
-                end = np.where(shared["right"][chosen], end, start + np.minimum(more, at - half) + length)
-                start = np.where(shared["left"][chosen], start, start + np.maximum(0, at + gram_size + half - length))
+                cell = np.repeat([c for _, c in asked[kind]], [len(x) for x, _ in asked[kind]])
+                window = entries["windows"][chosen, cell]
+                # bytes before the q-gram in the first and the last string
+                most, least = np.minimum(at, edges[cell + 1] - 1), np.maximum(at - more, edges[cell])
+                start, end = start + at - most, start + at - least + length
             # rows of one document: by id and mark
             key = _mixed(ids[chosen].view(np.uint64)) ^ marks[chosen].view(np.uint64)
-            rows, starts, ends, places = _by_document(key, start, end, r * PARTS + entries["gram"][chosen] % PARTS)
+            rows, starts, ends, places = _by_document(key, start, end, r * PARTS + (entries["gram"][chosen] ^ window >> 8) % PARTS)
             at = np.zeros(len(rows), np.int64)
             at[np.searchsorted(rows, key)] = chosen
             kinds = pa.array(np.full(len(rows), kind, np.int32))
@@ -384,7 +401,7 @@ def _settle(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _settle_strings(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """The strings of the contexts asked for that a smaller doc_id has too, without gathering a q-gram's contexts."""
+    """The strings of the contexts asked for that a smaller doc_id has too, without gathering a window's contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
