@@ -90,13 +90,13 @@ class Walker:
             self.down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, inverse, np.uint64))))
 
     def anchors(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Per anchor: full hash, context hash, window hashes, text, begin in the text, place in the context, strings - 1."""
+        """Per anchor: full hash, context hash, hash of both, window hashes, text, begin in the text, place in the context, strings - 1."""
         n, length, gram = len(data), self.length, self.gram
         free = length - gram
         sizes = np.diff(ends)
         many = np.maximum(sizes - length + 1, 0)
         if not many.sum():
-            return (*(np.zeros(0, "u8"),) * 2, np.zeros((0, CELLS), "u4"), *(np.zeros(0, "i8"),) * 4)
+            return (*(np.zeros(0, "u8"),) * 3, np.zeros((0, CELLS), "u4"), *(np.zeros(0, "i8"),) * 4)
         self._powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_CODES[data] * self.up[:n], out=sums[1:])
@@ -121,7 +121,8 @@ class Walker:
             windows[has, cell] = (part(place[has] - low, place[has] - (high - 1) + length) >> np.uint64(32)) | np.uint64(1)
         owner = np.searchsorted(ends, start, "right") - 1
         # the least of many hashes is small: mixed again, the ranges get equal shares
-        return _mixed(grams[place]), _mixed(context), windows, owner, start - ends[owner], place - start, more
+        grams, context = _mixed(grams[place]), _mixed(context)
+        return grams, context, _mixed(grams) ^ context, windows, owner, start - ends[owner], place - start, more
 
     def texts(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Anchors of a flat byte array, long texts in pieces."""
@@ -168,12 +169,11 @@ def _send(docs: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 for part in slices(batch, "text", CACHE_BYTES):
                     for found in walker.texts(*flat(part.column("text"))):
-                        parts.append((*found[:3], found[3] + row, *found[4:]))
+                        parts.append((*found[:4], found[4] + row, *found[5:]))
                     row += part.num_rows
                 if not parts:
                     continue
-                grams, context, windows, owner, start, at, more = (np.concatenate(x) for x in zip(*parts))
-                key = _mixed(grams) ^ context
+                grams, context, key, windows, owner, start, at, more = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((ids[owner], key))
             key, doc = key[order], ids[owner[order]]
             head = np.flatnonzero(_first_of_runs(key))
